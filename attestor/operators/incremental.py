@@ -162,7 +162,7 @@ def _fold(items: Column) -> Column:
 
 
 def append_report(report: DataFrame, incoming: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """Upsert, consolidate and (with a log) replay manual merges, name edits and decisions."""
+    """Upsert, consolidate and (with a log) replay manual merges and name edits."""
     from attestor.operators.review import replay
 
     out = consolidate(upsert(report, incoming))

@@ -278,9 +278,12 @@ def manual_merge(report: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def replay(report: DataFrame, log: DataFrame) -> DataFrame:
-    """Manual merges of the effective log, then its reviews; used after every re-merge."""
+    """Manual merges and name edits again, after a re-merge has rebuilt the rows.
+
+    Decisions are not replayed: the upsert keeps them, and a newer automatic flag must stand.
+    """
     merges = (
         effective_log(log).where(F.col("kind") == "merge")
         .groupBy("record_id").agg(F.max_by("target_record", "seq").alias("primary_id"))
     )
-    return apply_reviews(manual_merge(report, merges), log)
+    return apply_reviews(manual_merge(report, merges), log.where(F.col("kind").isin("name", "undo", "redo")))
