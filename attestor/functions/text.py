@@ -51,10 +51,11 @@ def _folding_tables() -> tuple[str, str, dict[str, str]]:
     Derived from the Unicode data: canonical decomposition minus nonspacing marks.
     """
     single, deleted, multi = [], [], {}
-    for cp in range(0x80, 0x110000):
-        if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
-            continue
+    # Planes beyond these hold no letters; Hangul syllables are decomposed by arithmetic.
+    for cp in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000), *range(0xE0100, 0xE01F0)):
         ch = chr(cp)
+        if not unicodedata.decomposition(ch) and unicodedata.category(ch) != "Mn":
+            continue
         kept = "".join(
             x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn"
         )

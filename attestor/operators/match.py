@@ -37,7 +37,10 @@ def field_conflicts(sot_name: Column, account_name: Column) -> Column:
 
 
 def attempted_keys(match_type: Column) -> Column:
-    """Keys tried in order until the first success; blank source fields are not tried."""
+    """Keys tried in order until the first success; blank source fields are not tried.
+
+    ``name_key`` holds the normalised name of rows that got as far as the name.
+    """
     past_email = match_type != "exact_email"
     past_id = past_email & (match_type != "exact_id")
     return F.array_compact(
@@ -46,7 +49,7 @@ def attempted_keys(match_type: Column) -> Column:
             F.when(past_email & (F.col("user_id") != ""), F.concat(F.lit("employeeId:"), F.col("user_id"))),
             F.when(
                 past_id & (F.col("display_name") != ""),
-                F.concat(F.lit("name:"), normalize_name(F.col("display_name"))),
+                F.concat(F.lit("name:"), F.col("name_key")),
             ),
         )
     )
@@ -77,6 +80,7 @@ def _single_pass(accounts, index: IdentityIndex, rules, rows_per_split, limit) -
         .otherwise(F.coalesce("name_type", F.lit("orphan")))
         .alias("match_type"),
         F.coalesce("by_mail", "by_uid", "by_nm").alias("sot"),
+        "name_key",
     )
 
 
@@ -91,7 +95,7 @@ def _staged(accounts, index: IdentityIndex, rules, rows_per_split, limit) -> Dat
     done, rest = [], accounts
     for table, key, label in ((index.by_email, "email", "exact_email"), (index.by_id, "user_id", "exact_id")):
         hit = salted_lookup(rest, table, key, ROW_ID, "inner", hot=hot[key], **opts)
-        done.append(hit.select(*ACCOUNT_COLUMNS, F.lit(label).alias("match_type"), "sot"))
+        done.append(hit.select(*ACCOUNT_COLUMNS, F.lit(label).alias("match_type"), "sot", F.lit("").alias("name_key")))
         rest = salted_lookup(rest, table.select(key), key, ROW_ID, "left_anti", hot=hot[key], **opts)
         rest = rest.select(*ACCOUNT_COLUMNS)
     rest = rest.withColumn("name_key", normalize_name(F.col("display_name")))
@@ -100,7 +104,7 @@ def _staged(accounts, index: IdentityIndex, rules, rows_per_split, limit) -> Dat
     last = salted_lookup(
         rest, names, "name_key", ROW_ID, hot=hot_counts(counts, "name_key", rows_per_split), **opts
     ).select(
-        *ACCOUNT_COLUMNS, F.coalesce("match_type", F.lit("orphan")).alias("match_type"), "sot"
+        *ACCOUNT_COLUMNS, F.coalesce("match_type", F.lit("orphan")).alias("match_type"), "sot", "name_key"
     )
     for part in done:
         last = last.unionByName(part)
@@ -121,7 +125,7 @@ def match_accounts(
     run = _single_pass if small else _staged
     matched = run(rows, index, rules, rows_per_split, broadcast_limit)
     return matched.select(
-        "*",
+        *ACCOUNT_COLUMNS, "match_type", "sot",
         field_conflicts(F.col("sot.display_name"), F.col("display_name")).alias("conflicts"),
         attempted_keys(F.col("match_type")).alias("attempted"),
     )

@@ -96,8 +96,11 @@ def file_fingerprint(spark, sf_dir):
     files = I.probe_files(spark, [f"{root}/okta/*.csv"])
     fresh = I.register(files)
     again = I.register(files, fresh)
-    return fresh.agg(F.count_distinct("hash").alias("files"), F.min(F.length("hash")).alias("digits")).withColumn(
-        "again", again.agg(F.count(F.lit(1))).scalar()
+    listed = files.select("hash", F.length("hash").alias("digits"))
+    return listed.agg(
+        F.max("digits").alias("digits"),
+        (F.count_distinct("hash") == fresh.agg(F.count(F.lit(1))).scalar()).alias("all_fresh_once"),
+        again.agg(F.count(F.lit(1))).scalar().alias("fresh_again"),
     )
 
 

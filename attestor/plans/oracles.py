@@ -255,7 +255,8 @@ def sql() -> dict[str, str]:
     q["fuzzy_top2_decision"] = f"with {IDENT}, {OKTA}, {probes} select probe, name_key, round(score, 9) score, match_type from best"
     q["name_resolution"] = f"with {IDENT}, {OKTA}, {probes} select name_key, match_type, 'E' || sot_ord employee_id from res"
     q["orphans"] = f"{M} select system source_system, user_id, display_name, role, attempted attempted_keys from matched where match_type = 'orphan'"
-    q["no_access_users"] = f"{ENT} select canonical_id, employee_id, display_name, email from entries where match_type = 'no_access'"
+    sap = f"with {IDENT}, {SAP}, acc as (select * from sap), {MATCHED}, {ENTRIES}"
+    q["no_access_users"] = f"{sap} select canonical_id, employee_id, display_name, email from entries where match_type = 'no_access'"
     q["attempted_keys"] = f"{M} select system, source_row, attempted from matched"
     q["field_conflicts"] = f"{M} select s_canonical canonical_id, 'displayName' field, s_name sot_value, display_name satellite_value, 'sot_wins' resolution from matched where n_conflicts = 1"
     q["similarity"] = f"{M} select system, source_row, round({SIM.format(a='lower(display_name)', b='lower(s_name)')}, 9) score from matched where match_type <> 'orphan'"
@@ -336,7 +337,7 @@ def sql() -> dict[str, str]:
     q["sort_topk"] = f"{RPT} select record_id, risk_score from report order by risk_score desc, record_id limit 100"
     q["sort_by_name"] = f"{RPT} select display_name, record_id from report order by lower(display_name), record_id limit 100"
     q["select_filtered"] = f"{RPT} select record_id, match_type from report where match_type = 'orphan' and source_row % 3 <> 0"
-    q["select_by_ids"] = f"{RPT} select record_id, risk_level from report where record_id in (select 'u' || c_custkey || '@acme.com::aws::' || (c_custkey + 1) from customer)"
+    q["select_by_ids"] = f"{RPT} select record_id, risk_level from report where employee_id in (select 'E' || c_custkey from customer where c_nationkey = 3)"
     q["column_projection"] = f"""{RPT}, {admin} select record_id, display_name, r.email, coalesce(a.admin_roles, '') admin_roles, department, employment_status,
       {own}, risk_level, risk_score, manager from report r left join adm2 a on lower(r.email) = a.email"""
     q["review_fold_record"] = _folded("select * from log0 where kind <> 'role'")
@@ -375,6 +376,27 @@ def sql() -> dict[str, str]:
     q["upsert_preserve_review"] = f"""with {EROWS} select record_id, case when event_id % 3 = 1 then 'Old' else role end as role,
       case when event_id % 3 = 1 then 'active' else 'locked' end account_status,
       case when event_id % 3 = 0 then '' else coalesce(review_action, '') end review_action, case when event_id % 3 = 0 then '' else review_note end review_note from erows"""
+    q["file_fingerprint"] = "select 64 digits, true all_fresh_once, 0::bigint fresh_again"
+    # The ordered fold, one row per step; seen = the united role set so far.
+    rs = "list_distinct(list_filter(list_transform(string_split_regex({r}, '[,;]'), lambda x: lower(trim(x))), lambda x: x <> ''))"
+    differ = "(len(f.seen) <> len(c.rs) or len(list_filter(c.rs, lambda x: not list_contains(f.seen, x))) > 0)"
+    lead = "f.risk_score >= c.risk_score"
+    q["cross_batch_merge"] = f"""with recursive {EROWS}, o as (select *, {KEY} k, {rs.format(r='role')} rs,
+        row_number() over (partition by {KEY} order by case when event_id % 3 = 0 then 1 else 0 end, system, event_id) step from erows),
+      f as (select k, step, record_id, risk_level, risk_score, rs seen, review_action, review_note from o where step = 1
+       union all select c.k, c.step, case when {lead} then f.record_id else c.record_id end,
+        case when {lead} then f.risk_level else c.risk_level end, case when {lead} then f.risk_score else c.risk_score end,
+        list_distinct(list_concat(f.seen, c.rs)),
+        case when {differ} then 'flag' when {lead} then coalesce(f.review_action, c.review_action) else coalesce(c.review_action, f.review_action) end,
+        case when {lead} then case when f.review_note <> '' then f.review_note when {differ} then 'Duplicate entries found with different roles' else c.review_note end
+         else case when c.review_note <> '' then c.review_note when {differ} then 'Duplicate entries found with different roles' else f.review_note end end
+       from f join o c on c.k = f.k and c.step = f.step + 1),
+      last as (select * from f where (k, step) in (select k, max(step) from o group by k)),
+      ru as {_tokens('o', 'k', 'step', 'role')}, eu as {_tokens('o', 'k', 'step', 'entitlement')},
+      ll as (select k, count(*) n, max(nullif(last_login, '')) ll, min(role) raw_role, min(entitlement) raw_ent from o group by k)
+      select record_id, case when n = 1 then raw_role else coalesce(ru.u, '') end as role, case when n = 1 then raw_ent else coalesce(eu.u, '') end entitlement,
+       coalesce(ll.ll, '') last_login, risk_level, risk_score, coalesce(review_action, '') review_action, review_note
+      from last join ll using (k) left join ru using (k) left join eu using (k)"""
     q["unprocessed_files"] = "with p as (select page_id, sha256(html) hash from pages) select * from p where hash not in (select hash from p where page_id % 2 = 0)"
     hs = "[" + ", ".join(f"'{h}'" for h in HEADERS) + "]"
     q["header_inference"] = f"""with recursive li as (select l_orderkey, {hs}[(l_partkey * 7 + l_linenumber) % {len(HEADERS)} + 1] h,

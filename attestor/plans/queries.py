@@ -93,7 +93,7 @@ def exact_id_join(spark, sf_dir):
 
 def _names(spark, sf_dir):
     o = D.okta(spark, sf_dir).select(X.normalize_name(F.col("display_name")).alias("name_key"))
-    return o.where(F.col("name_key") != "").distinct()
+    return o.where(F.col("name_key") != "").groupBy("name_key").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
@@ -137,7 +137,9 @@ def orphans(spark, sf_dir):
 
 @query
 def no_access_users(spark, sf_dir):
-    none = M.no_access(matches(spark, sf_dir), D.identity(spark, sf_dir))
+    """Employees without an account in the one system that few have."""
+    identity = D.identity(spark, sf_dir)
+    none = M.no_access(M.match_accounts(D.sap(spark, sf_dir), identity), identity)
     return none.select("canonical_id", "employee_id", "display_name", "email")
 
 
@@ -405,7 +407,8 @@ def select_filtered(spark, sf_dir):
 @query
 def select_by_ids(spark, sf_dir):
     r = report(spark, sf_dir)
-    ids = D.table(spark, sf_dir, "customer").selectExpr("'u' || c_custkey || '@acme.com::aws::' || (c_custkey + 1) as record_id")
+    some = D.table(spark, sf_dir, "customer").where("c_nationkey = 3").selectExpr("'E' || c_custkey as employee_id")
+    ids = r.join(some, "employee_id").select("record_id")
     return Q.select_by_ids(r, ids).select("record_id", "risk_level")
 
 

@@ -32,13 +32,15 @@ class Review:
 
 
 def live_report(accounts: DataFrame, identity: DataFrame, rules: FuzzyRules = FuzzyRules()) -> DataFrame:
-    return dedupe(live_rows(match_accounts(accounts, identity, rules)))
+    """The matches are written once; consolidation reads them more than once."""
+    return dedupe(live_rows(write_through(match_accounts(accounts, identity, rules), "matched")))
 
 
 def policy_report(
     accounts: DataFrame, identity: DataFrame, now_ms: int, dormancy_days: int = DORMANCY_DAYS, keywords=None
 ) -> DataFrame:
-    return policy_entries(match_accounts(accounts, identity), identity, now_ms, dormancy_days, keywords)
+    matched = write_through(match_accounts(accounts, identity), "matched")
+    return policy_entries(matched, identity, now_ms, dormancy_days, keywords)
 
 
 def review_files(

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.sources.mapping import ColumnMapping, raw
+from attestor.sources.mapping import ColumnMapping
 from attestor.sources.normalize import normalize_accounts, normalize_identity
 
 WHOLE_FILE_LIMIT = 256 * 1024 * 1024
@@ -214,7 +214,8 @@ def _scan(spark: SparkSession, layout: Layout) -> DataFrame:
         .csv(layout.paths)
         .select(
             *[F.coalesce(n, F.lit("")).alias(n) for n in names],
-            "_ragged",
+            # A scan pruned to some columns cannot tell ragged rows: tie the flag to all of them.
+            F.when(F.length(F.concat_ws("", *names)) >= 0, F.col("_ragged")).alias("_ragged"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_at"),
@@ -268,9 +269,7 @@ def parse_warnings(rows: DataFrame, headers: list[str]) -> DataFrame:
     unquoted = F.regexp_replace(F.col("_ragged"), r'"(?:[^"]|"")*"', "")
     found = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
     what = F.when(found < columns, F.lit("padding with empty values")).otherwise(F.lit("truncating extra columns"))
-    # The scan refuses to run for the ragged text alone, so a data column is looked at too.
-    read = F.length(raw(headers[0])) >= 0
-    return rows.where(F.col("_ragged").isNotNull() & read).select(
+    return rows.where(F.col("_ragged").isNotNull()).select(
         F.col("_file").alias("file"),
         (F.col("_row") + 1).alias("row"),
         F.concat(F.lit("row has "), found.cast("string"), F.lit(f" columns, expected {columns}; "), what).alias("message"),
