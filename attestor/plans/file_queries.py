@@ -14,7 +14,11 @@ from attestor.sinks.store import ReportStore
 from attestor.sources import files as I
 from attestor.streaming import drop_folder
 
-_IN_TASK = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+
+def _in_task():
+    """Position of a row in its task, from 0."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+
 
 
 def _write_export(accounts, folder: str) -> None:
@@ -24,7 +28,7 @@ def _write_export(accounts, folder: str) -> None:
         F.col("display_name").alias("Full Name"), F.col("account_status").alias("status"),
         F.col("role").alias("Group"), F.col("last_login").alias("lastLogin"),
         F.col("entitlement").alias("Access Level"), F.col("source_row").alias("ref"),
-        (_IN_TASK + 1).alias("place"),
+        (_in_task() + 1).alias("place"),
     ).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
 
 
@@ -58,7 +62,7 @@ def ragged_rows(spark, sf_dir):
         .when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit('"a, '), "s_name", F.lit('",'), F.col("s_suppkey").cast("string"), F.lit(",x,y,z")))
         .otherwise(F.concat("s_name", F.lit(","), F.col("s_suppkey").cast("string"), F.lit(",x")))
     )
-    first = F.when(_IN_TASK == 0, F.lit("name,uid,role\n")).otherwise(F.lit(""))
+    first = F.when(_in_task() == 0, F.lit("name,uid,role\n")).otherwise(F.lit(""))
     D.table(spark, sf_dir, "supplier").select(F.concat(first, line).alias("value")).write.text(f"{root}/sap")
     registry = I.probe_files(spark, [f"{root}/sap/*.txt"], by_folder=True)
     found = I.layouts(registry)

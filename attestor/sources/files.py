@@ -7,8 +7,11 @@ Registry rows are one per file. File contents stay in Spark: small files are rea
 from __future__ import annotations
 
 import csv
+import hashlib
 import math
+import re
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -89,32 +92,45 @@ def _probe_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     The fingerprint is of the set of lines with multiplicity, so two huge files holding the
     same rows in another order count as the same export. UTF-16 is not splittable into lines
-    and must stay below the whole-file limit.
+    and must stay below the whole-file limit. A UTF-8 byte order mark is dropped by the line
+    reader, so such a file shows as plain UTF-8.
     """
-    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start")
-    at = F.struct("file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(paths).select(
+        "value", "_metadata.file_path", "_metadata.file_size",
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("at"),
+    )
     facts = lines.groupBy(F.col("file_path").alias("uri"), F.col("file_size").alias("size")).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("total"),
         F.bit_xor(F.xxhash64("value", F.lit(1))).alias("mix"),
         F.every(F.is_valid_utf8("value")).alias("valid"),
-        F.min_by("value", at).alias("first"),
+        F.min_by("value", "at").alias("first"),
         F.count_if(F.trim("value") != "").alias("filled"),
         F.some(_open_quote(F.col("value"))).alias("multi_line"),
     )
-    bom = F.startswith(F.col("first"), F.lit("\ufeff"))
     return facts.select(
         F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B"))).alias("path"),
         "uri",
         "size",
         F.concat(F.lit("lines:"), F.sha2(F.concat_ws(",", "lines", "total", "mix"), 256)).alias("hash"),
-        F.when(bom, F.lit("utf-8-bom")).when(F.col("valid"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding"),
-        F.regexp_replace("first", "^\ufeff", "").alias("header"),
+        F.when(F.col("valid"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding"),
+        F.col("first").alias("header"),
         (F.col("filled") > 1).alias("has_rows"),
         "multi_line",
     )
 
 
+_FACTS = (
+    "path string, uri string, size long, hash string, encoding string, header string, "
+    "has_rows boolean, multi_line boolean"
+)
+
+
+def _short(uri: str) -> str:
+    """``file:///x`` and ``file:/x`` name the same file."""
+    return re.sub("^file:/+", "file:/", uri)
+
+
 def probe_files(
     spark: SparkSession, paths: list[str], whole_file_limit: int = WHOLE_FILE_LIMIT, by_folder: bool = False
 ) -> DataFrame:
@@ -123,13 +139,20 @@ def probe_files(
     ``by_folder``: a folder of part files is one export; it names the system and its parts are
     numbered as one file, in path order.
     """
-    listing = spark.read.format("binaryFile").load(paths).select("path", "length").collect()
+    loaded = spark.read.format("binaryFile").load(paths)
+    listing = loaded.select("path", "length", F.col("_metadata.file_path").alias("uri")).collect()
     small = [r.path for r in listing if r.length <= whole_file_limit]
     large = [r.path for r in listing if r.length > whole_file_limit]
+    # Spark's scans skip files without a byte; they are registered from the listing.
+    seen = {_short(r.uri) for r in listing}
+    empty = [u for u in map(_short, loaded.inputFiles()) if u not in seen]
     parts = ([_probe_whole(spark, small)] if small else []) + ([_probe_lines(spark, large)] if large else [])
+    if empty:
+        facts = [(unquote(u), u, 0, hashlib.sha256(b"").hexdigest(), "utf-8", "", False, False) for u in empty]
+        parts.append(spark.createDataFrame(facts, _FACTS))
     if not parts:
         raise ValueError(f"no files at {paths}")
-    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    df = _union(parts)
     name = F.element_at(F.split("path", "/"), -2 if by_folder else -1)
     unit = F.regexp_replace("uri", "/[^/]*\\z", "") if by_folder else F.col("uri")
     error = F.when(F.col("header") == "", F.lit(NO_HEADER)).when(~F.col("has_rows"), F.lit(NO_ROWS))
