@@ -33,6 +33,8 @@ def suffix_pattern(end: str = r"\z") -> str:
     return "".join(parts) + end
 
 
+# Where a suffix can start at all; lets the scan skip every other position at once.
+SUFFIX_START = r"(?=[ ,](?:" + "|".join(NAME_SUFFIXES) + r")(?:[ ,]|\z))"
 INITIAL_PATTERN = r"(?<![A-Za-z0-9_])[a-z]\.?" + _ASCII_BLANK
 LAST_FIRST_PATTERN = (
     rf"(?s)^[{_BLANK_CLASS}]*([^,{_BLANK_CLASS}](?:[^,]*[^,{_BLANK_CLASS}])?)[{_BLANK_CLASS}]*,"
@@ -106,7 +108,7 @@ def strip_diacritics(c: Column) -> Column:
 def normalize_name(c: Column) -> Column:
     """Lower, fold accents, drop suffixes and initials, collapse blanks, ``last, first`` → ``first last``."""
     s = strip_diacritics(F.lower(trim_blanks(c)))
-    s = F.regexp_replace(s, suffix_pattern(), "")
+    s = F.regexp_replace(s, SUFFIX_START + suffix_pattern(), "")
     s = F.regexp_replace(s, INITIAL_PATTERN, "")
     s = F.regexp_replace(s, _ASCII_BLANK + "+", " ")
     s = F.regexp_replace(s, LAST_FIRST_PATTERN, "$2 $1")

@@ -218,16 +218,14 @@ def decide(pairs: DataFrame, rules: FuzzyRules = FuzzyRules()) -> DataFrame:
 def resolve_names(probes: DataFrame, index: IdentityIndex, rules: FuzzyRules = FuzzyRules()) -> DataFrame:
     """(name_key, match_type, sot) for every probe name that matches.
 
-    ``probes``: distinct non-blank ``name_key`` with the number of account ``rows``.
+    ``probes``: distinct non-blank ``name_key``. Both ``probes`` and the name index are read
+    several times; pass stored tables.
 
     One holder of the exact name is a clear match, several are ambiguous; only names nobody
     holds go to the similarity search.
     """
-    # The never-false filters keep every use of the two aggregates alike (no column of one of
-    # them is pruned away), so Spark shuffles each once and reuses the exchange.
-    by_name = index.by_name.where("holders > 0")
-    names = by_name.select("name_key", "holders", F.col("sot.sot_ord").alias("sot_ord"))
-    looked_up = probes.where("rows > 0").select("name_key").join(names, "name_key", "left")
+    names = index.by_name.select("name_key", "holders", F.col("sot.sot_ord").alias("sot_ord"))
+    looked_up = probes.select("name_key").join(names, "name_key", "left")
     exact = looked_up.where(F.col("holders").isNotNull()).select(
         "name_key",
         F.col("name_key").alias("best"),
@@ -237,5 +235,5 @@ def resolve_names(probes: DataFrame, index: IdentityIndex, rules: FuzzyRules = F
     broad = decide(candidate_pairs(rest, names, rules), rules).select(
         F.col("probe").alias("name_key"), F.col("name_key").alias("best"), "match_type"
     )
-    records = by_name.select(F.col("name_key").alias("best"), "sot")
+    records = index.by_name.select(F.col("name_key").alias("best"), "sot")
     return exact.unionByName(broad).join(records, "best").select("name_key", "match_type", "sot")

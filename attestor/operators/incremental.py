@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import split_tokens
 from attestor.operators.report import identity_key
+from attestor.operators.skew import salted_lookup
 from attestor.operators.tokens import group_token_union
 from attestor.schema import REPORT_COLUMNS, ROLE_ACTIONS_TYPE, blank_to_null
 
@@ -40,10 +41,6 @@ def upsert(report: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def _entries(c: Column) -> Column:
-    return F.map_entries(c)
-
-
 def consolidate(rows: DataFrame) -> DataFrame:
     """Merge rows of the same user and system across batches, in report order.
 
@@ -60,7 +57,7 @@ def consolidate(rows: DataFrame) -> DataFrame:
     order = F.struct("batch_ord", "system", "source_row", "file_hash", "record_id")
     rows = rows.select(*REPORT_COLUMNS, "batch_ord").withColumns({"_key": identity_key(), "_ord": order})
     packed = F.struct(
-        *[F.col(c) if c != "role_actions" else _entries(F.col(c)).alias(c) for c in REPORT_COLUMNS]
+        *[F.col(c) if c != "role_actions" else F.map_entries(c).alias(c) for c in REPORT_COLUMNS]
     )
     groups = rows.groupBy("_key").agg(
         F.count(F.lit(1)).alias("n"),
@@ -68,7 +65,8 @@ def consolidate(rows: DataFrame) -> DataFrame:
         F.max(blank_to_null("last_login")).alias("login"),
     )
     single = groups.where("n = 1").select("row.*")
-    members = rows.join(groups.where("n > 1").select("_key"), "_key", "left_semi").withColumn(
+    several = groups.where("n > 1").select("_key")
+    members = salted_lookup(rows, several, "_key", ["record_id"], "left_semi").withColumn(
         "_roles", F.array_distinct(F.transform(split_tokens(F.col("role")), F.lower))
     )
 

@@ -6,6 +6,8 @@ Output: the account columns, ``match_type``, ``sot`` (struct, null for orphans),
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from attestor.operators.skew import (
     BROADCAST_LIMIT, ROWS_PER_SPLIT, fits_broadcast, hot_counts, hot_keys, salted_lookup,
 )
 from attestor.schema import ACCOUNT_COLUMNS, CONFLICT_TYPE
+from attestor.session import write_through
 
 ROW_ID = ["system", "source_row", "file_hash"]
 
@@ -55,9 +58,15 @@ def attempted_keys(match_type: Column) -> Column:
     )
 
 
-def _name_counts(rows: DataFrame) -> DataFrame:
-    """Distinct names to resolve with their row counts (which also tell the hot ones)."""
-    return rows.where(F.col("name_key") != "").groupBy("name_key").agg(F.count(F.lit(1)).alias("rows"))
+def _resolved(rows: DataFrame, index: IdentityIndex, rules: FuzzyRules) -> tuple[DataFrame, DataFrame]:
+    """(distinct open names with row counts, their resolution), both written tables.
+
+    Each is read several times and is small next to the accounts; written, they cost one pass,
+    and the size of the resolution is known when the lookup is planned.
+    """
+    counts = rows.where(F.col("name_key") != "").groupBy("name_key").agg(F.count(F.lit(1)).alias("rows"))
+    counts = write_through(counts, "open-names")
+    return counts, write_through(resolve_names(counts, index, rules), "resolved-names")
 
 
 def _single_pass(accounts, index: IdentityIndex, rules, rows_per_split, limit) -> DataFrame:
@@ -69,8 +78,7 @@ def _single_pass(accounts, index: IdentityIndex, rules, rows_per_split, limit) -
     j = j.withColumn(
         "name_key", F.when(open_row, normalize_name(F.col("display_name"))).otherwise(F.lit(""))
     )
-    counts = _name_counts(j)
-    names = resolve_names(counts, index, rules)
+    counts, names = _resolved(j, index, rules)
     names = names.select("name_key", F.col("match_type").alias("name_type"), F.col("sot").alias("by_nm"))
     j = salted_lookup(j, names, "name_key", ROW_ID, hot=hot_counts(counts, "name_key", rows_per_split), **opts)
     return j.select(
@@ -99,8 +107,7 @@ def _staged(accounts, index: IdentityIndex, rules, rows_per_split, limit) -> Dat
         rest = salted_lookup(rest, table.select(key), key, ROW_ID, "left_anti", hot=hot[key], **opts)
         rest = rest.select(*ACCOUNT_COLUMNS)
     rest = rest.withColumn("name_key", normalize_name(F.col("display_name")))
-    counts = _name_counts(rest)
-    names = resolve_names(counts, index, rules)
+    counts, names = _resolved(rest, index, rules)
     last = salted_lookup(
         rest, names, "name_key", ROW_ID, hot=hot_counts(counts, "name_key", rows_per_split), **opts
     ).select(
@@ -118,8 +125,13 @@ def match_accounts(
     rows_per_split: int = ROWS_PER_SPLIT,
     broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """Run the cascade. The size of the exact indexes picks broadcast or shuffled lookups."""
+    """Run the cascade. The size of the exact indexes picks broadcast or shuffled lookups.
+
+    The name stage runs at once (its tables are written); the pass over the accounts that
+    joins everything is lazy.
+    """
     index = identity if isinstance(identity, IdentityIndex) else build_index(identity)
+    index = replace(index, by_name=write_through(index.by_name, "names"))
     rows = accounts.select(*ACCOUNT_COLUMNS).withColumn("email", F.lower("email"))
     small = fits_broadcast(index.by_email, broadcast_limit) and fits_broadcast(index.by_id, broadcast_limit)
     run = _single_pass if small else _staged

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions.risk import DORMANCY_DAYS, live_risk, policy_risk, risk_rank
 from attestor.functions.text import token_set, trim_blanks, union_tokens
 from attestor.operators.match import no_access
+from attestor.operators.skew import salted_lookup
 from attestor.operators.tokens import group_token_union
 from attestor.schema import (
     CONFLICT_TYPE, REPORT_COLUMNS, ROLE_ACTIONS_TYPE, blank_to_null, row_order,
@@ -83,7 +84,10 @@ def dedupe(report: DataFrame) -> DataFrame:
         (F.min(access) != F.max(access)).alias("mixed"),
         (F.min(token_set(F.col("role"))) != F.max(token_set(F.col("role")))).alias("roles_differ"),
     )
-    mixed_rows = rows.join(groups.where("mixed").select("_key"), "_key", "left_semi")
+    # Rows without e-mail and name share one key per system: that group may be huge.
+    mixed_rows = salted_lookup(
+        rows, groups.where("mixed").select("_key"), "_key", ["source_row", "file_hash"], "left_semi"
+    )
     united = group_token_union(mixed_rows, "_key", row_order(), ["role", "entitlement"])
 
     def access_of(field: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.risk import is_privileged_row, privileged_tokens
+from attestor.operators.skew import salted_lookup
 from attestor.schema import RISK_LEVELS, blank_to_null
 
 MATRIX_SYSTEM_LIMIT = 2000
@@ -51,7 +52,7 @@ def user_entries(entries: DataFrame, chunk_rows: int = 1000) -> DataFrame:
     )
     chunks = F.coalesce("_chunks", F.lit(1))
     return (
-        mine.join(large, "canonical_id", "left")
+        salted_lookup(mine, large, "canonical_id", ["system", "source_row"])
         .withColumns({
             "chunks": chunks,
             "chunk": F.pmod(F.xxhash64("system", "source_row"), chunks).cast("int"),

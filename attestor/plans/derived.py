@@ -10,13 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions.text import normalize_name
+from attestor.operators.skew import estimated_bytes
 from attestor.schema import ACCOUNT_COLUMNS, IDENTITY_COLUMNS
 
 NOW_MS = 883_612_800_000  # 1998-01-01T00:00:00Z
 
 
+NARROW_BYTES = 4 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A benchmark table. One small file is one task, however many cores there are, so tables
+    below NARROW_BYTES per core are spread by their key; larger ones are read as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    if NARROW_BYTES // 4 < size < NARROW_BYTES * cores:
+        return df.repartition(cores, df.columns[0])
+    return df
 
 
 def _word(prefix: str, key: str, size: int) -> str:

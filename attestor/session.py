@@ -48,4 +48,4 @@ def write_through(df, label: str):
     """Cut lineage: write to the shared folder and read back (survives executor loss)."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
