@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import similarity
 from attestor.operators.identity import IdentityIndex
+from attestor.operators.skew import fits_broadcast
 
 _EPS = 1e-9
 NAME_COLUMNS = ("name_key", "holders", "sot_ord")
@@ -74,7 +75,11 @@ def _block_key(scheme: int, text: Column) -> Column:
 
 def _full_width(df: DataFrame, key: str) -> DataFrame:
     """Names are few bytes but expand many-fold: keep all tasks busy, whatever the byte size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if fits_broadcast(df):
+        tasks = min(tasks, spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, key)
 
 
 def _indexed_blocks(names: DataFrame, scheme: int, rules: FuzzyRules) -> DataFrame:

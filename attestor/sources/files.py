@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestor.session import write_through
 from attestor.sources.mapping import ColumnMapping
 from attestor.sources.normalize import normalize_accounts, normalize_identity
 
@@ -156,7 +157,7 @@ def probe_files(
     name = F.element_at(F.split("path", "/"), -2 if by_folder else -1)
     unit = F.regexp_replace("uri", "/[^/]*\\z", "") if by_folder else F.col("uri")
     error = F.when(F.col("header") == "", F.lit(NO_HEADER)).when(~F.col("has_rows"), F.lit(NO_ROWS))
-    return df.withColumns({
+    registry = df.withColumns({
         "unit": unit,
         "name": name,
         "system": system_name(name),
@@ -164,6 +165,8 @@ def probe_files(
         "status": F.when(error.isNull(), F.lit("pending")).otherwise(F.lit("error")),
         "error": error,
     }).select(*REGISTRY_COLUMNS)
+    # Written at once: every later use would otherwise read and hash the files again.
+    return write_through(registry, "registry")
 
 
 def register(files: DataFrame, registry: DataFrame | None = None) -> DataFrame:
