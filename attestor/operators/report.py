@@ -70,7 +70,8 @@ def dedupe(report: DataFrame) -> DataFrame:
 
     The lowest source row is kept; roles and entitlements are united, the highest risk and the
     latest login win, differing role sets flag the row. All per-group values are mergeable
-    aggregates. Value lists are only taken apart for groups whose texts differ.
+    aggregates. Value lists are only taken apart for groups whose texts differ. ``report`` is
+    read up to three times: pass a stored table when it is costly to compute.
     """
     rows = report.select(*REPORT_COLUMNS, identity_key().alias("_key"))
     access = F.struct("role", "entitlement")

@@ -392,7 +392,7 @@ def sort_topk(spark, sf_dir):
 
 @query
 def sort_by_name(spark, sf_dir):
-    """Position of every row under the locale sort by display name, by range of the sort."""
+    """First page of the locale sort by display name."""
     r = Q.sort_report(report(spark, sf_dir), "display_name", descending=False)
     return r.select("display_name", "record_id").limit(100)
 
