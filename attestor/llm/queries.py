@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from attestor.llm import exact_dedup, line_dedup, mixing, secret_scan
+from attestor.llm import exact_dedup, line_dedup, mixing, near_dedup, secret_scan
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op5_secrets": secret_scan.op5_secrets,
     "op6_line_dedup": line_dedup.op6_line_dedup,
