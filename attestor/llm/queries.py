@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from attestor.llm import exact_dedup, line_dedup, mixing, near_dedup, secret_scan
+from attestor.llm import exact_dedup, line_dedup, mixing, near_dedup, secret_scan, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op5_secrets": secret_scan.op5_secrets,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_token_files": token_files.op7_token_files,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
