@@ -9,9 +9,11 @@
    that the similarity reaches the threshold is known from the matches so far (uniform prior,
    corrected for chance matches of 8 bits); below MISS the pair goes.
 4. Survivors are verified on the full shingle sets of the whole texts.
-5. Verified links give components. Where a bucket still holds several components, members of
-   different components are compared the same way: pairs inside one component can't change the result, so
-   no pair of the bucket that matters is left out.
+5. Verified links give components. Where a bucket still holds several components, its members are
+   compared in blocks: a pair of different components goes unless its shared shingles can
+   reach the threshold given what either shares with the bucket's smallest member (a member that
+   step 3 pruned there shares less than PIVOT_BAR allows), then step 3 and 4 decide. Pairs inside one
+   component can't change the result, so no pair of the bucket that matters is left out.
 
 A pair at the threshold itself shares no band with probability (1 - 0.8^ROWS)^BANDS = 5e-7 for
 the default numbers, and is pruned with a probability of the order of MISS.
@@ -37,6 +39,10 @@ BATCH = 32
 MISS = 1e-6
 THRESHOLD = 80
 SHINGLE = 5
+#: Pairs with a bucket's smallest member are measured exactly down to this similarity (percent).
+PIVOT_BAR = 50
+#: Members of a bucket that are compared with each other at once.
+BLOCK = 1_000
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
 
 
@@ -95,37 +101,105 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def _prune(threshold: int, hashes: int, batch_size: int, miss: float):
-    steps = [(at, min(at + batch_size, hashes)) for at in range(0, hashes, batch_size)]
-    least = [least_matches(end, threshold / 100, miss) for _, end in steps]
+class Pruning:
+    """Sequential comparison of signatures against a threshold in percent."""
 
+    def __init__(self, threshold: int, hashes: int, batch_size: int = BATCH, miss: float = MISS):
+        ends = [(at, min(at + batch_size, hashes)) for at in range(0, hashes, batch_size)]
+        self.steps = [(at, end, least_matches(end, threshold / 100, miss)) for at, end in ends]
+
+    def survivors(self, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of the pairs (x[i], y[j]) that no batch prunes."""
+        live, hits = np.arange(len(i)), np.zeros(len(i), np.int64)
+        for at, end, need in self.steps:
+            hits[live] += (x[i[live], at:end] == y[j[live], at:end]).sum(1)
+            live = live[hits[live] >= need]
+        return live
+
+
+def _matrix(column: pa.Array, hashes: int) -> np.ndarray:
+    data, offs = text_bytes(column)
+    return data[offs[0]:offs[-1]].reshape(-1, hashes)
+
+
+def _prune(pruning: Pruning, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(text_bytes(b.column(i))[0], np.uint8, b.num_rows * hashes, text_bytes(b.column(i))[1][0]).reshape(-1, hashes)
-                    for i in (2, 3))
-            live, hits = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for (at, end), need in zip(steps, least):
-                hits[live] += (x[live, at:end] == y[live, at:end]).sum(1)
-                live = live[hits[live] >= need]
-            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(live)) for i in (0, 1)], ["a", "b"])
+            if b.num_rows:
+                all_rows = np.arange(b.num_rows)
+                live = pruning.survivors(_matrix(b.column(2), hashes), _matrix(b.column(3), hashes), all_rows, all_rows)
+                yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(live)) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _verify(threshold: int, shingle: int):
+def _overlaps(shingle: int):
+    """Exact sizes of the shingle sets of both texts and of what they share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            keep = []
             (dx, ox), (dy, oy) = text_bytes(b.column(2)), text_bytes(b.column(3))
+            out = np.zeros((b.num_rows, 3), np.int64)
             for i in range(b.num_rows):
                 x, y = (document_shingles(d[o[i]:o[i + 1]], np.array([0, o[i + 1] - o[i]]), powers, shingle)[0] for d, o in ((dx, ox), (dy, oy)))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if len(x) and 100 * both >= threshold * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
+                out[i] = len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], ["a", "b", "na", "nb", "both"]
+            )
+
+    return run
+
+
+def _cross(pruning: Pruning, threshold: int, hashes: int):
+    """Pairs of one block of a bucket, of different components, that may reach the threshold."""
+    def pairs(t: pa.Table) -> np.ndarray:
+        c, n, share, side, pivot = (t[k].to_numpy() for k in ("c", "n", "share", "side", "pivot_row"))
+        sig = _matrix(t["sig"], hashes)
+        found = []
+        for i in range(len(c)):
+            j = np.arange(i + 1, len(c))
+            # Of two blocks, only pairs across them: either alone is a group of its own.
+            j = j[(c[j] != c[i]) & ~pivot[j] & ~pivot[i] & ((side[j] != side[i]) | (t["lo"][0].as_py() == t["hi"][0].as_py()))]
+            most = np.minimum(share[i], share[j]) + np.minimum(n[i] - share[i], n[j] - share[j])
+            j = j[most * (100 + threshold) >= threshold * (n[i] + n[j])]
+            if len(j):
+                j = j[pruning.survivors(sig, sig, np.full(len(j), i), j)]
+                found.append(np.stack([np.full(len(j), i), j]))
+        return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            done, rest = split_last(t)
+            yield from groups(done)
+        if rest is not None:
+            yield from groups(rest)
+
+    def split_last(t: pa.Table):
+        """Whole groups, and the last one, which may go on in the next batch."""
+        if not t.num_rows:
+            return t, None
+        k, lo, hi = (t[x].to_numpy() for x in ("key", "lo", "hi"))
+        last = np.flatnonzero((k != k[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
+        at = int(last[-1]) + 1 if len(last) else 0
+        return t.slice(0, at), t.slice(at)
+
+    def groups(t: pa.Table):
+        if not t.num_rows:
+            return
+        t = t.combine_chunks()
+        k, lo, hi, ids = (t[x].to_numpy() for x in ("key", "lo", "hi", "id"))
+        new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+        out = []
+        for s, e in zip(new, np.append(new[1:], len(k))):
+            if e - s > 1:
+                i, j = pairs(t.slice(s, e - s))
+                out.append(np.stack([np.minimum(ids[s + i], ids[s + j]), np.maximum(ids[s + i], ids[s + j])]))
+        if out:
+            a, b = np.unique(np.concatenate(out, 1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -141,23 +215,20 @@ def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     return reps.select(F.col("doc_id").alias("id"), key.alias("key"))
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int, shingle: int, hashes: int, miss: float) -> DataFrame:
-    """The (a, b) of ``pairs`` that survive pruning and verification."""
-    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        (F.col("na") * 100 >= F.col("nb") * threshold) & (F.col("nb") * 100 >= F.col("na") * threshold)
-    )
-    live = write_through(
-        sized.select("a", "b", "sa", "sb").mapInArrow(_prune(threshold, hashes, BATCH, miss), "a long, b long"), "near-survivors"
-    )
-    text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
+def _measured(live: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, na, nb, both): exact sizes, from the whole texts."""
+    text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")).hint("merge")
     return live.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(
-        _verify(threshold, shingle), "a long, b long"
+        _overlaps(shingle), "a long, b long, na long, nb long, both long"
     )
 
 
+def _reaches(threshold: int) -> Column:
+    return (F.col("both") > 0) & (F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * threshold)
+
+
 def near_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
-                 miss: float = MISS) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 miss: float = MISS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed documents, classes k1 k2 rep of equal sets, component of each linked class: node, component)."""
     hashes = bands * rows
     all_signed = write_through(signed(docs, shingle, hashes), "near-signed")
@@ -165,29 +236,59 @@ def near_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHI
         all_signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-classes"
     )
     reps = write_through(
-        all_signed.join(classes.where("rep is not null"), ["k1", "k2"]).where("doc_id = rep").select("doc_id", "n_shingles", "sig"),
-        "near-reps",
+        all_signed.join(classes.where("rep is not null").hint("merge"), ["k1", "k2"]).where("doc_id = rep").select(
+            "doc_id", F.col("n_shingles").alias("n"), "sig"
+        ).dropDuplicates(["doc_id"]), "near-reps",
     )
     buckets = _buckets(reps, bands, rows)
     shared = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot != _last").drop("_last")
-    members = write_through(buckets.join(shared, "key"), "near-members")
-    pairs = write_through(members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = write_through(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id"), "near-texts")
-    first = write_through(_linked(pairs, reps, texts, threshold, shingle, hashes, miss), "near-links")
-    known = write_through(components(first), "near-components")
-    # Members of one bucket but of different components, not compared yet.
-    placed = members.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("c")
+    members = write_through(buckets.join(shared.hint("merge"), "key"), "near-members")
+
+    bar = min(PIVOT_BAR, threshold)
+    pairs = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")).hint("merge")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
+        (F.col("na") * 100 >= F.col("nb") * bar) & (F.col("nb") * 100 >= F.col("na") * bar)
+    )
+    live = write_through(
+        sized.select("a", "b", "sa", "sb").mapInArrow(_prune(Pruning(bar, hashes, BATCH, miss), hashes), "a long, b long"), "near-survivors"
+    )
+    # Later steps compare members of buckets only, so all texts that may be read again are these.
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = write_through(
+        docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "near-texts"
+    )
+    measured = write_through(_measured(live, texts, shingle), "near-measured")
+    known = write_through(components(measured.where(_reaches(threshold)).select("a", "b")), "near-components")
+
+    # Members of one bucket but of different components.
+    placed = members.join(known.withColumnRenamed("node", "id").hint("merge"), "id", "left").select(
+        "key", "pivot", "id", F.coalesce("component", "id").alias("c")
+    )
+    mixed = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h"), F.count("*").alias("_k")).where(
+        "_l != _h and _k > 2"
+    ).select("key", F.expr(f"cast(ceil(_k / {block}D) as int)").alias("_blocks"))
+    share = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both")
+    size = lambda k, n: reps.select(F.col("doc_id").alias(k), F.col("n").alias(n)).hint("merge")
+    opened = placed.join(mixed.hint("merge"), "key").join(share.hint("merge"), ["pivot", "id"], "left").join(size("pivot", "np"), "pivot").join(
+        reps.withColumnRenamed("doc_id", "id").hint("merge"), "id"
+    )
+    # Where the pivot was pruned, what is shared with it stays below the bar.
+    below = F.floor((F.col("n") + F.col("np")) * bar / (100 + bar))
+    rows_ = opened.select(
+        "key", "id", "c", "n", "sig", (F.col("id") == F.col("pivot")).alias("pivot_row"), "_blocks",
+        F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("both", F.least(below, "n"))).cast("long").alias("share"),
+        F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("side"),
+    ).withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)"))).select(
+        "key", F.least("side", "_other").alias("lo"), F.greatest("side", "_other").alias("hi"), "id", "c", "n", "share", "side", "pivot_row", "sig"
     )
-    mixed = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h")).where("_l != _h").select("key")
-    open_rows = write_through(placed.join(mixed, "key"), "near-open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    cross = x.join(y, F.col("x.key") == F.col("y.key")).where("x.c < y.c").select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
-    ).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = write_through(_linked(cross, reps, texts, threshold, shingle, hashes, miss), "near-links")
-    links = second.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b"))
+    dealt = rows_.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "key", "lo", "hi")
+    cross = write_through(
+        dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(Pruning(threshold, hashes, BATCH, miss), threshold, hashes), "a long, b long"),
+        "near-cross",
+    ).distinct()
+    more = _measured(cross, texts, shingle).where(_reaches(threshold)).select("a", "b")
+    links = more.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b"))
     return all_signed, classes, components(links)
 
 
@@ -203,7 +304,7 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHING
     """
     rows_, classes, linked = near_classes(docs, threshold, shingle, bands, rows, miss)
     slim = rows_.select("doc_id", "n_shingles", "k1", "k2")
-    placed = classes.join(linked, classes["rep"] == linked["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    placed = classes.join(linked.hint("merge"), classes["rep"] == linked["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     some = slim.where("n_shingles > 0").join(placed, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     none = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     same: Column = F.col("doc_id").eqNullSafe(F.col("component_id"))
