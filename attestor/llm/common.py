@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.session import write_through
 
-__all__ = ["ship", "documents", "table", "text_of", "lower_ascii", "write_through", "running_start", "word_array"]
+__all__ = ["ship", "documents", "table", "let", "text_of", "lower_ascii", "write_through", "running_start", "word_array"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,6 +38,11 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, _UPPER, _LOWER)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once: a lambda variable isn't copied where plans are rewritten."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_array(text: Column) -> Column:
     """The words of a text, in order: runs of anything but blank, tab, line breaks and form feed."""
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attestor.llm import exact_dedup, line_dedup, mixing, near_dedup, repeats, secret_scan, token_files, toxicity
+from attestor.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, repeats, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_secrets": secret_scan.op5_secrets,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_files": token_files.op7_token_files,
