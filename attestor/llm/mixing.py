@@ -127,7 +127,7 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mixed_pieces(placed: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix: which words [from, from + words) of which document fill which slot of which shard."""
-    joined = slots(targets, block, seed).withColumnRenamed("words", "_fill").join(pieces(placed, block), ["_key", "block"])
+    joined = slots(targets, block, seed).withColumnRenamed("words", "_fill").join(pieces(placed, block).hint("merge"), ["_key", "block"])
     return joined.where("low < _fill").select(
         "_key", "shard", "slot", "epoch", "block", "doc_id", "_copy", "start",
         (F.col("block") * block + F.col("low") - F.col("start")).alias("from"),
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_E
     """
     placed, targets = plan_mix(docs, weights, epochs)
     taken = mixed_pieces(placed, targets, block, seed).groupBy("_key", "start").agg(F.sum("words").alias("taken"))
-    rows = placed.join(taken, ["_key", "start"], "left").join(targets.drop("source"), "_key")
+    rows = placed.join(taken.hint("merge"), ["_key", "start"], "left").join(targets.drop("source"), "_key")
     return rows.select(
         "doc_id", "size", "source_size", "target",
         F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"), "source",
@@ -168,7 +168,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size", "_hash"))).alias("d")
     parts = parts.alias("p")
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._copy") == F.col("p._copy"))
-    joined = rows.join(parts, on).withColumn("_words", word_array(text_of("d.text")))
+    joined = rows.join(parts.hint("merge"), on).withColumn("_words", word_array(text_of("d.text")))
     whole = (F.col("_taken") == F.col("_size")) & (F.size(F.array_distinct(F.col("_parts.epoch"))) == 1)
     cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
     out = joined.withColumn("_text", F.when(whole, F.col("d.text")).otherwise(cut))

@@ -312,10 +312,13 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHING
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id, once if its row repeats."""
-    kept = near_dedup(docs, **settings).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return found.dropDuplicates(["doc_id"])
+    """``docs`` with one document of each component: the one with the smallest doc_id, once if its row repeats.
+
+    Rows with a null doc_id can't be told apart by id and stay.
+    """
+    kept = near_dedup(docs, **settings).where("kept and doc_id is not null").select("doc_id").distinct()
+    found = docs.join(kept.hint("merge"), "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    return found.unionByName(docs.where("doc_id is null"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestor.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, repeats, secret_scan, token_files, toxicity
+from attestor.llm import decontamination, exact_dedup, license_scan, line_dedup, mixing, near_dedup, repeats, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_files": token_files.op7_token_files,
     "op8_suffix_repeats": repeats.op8_suffix_repeats,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
