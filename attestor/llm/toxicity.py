@@ -12,7 +12,7 @@ rows among the labelled rows of the training folds, or a parameter.
 
 Features are whether a document holds a word (lower-cased runs of letters and digits). Words are
 ranked by the likelihood ratio (G2) of positives against unlabelled; the best FEATURES words that
-enough positives hold are used. The fit reads at most POSITIVES and UNLABELLED documents, chosen by
+enough positives hold, and that stand out from chance, are used. The fit reads at most POSITIVES and UNLABELLED documents, chosen by
 a hash of doc_id; the model is a few hundred numbers and scores every whole text.
 """
 
@@ -32,6 +32,8 @@ ship(__name__)
 
 POSITIVES, UNLABELLED = 4_000, 12_000
 FEATURES = 256
+#: Least G2 of a word that is used; chance gives so much to about one word in two hundred.
+LEAST_G2 = 8.0
 FOLDS = 5
 _DOC = "doc_id long, kind int, word long"
 
@@ -83,7 +85,7 @@ def best_words(rows: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, i
     least = max(3, p // 500)
     best = rows.where("word is not null").groupBy("word").agg(
         F.sum("kind").alias("a"), F.sum(1 - F.col("kind")).alias("b")
-    ).where(F.col("a") >= least).withColumn("g", g2).orderBy(F.desc("g"), "word").limit(features)
+    ).where(F.col("a") >= least).withColumn("g", g2).where(F.col("g") >= LEAST_G2).orderBy(F.desc("g"), "word").limit(features)
     return np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64)), p, u
 
 
