@@ -80,7 +80,7 @@ def later(order: np.ndarray, new: np.ndarray, doc: np.ndarray, at: np.ndarray) -
     if not len(order):
         return np.zeros(0, bool)
     starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-    d, a = doc[order], at[order]
+    d, a = doc[order], at[order].astype(np.int64)
     same = d == np.minimum.reduceat(d, starts)[group]
     return ~(same & (a == np.minimum.reduceat(np.where(same, a, _BIG), starts)[group]))
 
