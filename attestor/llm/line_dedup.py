@@ -39,10 +39,10 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, covered (sorted positions of the lines that go); only documents that lose lines."""
+    """__id, __covered (sorted positions of the lines that go); only documents that lose lines."""
     starts = later_windows(docs, window).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("_at"))
     reach = F.flatten(F.transform("_at", lambda a: F.sequence(a, a + (window - 1))))
-    return starts.select(F.col("doc_id").alias("_id"), F.array_distinct(reach).alias("covered"))
+    return starts.select(F.col("doc_id").alias("__id"), F.array_distinct(reach).alias("__covered"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -50,23 +50,24 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null text counts as empty: one line, nothing removed. Texts of fewer lines than a window stay
     whole. Rows that repeat a doc_id are one place: neither precedes the other, and both lose the
-    same lines. Columns named n_lines, n_removed or removed_spans are replaced.
+    same lines. Columns named n_lines, n_removed or removed_spans are replaced;
+    names that start with two underscores are taken.
     """
-    joined = docs.join(covered_lines(docs, window), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    joined = joined.withColumn("_lines", lines_of(text_of())).withColumn("_gone", F.coalesce("covered", F.array().cast("array<int>")))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.size("_gone") == 0, text_of()).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.col("_lines")[i]), "\n")
+    joined = docs.join(covered_lines(docs, window), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    joined = joined.withColumn("__lines", lines_of(text_of())).withColumn("__gone", F.coalesce("__covered", F.array().cast("array<int>")))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    text = F.when(F.size("__gone") == 0, text_of()).otherwise(
+        F.array_join(F.transform(keep, lambda i: F.col("__lines")[i]), "\n")
     )
     # A span starts at a covered line whose predecessor isn't covered; positions come sorted.
-    starts = F.size(F.array_except(F.col("_gone"), F.transform("_gone", lambda i: i + 1)))
+    starts = F.size(F.array_except(F.col("__gone"), F.transform("__gone", lambda i: i + 1)))
     out = joined.withColumns({
-        "_text": text, "_n": F.size("_lines").cast("long"), "_r": F.size("_gone").cast("long"), "_s": starts.cast("long"),
+        "__text": text, "__n": F.size("__lines").cast("long"), "__r": F.size("__gone").cast("long"), "__s": starts.cast("long"),
     })
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_spans")]
     return out.select(
-        *[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in rest],
-        F.col("_n").alias("n_lines"), F.col("_r").alias("n_removed"), F.col("_s").alias("removed_spans"),
+        *[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in rest],
+        F.col("__n").alias("n_lines"), F.col("__r").alias("n_removed"), F.col("__s").alias("removed_spans"),
     )
 
 

@@ -157,24 +157,25 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     """The mix as documents: each document with the words taken from it, in epoch and text order.
 
     A document taken whole and once keeps its text; otherwise the words taken are joined by blanks.
-    Documents of which nothing is taken go. Other columns stay; n_chars is counted anew.
+    Documents of which nothing is taken go. Other columns stay; n_chars is counted anew;
+    names that start with two underscores are taken.
     """
     placed, targets = plan_mix(docs, weights, epochs)
     parts = mixed_pieces(placed, targets, block, seed).groupBy("doc_id", "_copy").agg(
-        F.sort_array(F.collect_list(F.struct("epoch", "block", "from", "words"))).alias("_parts"), F.sum("words").alias("_taken")
+        F.sort_array(F.collect_list(F.struct("epoch", "block", "from", "words"))).alias("__parts"), F.sum("words").alias("__taken")
     )
     text = text_of()
-    rows = docs.withColumns({"_size": F.size(word_array(text)).cast("long"), "_hash": F.xxhash64(text)})
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size", "_hash"))).alias("d")
+    rows = docs.withColumns({"__size": F.size(word_array(text)).cast("long"), "__hash": F.xxhash64(text)})
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "__size", "__hash"))).alias("d")
     parts = parts.alias("p")
-    on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._copy") == F.col("p._copy"))
-    joined = rows.join(parts.hint("merge"), on).withColumn("_words", word_array(text_of("d.text")))
-    whole = (F.col("_taken") == F.col("_size")) & (F.size(F.array_distinct(F.col("_parts.epoch"))) == 1)
-    cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    out = joined.withColumn("_text", F.when(whole, F.col("d.text")).otherwise(cut))
-    columns = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
+    on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__copy") == F.col("p._copy"))
+    joined = rows.join(parts.hint("merge"), on).withColumn("__words", word_array(text_of("d.text")))
+    whole = (F.col("__taken") == F.col("__size")) & (F.size(F.array_distinct(F.col("__parts.epoch"))) == 1)
+    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__words"), (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    out = joined.withColumn("__text", F.when(whole, F.col("d.text")).otherwise(cut))
+    columns = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": F.col("__text")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
     return out.select(*[v.alias(k) for k, v in columns.items()])
 
 

@@ -68,7 +68,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, un
     u = some(docs.where(train & F.col("doc_id").isNotNull()).select("doc_id").distinct(), unlabelled, 2).withColumn("kind", F.lit(0))
     # At most ``positives`` + ``unlabelled`` ids, whatever the data.
     chosen = write_through(p.union(u), "toxic-fit-ids")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text")
     return write_through(rows.mapInArrow(_words, _DOC), "toxic-fit-words")
 
 
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     """Labels are read from rows outside fold 0 only. Without positives or documents, every text scores the prior."""
     if prior is None:
         prior = labels.where(fold() != 0).agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    prior = min(max(prior, 1e-3), 0.5)
+    prior = min(max(prior, 1e-3), 0.45)  # what holds no known word is never called toxic for the prior alone
     rows = fit_words(docs, labels, positives, unlabelled)
     words, p, u = best_words(rows, features)
     if not len(words):
