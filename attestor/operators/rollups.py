@@ -9,8 +9,6 @@ from attestor.functions.risk import is_privileged_row, privileged_tokens
 from attestor.operators.skew import salted_lookup
 from attestor.schema import RISK_LEVELS, blank_to_null
 
-MATRIX_SYSTEM_LIMIT = 2000
-
 
 def risk_summary(report: DataFrame) -> DataFrame:
     """(risk_level, records) for all five levels, zero included; one pass, one row per task shuffled."""
@@ -44,15 +42,16 @@ def user_summary(entries: DataFrame) -> DataFrame:
 
 def user_entries(entries: DataFrame, chunk_rows: int = 1000) -> DataFrame:
     """(canonical_id, chunk, chunks, entries[]): nested entries, split for users with very many."""
-    mine = entries.where(F.col("match_type") != "orphan")
+    # A blank id is a user like others here, so the key is prefixed.
+    mine = entries.where(F.col("match_type") != "orphan").withColumn("_user", F.concat(F.lit("u"), "canonical_id"))
     large = (
-        mine.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("n"))
+        mine.groupBy("_user").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > chunk_rows)
-        .select("canonical_id", F.ceil(F.col("n") / chunk_rows).cast("int").alias("_chunks"))
+        .select("_user", F.ceil(F.col("n") / chunk_rows).cast("int").alias("_chunks"))
     )
     chunks = F.coalesce("_chunks", F.lit(1))
     return (
-        salted_lookup(mine, large, "canonical_id", ["system", "source_row"])
+        salted_lookup(mine, large, "_user", ["system", "source_row"])
         .withColumns({
             "chunks": chunks,
             "chunk": F.pmod(F.xxhash64("system", "source_row"), chunks).cast("int"),
@@ -90,12 +89,9 @@ def systems(report: DataFrame) -> DataFrame:
     return report.where(F.col("system") != "").select("system").distinct().orderBy("system")
 
 
-def system_names(report: DataFrame, limit: int = MATRIX_SYSTEM_LIMIT) -> list[str]:
-    """System names as column headings; refuses more than a table can have columns for."""
-    names = [r.system for r in systems(report).limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} systems; name the systems to show")
-    return names
+def system_names(report: DataFrame) -> list[str]:
+    """System names as column headings. ``access_cells`` has no columns per system and suits any number."""
+    return [r.system for r in systems(report).collect()]
 
 
 def admin_roles(report: DataFrame, keywords=None) -> DataFrame:
@@ -134,12 +130,19 @@ def access_matrix_rows(report: DataFrame, names: list[str], blank: str = "—")
     )
 
 
+def _user():
+    return F.when(F.col("email") != "", F.lower("email")).otherwise(F.concat(F.lit("name:"), F.lower("display_name")))
+
+
+def access_cells(report: DataFrame) -> DataFrame:
+    """The matrix in long form: (user, system, cell), one row per user and system that holds access."""
+    cell = blank_to_null(F.array_join(F.array_sort(F.collect_set(_cell())), " | "))
+    return report.groupBy(_user().alias("user"), "system").agg(cell.alias("cell")).where(F.col("cell").isNotNull())
+
+
 def access_matrix(report: DataFrame, names: list[str], blank: str = "—") -> DataFrame:
     """User view: one row per user, one column per system; several rows of a cell are listed."""
-    user = F.when(F.col("email") != "", F.lower("email")).otherwise(
-        F.concat(F.lit("name:"), F.lower("display_name"))
-    )
-    return report.groupBy(user.alias("user")).agg(
+    return report.groupBy(_user().alias("user")).agg(
         *[
             F.coalesce(
                 blank_to_null(

@@ -78,10 +78,13 @@ def salted_lookup(
     broadcast_limit: int = BROADCAST_LIMIT,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``left`` to the key-unique ``right``. ``how``: left, inner or left_anti.
+    """Join ``left`` to the key-unique ``right``. ``how``: left, inner, left_semi or left_anti.
 
+    A blank key matches nothing, however the join is run: a left row with one stays unmatched, and a
+    right row with one is left out. Callers to whom blank is a key like others prefix it.
     ``hot`` is a result of ``hot_keys`` or ``hot_counts`` found earlier.
     """
+    right = right.where(F.col(key) != "")
     if fits_broadcast(right, broadcast_limit):
         return left.join(F.broadcast(right), key, how)
     if hot is None:
@@ -96,8 +99,7 @@ def salted_lookup(
         .cast("long"),
     ).drop("_splits")
     salted_right = (
-        right.where(F.col(key) != "")
-        .join(hot, key, "left")
+        right.join(hot, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)))
         .withColumn("_salt", F.col("_salt").cast("long"))
         .drop("_splits")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions.risk import is_privileged_row
 from attestor.operators.rollups import admin_roles, own_system_cell
 from attestor.operators.skew import salted_lookup
+from attestor.session import write_through
 
 PRESETS = ("all", "orphans", "conflicts", "terminated_active", "admins")
 SEARCH_FIELDS = ("display_name", "email", "system", "role", "entitlement")
@@ -71,6 +72,18 @@ def sort_report(report: DataFrame, field: str = "risk_score", descending: bool =
     return report.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_first(), F.asc("record_id"))
 
 
+def positions(ordered: DataFrame) -> DataFrame:
+    """Adds ``position``, from 1, in the order of ``ordered``: place in the range plus rows of earlier ranges."""
+    rows = write_through(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    task = F.shiftright("_at", 33).alias("_task")
+    before = rows.groupBy(task).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_task", F.expr("coalesce(sum(_n) over (order by _task rows between unbounded preceding and 1 preceding), 0)").alias("_before")
+    )
+    # One row per range.
+    placed = rows.withColumn("_task", task).join(F.broadcast(before), "_task")
+    return placed.withColumn("position", F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + F.col("_before") + 1).drop("_at", "_task", "_before")
+
+
 def select_by_ids(report: DataFrame, ids: DataFrame) -> DataFrame:
     return report.join(ids.select("record_id"), "record_id", "left_semi")
 

@@ -94,17 +94,22 @@ def encoding_routing(spark, sf_dir):
 
 @query
 def file_fingerprint(spark, sf_dir):
-    """Files registered once; a second registration of the same content adds nothing."""
+    """Six exports, each thrice: as it is, as a copy, and with its rows in reverse order.
+
+    Which are of equal content, and which are registered; a second registration adds nothing.
+    """
     root = scratch_dir(spark, "hash")
-    _write_export(D.okta(spark, sf_dir), f"{root}/okta")
-    files = I.probe_files(spark, [f"{root}/okta/*.csv"])
+    rows = D.table(spark, sf_dir, "orders").withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
+        F.concat_ws("-", F.col("o_custkey") % 6, F.col("c")).alias("unit"), "o_orderkey", "o_totalprice",
+        F.when(F.col("c") == 2, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("place"),
+    )
+    rows.repartition("unit").sortWithinPartitions("unit", "place").drop("place").write.partitionBy("unit").option("header", True).csv(root)
+    files = I.probe_files(spark, [f"{root}/*/*.csv"], by_folder=True)
     fresh = I.register(files)
-    again = I.register(files, fresh)
-    listed = files.select("hash", F.length("hash").alias("digits"))
-    return listed.agg(
-        F.max("digits").alias("digits"),
-        (F.count_distinct("hash") == fresh.agg(F.count(F.lit(1))).scalar()).alias("all_fresh_once"),
-        again.agg(F.count(F.lit(1))).scalar().alias("fresh_again"),
+    again = I.register(files, fresh).select(F.col("name").alias("name")).withColumn("twice", F.lit(True))
+    first = files.groupBy("hash").agg(F.min("name").alias("first_name"))
+    return files.join(first, "hash").join(fresh.select("name", F.lit(True).alias("once")), "name", "left").join(again, "name", "left").select(
+        "name", "first_name", (F.col("once").isNotNull() & F.col("twice").isNull()).alias("registered")
     )
 
 

@@ -323,6 +323,7 @@ def sql() -> dict[str, str]:
     q["access_matrix"] = f"{RPT} select {user} as user, " + ", ".join(
         f"coalesce(string_agg(distinct {cell}, ' | ' order by {cell}) filter (system = '{s}'), '-') as {s}" for s in ("aws", "okta", "sap")
     ) + " from report group by 1"
+    q["access_cells"] = f"{RPT} select {user} as user, system, string_agg(distinct {cell}, ' | ' order by {cell}) as cell from report where {cell} <> '' group by 1, 2"
     own = ", ".join(f"case when system = '{s}' then {cell} else '-' end as {s}" for s in ("aws", "okta", "sap"))
     q["access_matrix_rows"] = f"{RPT} select record_id, display_name, email, {own} from report"
     row_priv = _any("role || ' ' || entitlement")
@@ -334,8 +335,8 @@ def sql() -> dict[str, str]:
     )
     q["filter_combined"] = f"""{RPT} select record_id, risk_level, system from report where system = 'okta' and risk_level = 'HIGH' and (
       contains(lower(display_name), 'reader') or contains(lower(email), 'reader') or contains(lower(role), 'reader') or contains(lower(entitlement), 'reader'))"""
-    q["sort_topk"] = f"{RPT} select record_id, risk_score from report order by risk_score desc, record_id limit 100"
-    q["sort_by_name"] = f"{RPT} select display_name, record_id from report order by lower(display_name), record_id limit 100"
+    q["sort_topk"] = f"{RPT} select record_id, risk_score, row_number() over (order by risk_score desc, record_id) as position from report"
+    q["sort_by_name"] = f"{RPT} select display_name, record_id, row_number() over (order by lower(display_name), record_id) as position from report"
     q["select_filtered"] = f"{RPT} select record_id, match_type from report where match_type = 'orphan' and source_row % 3 <> 0"
     q["select_by_ids"] = f"{RPT} select record_id, risk_level from report where employee_id in (select 'E' || c_custkey from customer where c_nationkey = 3)"
     q["column_projection"] = f"""{RPT}, {admin} select record_id, display_name, r.email, coalesce(a.admin_roles, '') admin_roles, department, employment_status,
@@ -376,7 +377,9 @@ def sql() -> dict[str, str]:
     q["upsert_preserve_review"] = f"""with {EROWS} select record_id, case when event_id % 3 = 1 then 'Old' else role end as role,
       case when event_id % 3 = 1 then 'active' else 'locked' end account_status,
       case when event_id % 3 = 0 then '' else coalesce(review_action, '') end review_action, case when event_id % 3 = 0 then '' else review_note end review_note from erows"""
-    q["file_fingerprint"] = "select 64 digits, true all_fresh_once, 0::bigint fresh_again"
+    q["file_fingerprint"] = """with r as (select o_custkey % 6 g, c, o_orderkey k, o_totalprice p from orders, unnest([0, 1, 2]) t(c)),
+      u as (select 'unit=' || g || '-' || c as name, string_agg(k || ',' || p, chr(10) order by case when c = 2 then -k else k end) as content from r group by g, c)
+      select name, min(name) over (partition by content) as first_name, name = min(name) over (partition by content) as registered from u"""
     # The ordered fold, one row per step; seen = the united role set so far.
     rs = "list_distinct(list_filter(list_transform(string_split_regex({r}, '[,;]'), lambda x: lower(trim(x))), lambda x: x <> ''))"
     differ = "(len(f.seen) <> len(c.rs) or len(list_filter(c.rs, lambda x: not list_contains(f.seen, x))) > 0)"

@@ -356,6 +356,12 @@ def access_matrix(spark, sf_dir):
     return A.access_matrix(r, A.system_names(r), blank="-")
 
 
+@query
+def access_cells(spark, sf_dir):
+    """The matrix in long form, which has no columns per system."""
+    return A.access_cells(report(spark, sf_dir))
+
+
 @query
 def access_matrix_rows(spark, sf_dir):
     r = report(spark, sf_dir)
@@ -386,15 +392,14 @@ def filter_combined(spark, sf_dir):
 
 @query
 def sort_topk(spark, sf_dir):
-    """First page of the default sort: highest risk first, ties by record id."""
-    return Q.sort_report(report(spark, sf_dir)).limit(100).select("record_id", "risk_score")
+    """The default sort: highest risk first, ties by record id; every record with its position."""
+    return Q.positions(Q.sort_report(report(spark, sf_dir).select("record_id", "risk_score")))
 
 
 @query
 def sort_by_name(spark, sf_dir):
-    """First page of the locale sort by display name."""
-    r = Q.sort_report(report(spark, sf_dir), "display_name", descending=False)
-    return r.select("display_name", "record_id").limit(100)
+    """The locale sort by display name; every record with its position."""
+    return Q.positions(Q.sort_report(report(spark, sf_dir).select("display_name", "record_id"), "display_name", descending=False))
 
 
 @query

@@ -80,14 +80,22 @@ def merge_version(store: ReportStore, accounts: DataFrame, version: int, systems
 
 
 def add_files(
-    store: ReportStore, files: DataFrame, version: int | None = None, mappings=None, default=None
+    store: ReportStore, files: DataFrame, version: int | None = None, mappings=None, default=None, remember: bool = True
 ) -> list[str]:
-    """Match new registered files against the stored identity; returns the systems touched."""
+    """Match new registered files against the stored identity; returns the systems touched.
+
+    ``remember``: the store keeps the fingerprints of what was added, and files it knows are skipped.
+    They are kept after the commit, so a run that fails in between is repeated as a whole.
+    """
     version = store.next_version() if version is None else version
+    if remember:
+        files = register(files, store.load_table("added_files"))
     accounts = read_accounts(store.spark, files, mappings, default)
     if accounts is None:
         return []
     usable = files.where(~F.col("is_sot") & (F.col("status") != "error"))
     systems = [r.system for r in usable.select("system").distinct().collect()]
     merge_version(store, accounts.rows, version, systems)
+    if remember:
+        store.append_table("added_files", usable)
     return systems

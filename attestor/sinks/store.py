@@ -8,9 +8,9 @@ repeated: it reads the state before V and overwrites V.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from attestor.schema import REPORT_COLUMNS
 
@@ -31,7 +31,9 @@ class ReportStore:
     def _read(self, table: str) -> DataFrame | None:
         try:
             return self.spark.read.option("mergeSchema", False).parquet(self._path(table))
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # unreadable is not absent
+                raise
             return None
 
     def _latest(self, before: int | None) -> DataFrame | None:

@@ -1,7 +1,7 @@
 """Export files: registry (hash, encoding, header, system), CSV scan, warnings.
 
-Registry rows are one per file. File contents stay in Spark: small files are read whole
-(``binaryFile``), files beyond ``whole_file_limit`` line by line over many tasks.
+Registry rows are one per file. Files of every size are read line by line over many tasks, so
+fingerprint, encoding and header don't depend on a file's size or on how it is split.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from attestor.session import write_through
 from attestor.sources.mapping import ColumnMapping
 from attestor.sources.normalize import normalize_accounts, normalize_identity
 
-WHOLE_FILE_LIMIT = 256 * 1024 * 1024
-HEADER_BYTES = 65_536
 OFFSET_BROADCAST_BLOCKS = 200_000
 MIN_SPLIT = 16 * 1024 * 1024
 # Trailing words dropped from a file name to get the system name.
@@ -36,7 +34,6 @@ REGISTRY_COLUMNS = (
     "path", "uri", "unit", "name", "size", "hash", "encoding", "header", "multi_line", "system", "is_sot", "status", "error",
 )
 _READ_AS = {"utf-8": "UTF-8", "utf-8-bom": "UTF-8", "utf-16le": "UTF-16", "utf-16be": "UTF-16", "latin-1": "ISO-8859-1"}
-_RECORD = r'(?s)^\x{FEFF}?((?:[^"\r\n]|"[^"]*"?)*)(.*)\z'
 
 
 def system_name(file_name: Column) -> Column:
@@ -45,78 +42,74 @@ def system_name(file_name: Column) -> Column:
     return F.coalesce(F.nullif(cut, F.lit("")), stem)
 
 
-def _encoding(content: Column) -> Column:
-    start = F.hex(F.substring(content, 1, 3))
-    return (
-        F.when(start == "EFBBBF", F.lit("utf-8-bom"))
-        .when(F.startswith(start, F.lit("FFFE")), F.lit("utf-16le"))
-        .when(F.startswith(start, F.lit("FEFF")), F.lit("utf-16be"))
-        .when(F.is_valid_utf8(content.cast("string")), F.lit("utf-8"))
-        .otherwise(F.lit("latin-1"))
-    )
-
-
 def _decoded(content: Column, encoding: Column) -> Column:
-    wide = F.when(encoding.isin("utf-16le", "utf-16be"), F.decode(content, "UTF-16"))
+    """Text of raw bytes; half a UTF-16 line break at the end goes."""
+    even = F.expr("substring(head, 1, length(head) - length(head) % 2)")
+    wide = F.when(encoding.isin("utf-16le", "utf-16be"), F.decode(even, "UTF-16"))
     return wide.when(encoding == "latin-1", F.decode(content, "ISO-8859-1")).otherwise(content.cast("string"))
 
 
 def _open_quote(line: Column) -> Column:
-    return F.pmod(F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit(""))), F.lit(2)) == 1
-
-
-def _probe_whole(spark: SparkSession, paths: list[str]) -> DataFrame:
-    df = spark.read.format("binaryFile").load(paths)
-    df = df.select(
-        "path",
-        F.col("_metadata.file_path").alias("uri"),
-        "length",
-        F.sha2("content", 256).alias("hash"),
-        "content",
-        _encoding(F.col("content")).alias("encoding"),
-    )
-    df = df.withColumn("text", _decoded(F.col("content"), F.col("encoding")))
-    return df.select(
-        "path",
-        "uri",
-        F.col("length").alias("size"),
-        "hash",
-        "encoding",
-        F.regexp_extract(F.substring("text", 1, HEADER_BYTES), _RECORD, 1).alias("header"),
-        (F.btrim(F.regexp_extract("text", _RECORD, 2), F.lit("\r\n")) != "").alias("has_rows"),
-        F.exists(F.split("text", "\n"), _open_quote).alias("multi_line"),
-    )
+    return F.pmod(F.length(line) - F.length(F.replace(line, F.lit(b'"').cast("string"), F.lit(""))), F.lit(2)) == 1
 
 
-def _probe_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same facts for huge files from mergeable per-line aggregates.
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Every line of every file with its number, from 0; bytes are kept as they are.
 
-    The fingerprint is of the set of lines with multiplicity, so two huge files holding the
-    same rows in another order count as the same export. UTF-16 is not splittable into lines
-    and must stay below the whole-file limit. A UTF-8 byte order mark is dropped by the line
-    reader, so such a file shows as plain UTF-8.
+    Lines of one block are consecutive in one task; the line counts of a file's earlier blocks
+    give the number, so neither the split size nor the file size matters.
     """
-    lines = spark.read.text(paths).select(
-        "value", "_metadata.file_path", "_metadata.file_size",
-        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("at"),
+    raw = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
     )
-    facts = lines.groupBy(F.col("file_path").alias("uri"), F.col("file_size").alias("size")).agg(
+    blocks = raw.groupBy("uri", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("uri").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocks.select("uri", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(offsets, ["uri", "block"]).select("uri", "size", "value", (F.col("at") + F.col("shift")).alias("n"))
+
+
+def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Facts of each file from mergeable aggregates of its lines.
+
+    The fingerprint is a digest of sums over (line number, line): 128 bits that depend on the
+    content and its order. A UTF-8 byte order mark is dropped by the line reader, so a file
+    with one is three bytes longer than its lines. The header is the first record: a line with an
+    open quote goes on to the next line with an odd number of quotes.
+    """
+    lines = _lines(spark, paths)
+    text = F.col("value").cast("string")
+    facts = lines.groupBy("uri", "size").agg(
         F.count(F.lit(1)).alias("lines"),
-        F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("total"),
-        F.bit_xor(F.xxhash64("value", F.lit(1))).alias("mix"),
-        F.every(F.is_valid_utf8("value")).alias("valid"),
-        F.min_by("value", "at").alias("first"),
-        F.count_if(F.trim("value") != "").alias("filled"),
-        F.some(_open_quote(F.col("value"))).alias("multi_line"),
+        F.sum(F.xxhash64("value", "n").cast("decimal(38,0)")).alias("total"),
+        F.sum(F.xxhash64("n", "value", F.lit(1)).cast("decimal(38,0)")).alias("mix"),
+        F.sum(F.octet_length("value") + 1).alias("bytes"),
+        F.every(F.is_valid_utf8(text)).alias("valid"),
+        F.max(F.when(F.col("n") == 0, F.hex(F.substring("value", 1, 2)))).alias("start"),
+        F.max(F.when(F.col("n") == 0, _open_quote(text))).alias("open"),
+        F.min(F.when((F.col("n") > 0) & _open_quote(text), F.col("n"))).alias("close"),
+        F.max(F.when(F.regexp_replace(text, r"[\x00\s]", "") != "", F.col("n"))).alias("filled"),
+        F.some(_open_quote(text)).alias("multi_line"),
     )
-    return facts.select(
+    facts = facts.withColumn(
+        "encoding",
+        F.when(F.startswith("start", F.lit("FFFE")), F.lit("utf-16le")).when(F.startswith("start", F.lit("FEFF")), F.lit("utf-16be"))
+        .when(~F.col("valid"), F.lit("latin-1")).when(F.col("bytes") < F.col("size"), F.lit("utf-8-bom")).otherwise(F.lit("utf-8")),
+    ).withColumn("last", F.when(F.col("open"), F.coalesce("close", F.col("lines") - 1)).otherwise(F.lit(0)))
+    facts = write_through(facts, "file-facts")
+    heads = lines.join(facts.select("uri", "last"), "uri").where(F.col("n") <= F.col("last")).groupBy("uri").agg(
+        F.array_sort(F.collect_list(F.struct("n", "value"))).alias("head")
+    ).select("uri", F.expr("aggregate(slice(head.value, 2, size(head)), head[0].value, (a, x) -> concat(a, X'0A', x))").alias("head"))
+    header = F.regexp_replace(F.regexp_replace(_decoded(F.col("head"), F.col("encoding")), "^\ufeff", ""), "[\r\n]+$", "")
+    return facts.join(heads, "uri").select(
         F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B"))).alias("path"),
         "uri",
         "size",
-        F.concat(F.lit("lines:"), F.sha2(F.concat_ws(",", "lines", "total", "mix"), 256)).alias("hash"),
-        F.when(F.col("valid"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding"),
-        F.col("first").alias("header"),
-        (F.col("filled") > 1).alias("has_rows"),
+        F.sha2(F.concat_ws(",", "size", "lines", "total", "mix"), 256).alias("hash"),
+        "encoding",
+        header.alias("header"),
+        (F.coalesce("filled", F.lit(-1)) > F.col("last")).alias("has_rows"),
         "multi_line",
     )
 
@@ -132,22 +125,18 @@ def _short(uri: str) -> str:
     return re.sub("^file:/+", "file:/", uri)
 
 
-def probe_files(
-    spark: SparkSession, paths: list[str], whole_file_limit: int = WHOLE_FILE_LIMIT, by_folder: bool = False
-) -> DataFrame:
+def probe_files(spark: SparkSession, paths: list[str], by_folder: bool = False) -> DataFrame:
     """Registry rows of the files found at ``paths`` (files, folders or globs).
 
-    ``by_folder``: a folder of part files is one export; it names the system and its parts are
-    numbered as one file, in path order.
+    ``by_folder``: a folder of part files is one export; it names the system, its parts are
+    numbered as one file, in path order, and its fingerprint is that of all parts.
     """
     loaded = spark.read.format("binaryFile").load(paths)
-    listing = loaded.select("path", "length", F.col("_metadata.file_path").alias("uri")).collect()
-    small = [r.path for r in listing if r.length <= whole_file_limit]
-    large = [r.path for r in listing if r.length > whole_file_limit]
+    listing = loaded.select(F.col("_metadata.file_path").alias("uri")).collect()
     # Spark's scans skip files without a byte; they are registered from the listing.
     seen = {_short(r.uri) for r in listing}
     empty = [u for u in map(_short, loaded.inputFiles()) if u not in seen]
-    parts = ([_probe_whole(spark, small)] if small else []) + ([_probe_lines(spark, large)] if large else [])
+    parts = [_probe(spark, paths)] if listing else []
     if empty:
         facts = [(unquote(u), u, 0, hashlib.sha256(b"").hexdigest(), "utf-8", "", False, False) for u in empty]
         parts.append(spark.createDataFrame(facts, _FACTS))
@@ -157,8 +146,11 @@ def probe_files(
     name = F.element_at(F.split("path", "/"), -2 if by_folder else -1)
     unit = F.regexp_replace("uri", "/[^/]*\\z", "") if by_folder else F.col("uri")
     error = F.when(F.col("header") == "", F.lit(NO_HEADER)).when(~F.col("has_rows"), F.lit(NO_ROWS))
+    df = df.withColumn("unit", unit)
+    if by_folder:
+        whole = F.array_sort(F.collect_list(F.struct("path", "hash")).over(W.partitionBy("unit")))
+        df = df.withColumn("hash", F.sha2(F.array_join(F.transform(whole, lambda p: p["hash"]), ","), 256))
     registry = df.withColumns({
-        "unit": unit,
         "name": name,
         "system": system_name(name),
         "is_sot": F.lit(False),
@@ -170,9 +162,10 @@ def probe_files(
 
 
 def register(files: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """Files not registered yet, one per content (also inside the same call)."""
-    first = files.groupBy("hash").agg(F.min_by(F.struct(*files.columns), "path").alias("f")).select("f.*")
-    return first if registry is None else first.join(registry.select("hash"), "hash", "left_anti").select(*files.columns)
+    """Units (files, or folders of parts) not registered yet, one per content (also inside the same call)."""
+    first = files.groupBy("hash").agg(F.min_by("unit", "path").alias("unit"))
+    fresh = files.join(first, ["hash", "unit"], "left_semi")
+    return fresh if registry is None else fresh.join(registry.select("hash"), "hash", "left_anti").select(*files.columns)
 
 
 def designate_sot(registry: DataFrame, path: str) -> DataFrame:

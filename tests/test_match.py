@@ -135,3 +135,13 @@ def test_top_two_decision(spark):
         "one": ("n1", "fuzzy_name"), "clear": ("n1", "fuzzy_name"), "close": ("n1", "fuzzy_ambiguous"),
         "twins": ("n3", "fuzzy_ambiguous"), "tie": ("n2", "fuzzy_ambiguous"),
     }
+
+
+def test_a_blank_key_matches_nothing_however_the_join_runs(spark):
+    left = spark.createDataFrame([(1, ""), (2, "a"), (3, "b")], "id long, k string")
+    right = spark.createDataFrame([("", "blank"), ("a", "A")], "k string, v string")
+    want = {"left": {(1, None), (2, "A"), (3, None)}, "inner": {(2, "A")}, "left_semi": {(2,)}, "left_anti": {(1,), (3,)}}
+    for how, rows in want.items():
+        for limit in (-1, 1 << 30):
+            out = salted_lookup(left, right, "k", ["id"], how, broadcast_limit=limit)
+            assert {tuple(r) for r in out.select(*(["id", "v"] if how in ("left", "inner") else ["id"])).collect()} == rows

@@ -123,3 +123,11 @@ def test_sheets_and_csv_text(spark, tmp_path):
     text = next((tmp_path / "out").glob("*.csv")).read_bytes().decode()
     assert text.startswith("Canonical ID,Employee ID,") and text.endswith("\r\n") and text.count("\r\n") == 2
     assert '1,,"A ""q"", b",,,,active,sys, x ,,,active,exact_email,INFO,10,p:revoke,,,0\r\n' in text
+
+
+def test_positions_follow_the_order(spark):
+    from attestor.operators import views
+
+    rows = spark.range(500).selectExpr("id % 7 as k", "concat('r', id) as record_id").repartition(9)
+    out = views.positions(rows.orderBy("k", "record_id")).orderBy("position").collect()
+    assert [r.position for r in out] == list(range(1, 501)) and [(r.k, r.record_id) for r in out] == sorted((r.k, r.record_id) for r in out)

@@ -72,3 +72,28 @@ def test_add_files_needs_identity_and_skips_bad_files(spark, tmp_path, store):
     assert add_files(store, register(probe_files(spark, [bad]))) == []
     assert add_files(store, register(probe_files(spark, [good, bad]))) == ["hr"]
     assert store.next_version() == 1
+
+
+def test_parts_over_several_micro_batches(spark, tmp_path, store):
+    folder = tmp_path / "crm_export"
+    for i in range(5):
+        drop(folder, f"part-{i}.csv", f"u{i},u{i}@x.com,User {i},active,Dev\n")
+
+    def run():
+        q = watch_folder(spark, str(folder), store, str(tmp_path / "state"), max_files=2, available_now=True, by_folder=True)
+        q.awaitTermination()
+        assert q.exception() is None
+
+    run()
+    assert sorted(r.source_row for r in store.report().collect()) == [1, 2, 3, 4, 5]
+    drop(folder, "part-9.csv", "late,late@x.com,Late,active,Dev\n")
+    run()
+    assert store.report().count() == 5
+    assert [r.name for r in store.load_table("stream_files").where("status = 'error'").collect()] == ["crm_export"]
+
+
+def test_a_file_added_twice_is_merged_once(spark, tmp_path, store):
+    path = drop(tmp_path / "f", "crm.csv", "a,ann@x.com,Ann Lee,active,Dev\n")
+    assert add_files(store, probe_files(spark, [path])) == ["crm"]
+    assert add_files(store, probe_files(spark, [path])) == []
+    assert store.report().count() == 1 and store.next_version() == 1
