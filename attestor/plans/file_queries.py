@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from attestor.operators import rollups as A
@@ -12,6 +14,7 @@ from attestor.session import scratch_dir
 from attestor.sinks import sheets as S
 from attestor.sinks.store import ReportStore
 from attestor.sources import files as I
+from attestor.sources.normalize import normalize_identity
 from attestor.streaming import drop_folder
 
 
@@ -113,6 +116,67 @@ def file_fingerprint(spark, sf_dir):
     )
 
 
+@query
+def employee_file(spark, sf_dir):
+    """The employee list through a CSV export and its normaliser."""
+    root = scratch_dir(spark, "staff")
+    people = D.identity(spark, sf_dir)
+    people.select(
+        F.concat(F.lit(" "), "employee_id").alias("employee_id"), F.col("display_name").alias("full_name"),
+        F.upper("email").alias("email_address"), "department", "manager", F.upper("employment_status").alias("employment_status"),
+        F.col("admin_info").alias("Admin Info"),
+    ).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{root}/hr_feed")
+    registry = I.probe_files(spark, [f"{root}/hr_feed/*.csv"], by_folder=True)
+    found = I.layouts(registry)
+    rows = normalize_identity(I.read_layouts(spark, registry, found)[0], found[0].headers)
+    return rows.select(
+        "canonical_id", "employee_id", "display_name", "email", "department", "manager", "employment_status", "admin_info", "normalized_name"
+    )
+
+
+@query
+def json_mapping(spark, sf_dir):
+    """Accounts through files and a mapping kept as JSON, checked before it is used."""
+    root = scratch_dir(spark, "json")
+    D.table(spark, sf_dir, "supplier").select(
+        F.concat_ws("|", "s_suppkey", "s_nationkey").alias("ids"), F.col("s_name").alias("who"), F.lit("x").alias("dept")
+    ).write.option("header", True).csv(f"{root}/crm_users")
+    registry = I.probe_files(spark, [f"{root}/crm_users/*.csv"], by_folder=True)
+    mapping = json.dumps({
+        "direct": {"who": "displayName"},
+        "concat": [{"sourceColumns": ["dept", "who"], "separator": "/", "targetField": "role"}],
+        "split": [{"sourceColumn": "ids", "separator": "|", "index": 0, "targetField": "userId"}],
+        "template": [{"template": "{who}@{dept}.example", "targetField": "email"}],
+    })
+    rows = I.read_accounts(spark, registry, mappings={"crm": mapping}).rows
+    return rows.select("system", "user_id", "display_name", "role", "email")
+
+
+@query
+def file_errors(spark, sf_dir):
+    """One file per nation: those of odd ones have a header and no rows. They are listed, the rest is read."""
+    root = scratch_dir(spark, "nations")
+    n = D.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_name")
+    lines = n.where("nation % 2 = 0").select("nation", F.lit(1).alias("at"), F.concat_ws(",", "s_suppkey", "s_name").alias("line"))
+    heads = n.select("nation").distinct().select("nation", F.lit(0).alias("at"), F.lit("login,displayName").alias("line"))
+    heads.unionByName(lines).repartition("nation").sortWithinPartitions("nation", "at").drop("at").write.partitionBy("nation").text(root)
+    registry = I.probe_files(spark, [f"{root}/*/*.txt"], by_folder=True)
+    read = I.read_accounts(spark, registry).rows.groupBy("system").agg(F.count(F.lit(1)).alias("rows_read"))
+    return registry.select("name", "system", "status", F.coalesce("error", F.lit("")).alias("error")).join(read, "system", "left").select(
+        "name", "status", "error", F.coalesce("rows_read", F.lit(0)).alias("rows_read")
+    )
+
+
+@query
+def snapshot_round_trip(spark, sf_dir):
+    """The report saved as a snapshot, saved again and loaded."""
+    store = ReportStore(spark, scratch_dir(spark, "snapshot"))
+    assert store.load_table("snapshot") is None
+    for rows in (report(spark, sf_dir).limit(0), report(spark, sf_dir)):
+        store.save_table("snapshot", rows)
+    return store.load_table("snapshot").select("record_id", "system", "role", "risk_level", "risk_score", "source_row")
+
+
 @query
 def master_csv(spark, sf_dir):
     """The master report written as CSV and read back."""

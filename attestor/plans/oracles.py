@@ -377,6 +377,12 @@ def sql() -> dict[str, str]:
     q["upsert_preserve_review"] = f"""with {EROWS} select record_id, case when event_id % 3 = 1 then 'Old' else role end as role,
       case when event_id % 3 = 1 then 'active' else 'locked' end account_status,
       case when event_id % 3 = 0 then '' else coalesce(review_action, '') end review_action, case when event_id % 3 = 0 then '' else review_note end review_note from erows"""
+    q["employee_file"] = f"with {IDENT} select canonical_id, employee_id, display_name, email, department, manager, employment_status, admin_info, normalized_name from ident"
+    q["json_mapping"] = """select 'crm' as system, s_suppkey::varchar user_id, s_name display_name, 'x/' || s_name as role, lower(s_name) || '@x.example' email from supplier"""
+    q["file_errors"] = """select 'nation=' || s_nationkey as name, case when s_nationkey % 2 = 1 then 'error' else 'pending' end as status,
+      case when s_nationkey % 2 = 1 then 'file contains no data rows' else '' end as error,
+      case when s_nationkey % 2 = 1 then 0 else count(*) end as rows_read from supplier group by s_nationkey"""
+    q["snapshot_round_trip"] = f"{RPT} select record_id, system, role, risk_level, risk_score, source_row from report"
     q["file_fingerprint"] = """with r as (select o_custkey % 6 g, c, o_orderkey k, o_totalprice p from orders, unnest([0, 1, 2]) t(c)),
       u as (select 'unit=' || g || '-' || c as name, string_agg(k || ',' || p, chr(10) order by case when c = 2 then -k else k end) as content from r group by g, c)
       select name, min(name) over (partition by content) as first_name, name = min(name) over (partition by content) as registered from u"""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.session import write_through
-from attestor.sources.mapping import ColumnMapping
+from attestor.sources.mapping import ColumnMapping, load_mapping, validate_mapping
 from attestor.sources.normalize import normalize_accounts, normalize_identity
 
 OFFSET_BROADCAST_BLOCKS = 200_000
@@ -308,8 +308,18 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _checked(mapping: ColumnMapping | str | None) -> ColumnMapping | str | None:
+    """A mapping in JSON is loaded; one that names a field twice, or an unknown one, stops the run."""
+    if isinstance(mapping, str) and mapping.lstrip().startswith("{"):
+        mapping = load_mapping(mapping)
+    if isinstance(mapping, ColumnMapping):
+        validate_mapping(mapping)
+    return mapping
+
+
 def read_identity(spark: SparkSession, registry: DataFrame, mapping: ColumnMapping | str | None = None) -> Ingested:
     """The employee list; an unusable file stops the run."""
+    mapping = _checked(mapping)
     one = check_sot(registry)
     bad = one.where(F.col("status") == "error").select("name", "error").first()
     if bad:
@@ -335,7 +345,7 @@ def read_accounts(
     """
     usable = registry.where(~F.col("is_sot") & (F.col("status") != "error"))
     facts = usable.select(F.col("uri").alias("_file"), F.col("system").alias("_system"), F.col("hash").alias("_hash"))
-    mapped = mappings or {}
+    mapped, default = {s: _checked(m) for s, m in (mappings or {}).items()}, _checked(default)
     groups = [(usable.where(F.col("system") == s), m) for s, m in mapped.items()]
     groups.append((usable.where(~F.col("system").isin(*mapped)) if mapped else usable, default))
     planned = [(x, mapping) for files, mapping in groups for x in layouts(files)]
