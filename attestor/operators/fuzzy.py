@@ -6,9 +6,11 @@ damage at most K pieces, so a partner contains at least one piece unchanged near
 (the partition scheme of Li, Deng, Wang, Feng: Pass-Join, PVLDB 2011). Matching pieces is an
 equi-join on a 64-bit block key; candidates are verified with ``levenshtein``.
 
-Pieces many names share would make a block quadratic. Names holding such a piece are cut
-finer instead and indexed by their K+1 rarest pieces (any K+1 disjoint pieces keep the
-guarantee), which splits the hot block without losing a pair.
+Pieces many names share would make a block quadratic. Names holding such a piece are cut into
+K+3 pieces instead, of which at least three stay unchanged, and every three pieces of a name make a
+key. Three pieces together are far rarer than one (a first name that many share fills two at most
+of them), so the hot block splits without losing a pair.
+The counts that decide this stay in a joined table; nothing is collected or capped.
 
 Only distinct names enter; candidate pairs are reduced per (probe, score) before the top two
 scores of a probe are looked at, so no list of candidates is ever collected.
@@ -27,8 +29,6 @@ from attestor.operators.skew import fits_broadcast
 
 _EPS = 1e-9
 NAME_COLUMNS = ("name_key", "holders", "sot_ord")
-FINE_FACTOR = 3
-HOT_BLOCKS = 2000
 
 
 @dataclass(frozen=True)
@@ -56,21 +56,36 @@ def _piece_start(i: Column, length: Column, pieces: Column) -> Column:
     return _floor(i * length / pieces)
 
 
-def _pieces(rows: DataFrame, scheme: int) -> DataFrame:
+def _pieces(rows: DataFrame) -> DataFrame:
     """One row per piece of an index name of length ``l`` with ``edits`` allowed: i, start, size."""
-    count = F.col("edits") + 1
-    if scheme:
-        count = F.least(F.col("l"), F.lit(FINE_FACTOR) * count)
     return (
-        rows.withColumn("count", count)
+        rows.withColumn("count", F.col("edits") + 1)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
         .withColumn("start", _piece_start(F.col("i"), F.col("l"), F.col("count")))
         .withColumn("size", _piece_start(F.col("i") + 1, F.col("l"), F.col("count")) - F.col("start"))
     )
 
 
-def _block_key(scheme: int, text: Column) -> Column:
-    return F.xxhash64(F.lit(scheme), F.col("l"), F.col("i"), text)
+def _piece_triples(rows: DataFrame) -> DataFrame:
+    """One row per three pieces i < j < m of an index name cut into ``edits`` + 3 pieces: their starts s, t, u and ends."""
+    place = lambda i: _piece_start(i, F.col("l"), F.col("count"))
+    return (
+        rows.withColumn("count", F.least(F.col("l"), F.col("edits") + 3))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("count") - 3)))
+        .withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("count") - 2)))
+        .withColumn("m", F.explode(F.sequence(F.col("j") + 1, F.col("count") - 1)))
+        .withColumns({n: place(F.col(c)) for n, c in (("s", "i"), ("t", "j"), ("u", "m"))})
+        .withColumns({f"{n}_end": place(F.col(c) + 1) for n, c in (("s", "i"), ("t", "j"), ("u", "m"))})
+    )
+
+
+def _block_key(text: Column) -> Column:
+    return F.xxhash64(F.lit(0), F.col("l"), F.col("i"), text)
+
+
+def _triple_key(name: str, shifts: tuple) -> Column:
+    cut = [F.substring(name, F.col(n) + x + 1, F.col(f"{n}_end") - F.col(n)) for n, x in zip("stu", shifts)]
+    return F.xxhash64(F.lit(1), F.col("l"), F.col("i"), F.col("j"), F.col("m"), *cut)
 
 
 def _full_width(df: DataFrame, key: str) -> DataFrame:
@@ -82,27 +97,27 @@ def _full_width(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(tasks, key)
 
 
-def _indexed_blocks(names: DataFrame, scheme: int, rules: FuzzyRules) -> DataFrame:
-    """(name_key, holders, sot_ord, i, block) of every piece of every index name."""
-    rows = names.select(*NAME_COLUMNS, F.char_length("name_key").alias("l")).withColumn(
-        "edits", _edits_of_indexed(F.col("l"), rules)
-    )
+def _indexed_names(names: DataFrame, rules: FuzzyRules) -> DataFrame:
+    rows = names.select(*NAME_COLUMNS, F.char_length("name_key").alias("l"))
+    return rows.withColumn("edits", _edits_of_indexed(F.col("l"), rules)).where("edits > 0")
+
+
+def _indexed_blocks(names: DataFrame, rules: FuzzyRules) -> DataFrame:
+    """(name_key, holders, sot_ord, block) of every piece of every index name."""
     text = F.substring("name_key", F.col("start") + 1, F.col("size"))
-    return _pieces(rows.where("edits > 0"), scheme).select(
-        *NAME_COLUMNS, "i", _block_key(scheme, text).alias("block")
-    )
+    return _pieces(_indexed_names(names, rules)).select(*NAME_COLUMNS, _block_key(text).alias("block"))
 
 
-def _probe_blocks(probes: DataFrame, scheme: int, rules: FuzzyRules) -> DataFrame:
-    """(probe, block) for every place a probe can meet an admissible index name.
+def _indexed_triples(names: DataFrame, rules: FuzzyRules) -> DataFrame:
+    """(name_key, holders, sot_ord, block) of every three pieces of every index name."""
+    zero = (F.lit(0),) * 3
+    return _piece_triples(_indexed_names(names, rules)).select(*NAME_COLUMNS, _triple_key("name_key", zero).alias("block"))
 
-    For an index name of length l and a shift x of a piece, |x| edits are needed left of the
-    piece and |delta - x| right of it (delta = length difference), so their sum must not exceed
-    the pair's k. In the coarse scheme piece i also has at most i pieces' worth of edits to its
-    left and ``edits - i`` to its right.
-    """
-    p, length, delta = F.col("p"), F.col("l"), F.col("delta")
-    rows = (
+
+def _probe_lengths(probes: DataFrame, rules: FuzzyRules) -> DataFrame:
+    """One row per probe and admissible length of an index name."""
+    p, length = F.col("p"), F.col("l")
+    return (
         probes.select("probe", F.char_length("probe").alias("p"))
         .withColumn(
             "l",
@@ -120,40 +135,45 @@ def _probe_blocks(probes: DataFrame, scheme: int, rules: FuzzyRules) -> DataFram
         })
         .where("k > 0 and edits > 0")
     )
-    low = F.greatest(-_floor((F.col("k") - delta) / 2), -F.col("start"))
-    high = F.least(_floor((F.col("k") + delta) / 2), p - F.col("size") - F.col("start"))
-    if scheme == 0:
-        right = F.col("edits") - F.col("i")
-        low = F.greatest(low, -F.col("i"), delta - right)
-        high = F.least(high, F.col("i"), delta + right)
+
+
+def _probe_blocks(probes: DataFrame, rules: FuzzyRules) -> DataFrame:
+    """(probe, block) for every place a probe can meet an admissible index name.
+
+    For an index name of length l and a shift x of a piece, |x| edits are needed left of the
+    piece and |delta - x| right of it (delta = length difference), so their sum must not exceed
+    the pair's k. Piece i also has at most i pieces' worth of edits to its left and
+    ``edits - i`` to its right.
+    """
+    p, delta, right = F.col("p"), F.col("delta"), F.col("edits") - F.col("i")
+    low = F.greatest(-_floor((F.col("k") - delta) / 2), -F.col("start"), -F.col("i"), delta - right)
+    high = F.least(_floor((F.col("k") + delta) / 2), p - F.col("size") - F.col("start"), F.col("i"), delta + right)
     text = F.substring("probe", F.col("start") + F.col("x") + 1, F.col("size"))
     return (
-        _pieces(rows, scheme)
+        _pieces(_probe_lengths(probes, rules))
         .withColumns({"low": low, "high": high})
         .where("low <= high")
         .withColumn("x", F.explode(F.sequence("low", "high")))
-        .select("probe", _block_key(scheme, text).alias("block"))
+        .select("probe", _block_key(text).alias("block"))
     )
 
 
-def _fine_blocks(names: DataFrame, rules: FuzzyRules) -> DataFrame:
-    """K+1 rarest fine pieces per name. Counts beyond the HOT_BLOCKS most frequent count as 0."""
-    pieces = _indexed_blocks(names, 1, rules)
-    frequent = (
-        pieces.groupBy("block").agg(F.count(F.lit(1)).alias("names"))
-        .where(F.col("names") > 1)
-        .orderBy(F.desc("names"), "block")
-        .limit(HOT_BLOCKS)
-    )
-    ranked = pieces.join(F.broadcast(frequent), "block", "left").groupBy(*NAME_COLUMNS).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "i", "block"))
-        ).alias("pieces")
-    )
-    edits = _edits_of_indexed(F.char_length("name_key"), rules)
-    return ranked.select(
-        *NAME_COLUMNS, F.explode(F.slice("pieces", F.lit(1), edits + 1)).alias("piece")
-    ).select(*NAME_COLUMNS, F.col("piece.block").alias("block"))
+def _probe_triples(probes: DataFrame, rules: FuzzyRules) -> DataFrame:
+    """(probe, block) for every three places at which a probe can hold three pieces of an index name.
+
+    Shifts x, y and z of the pieces need |x| edits before the first, |y - x| and |z - y| between
+    them and |delta - z| after the last: at most k in all.
+    """
+    p, k, x, y, z = (F.col(c) for c in ("p", "k", "x", "y", "z"))
+    rows = _piece_triples(_probe_lengths(probes, rules))
+    spent, last = F.lit(0), F.lit(0)
+    for n, shift in zip("stu", "xyz"):
+        # Shifts of the earlier pieces have spent some edits already; pieces stay inside the probe.
+        low, high = F.greatest(last - (k - spent), -F.col(n)), F.least(last + (k - spent), p - F.col(f"{n}_end"))
+        rows = rows.withColumns({"low": low, "high": high}).where("low <= high").withColumn(shift, F.explode(F.sequence("low", "high")))
+        spent, last = spent + F.abs(F.col(shift) - last), F.col(shift)
+    rows = rows.where(spent + F.abs(F.col("delta") - z) <= k)
+    return rows.select("probe", _triple_key("probe", (x, y, z)).alias("block"))
 
 
 def candidate_pairs(probes: DataFrame, names: DataFrame, rules: FuzzyRules = FuzzyRules()) -> DataFrame:
@@ -162,29 +182,14 @@ def candidate_pairs(probes: DataFrame, names: DataFrame, rules: FuzzyRules = Fuz
     ``probes``: distinct column ``probe``; ``names``: distinct ``name_key`` with the number of
     its holders and the first holder's ``sot_ord``.
     """
-    spark = probes.sparkSession
     probes = _full_width(probes.select("probe"), "probe")
-    coarse = _indexed_blocks(names, 0, rules).drop("i")
-    # At most HOT_BLOCKS longs come back; they only steer which names are cut finer.
-    hot = [
-        r.block
-        for r in coarse.groupBy("block").agg(F.count(F.lit(1)).alias("names"))
-        .where(F.col("names") > rules.hot_block)
-        .orderBy(F.desc("names"), "block")
-        .limit(HOT_BLOCKS)
-        .collect()
-    ]
-    sides = []
-    if hot:
-        hot_df = F.broadcast(spark.createDataFrame([(b,) for b in hot], "block long"))
-        crowded = coarse.join(hot_df, "block", "left_semi").select(*NAME_COLUMNS).distinct()
-        coarse = coarse.join(crowded, "name_key", "left_anti")
-        sides.append((1, _fine_blocks(crowded, rules)))
-    sides.append((0, coarse))
-    pairs = None
-    for scheme, index in sides:
-        part = _probe_blocks(probes, scheme, rules).join(index, "block").select("probe", *NAME_COLUMNS)
-        pairs = part if pairs is None else pairs.unionByName(part)
+    single = _indexed_blocks(names, rules)
+    hot = single.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.hot_block).select("block")
+    crowded = single.join(hot, "block", "left_semi").select("name_key").distinct()
+    single = single.join(crowded, "name_key", "left_anti")
+    triple = _indexed_triples(names.join(crowded, "name_key", "left_semi"), rules)
+    join = lambda sought, index: sought.join(index, "block").select("probe", *NAME_COLUMNS)
+    pairs = join(_probe_blocks(probes, rules), single).unionByName(join(_probe_triples(probes, rules), triple))
     a, b = F.col("probe"), F.col("name_key")
     k = max_edits(F.greatest(F.char_length(a), F.char_length(b)), rules)
     # levenshtein(a, b, k) stops early and returns -1 beyond k; the score test repeats the

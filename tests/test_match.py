@@ -145,3 +145,18 @@ def test_a_blank_key_matches_nothing_however_the_join_runs(spark):
         for limit in (-1, 1 << 30):
             out = salted_lookup(left, right, "k", ["id"], how, broadcast_limit=limit)
             assert {tuple(r) for r in out.select(*(["id", "v"] if how in ("left", "inner") else ["id"])).collect()} == rows
+
+
+def test_crowded_candidates_grow_slowly(spark):
+    """Names of 60 first names: candidates per probe must not follow the number of names."""
+    from attestor.operators import fuzzy
+
+    rules, seen = FuzzyRules(hot_block=100), []
+    for n in (3_000, 12_000):
+        last = "substr(translate(md5(cast(id as string)), '0123456789', 'ghijklmnop'), 1, 8)"
+        first = "substr(translate(md5(concat('f', cast(id % 60 as string))), '0123456789', 'ghijklmnop'), 1, 6)"
+        names = spark.range(n).selectExpr(f"concat({first}, ' ', {last}) name_key", "1L holders", "id sot_ord")
+        probes = spark.range(0, n, n // 100).selectExpr(f"concat({first}, ' z', substr({last}, 2)) probe")
+        found = fuzzy._probe_triples(probes, rules).join(fuzzy._indexed_triples(names, rules), "block").count()
+        seen.append(found / 100)
+    assert seen[1] < 10 and seen[1] < 2 * seen[0] + 2
