@@ -179,21 +179,19 @@ def apply_reviews(report: DataFrame, log: DataFrame) -> DataFrame:
         F.array().cast(pair),
     )
     touched = F.coalesce("touched", F.array())
-    untouched = F.filter(base, lambda b: ~F.exists(touched, lambda t: t["role"] == b["role"]))
-    kept = F.transform(
-        untouched,
-        lambda b: F.struct(
-            b["role"].alias("role"), F.when(has_rec, F.col("rec.action")).otherwise(b["action"]).alias("action")
-        ),
-    )
-    set_now = F.transform(
-        touched,
-        lambda t: F.struct(
-            t["role"].alias("role"),
-            F.when(t["seq"] > rec_seq, t["action"]).otherwise(F.col("rec.action")).alias("action"),
-        ),
-    )
-    st = st.withColumn("_roles", F.concat(kept, set_now))
+
+    def now(t):
+        return F.when(t["seq"] > rec_seq, t["action"]).otherwise(F.col("rec.action"))
+
+    def in_place(b):
+        own = F.filter(touched, lambda t: t["role"] == b["role"])
+        kept = F.when(has_rec, F.col("rec.action")).otherwise(b["action"])
+        return F.struct(b["role"].alias("role"), F.when(F.size(own) > 0, now(F.get(own, F.lit(0)))).otherwise(kept).alias("action"))
+
+    # Roles with an action keep their place; new ones follow in the order of their first action.
+    new_roles = F.filter(touched, lambda t: ~F.exists(base, lambda b: b["role"] == t["role"]))
+    added = F.transform(new_roles, lambda t: F.struct(t["role"].alias("role"), now(t).alias("action")))
+    st = st.withColumn("_roles", F.concat(F.transform(base, in_place), added))
     role_after = F.coalesce(F.col("last_role_seq") > rec_seq, F.lit(False))
     first_action = F.get(F.col("_roles.action"), F.lit(0))
     agreed = F.when(F.forall("_roles", lambda r: r["action"] == first_action), first_action)

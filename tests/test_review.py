@@ -189,3 +189,10 @@ def test_append_preserves_review_and_replays_edits(spark):
     a, b = got["a::s::1"], got["b::s::2"]
     assert (a.role, a.review_action, a.review_note, a.role_actions) == ("New", "approve", "ok", {"Old": "approve"})
     assert (b.display_name, b.role, b.risk_level) == ("Edited", "R, Q", "HIGH")
+
+
+def test_a_second_fold_keeps_the_place_of_roles(spark):
+    base = [{"record_id": "r", "display_name": "r", "role_actions": {"A": "approve", "B": "revoke"}}]
+    touch = lambda role, action, seq: {"seq": seq, "kind": "role", "record_id": "r", "role": role, "action": action, "note": ""}
+    roles = folded(spark, base, [touch("C", "approve", 1), touch("A", "revoke", 2)])["r"][3]
+    assert list(roles.items()) == [("A", "revoke"), ("B", "revoke"), ("C", "approve")]
