@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, running_start, text_of, word_array, write_through
+from attestor.llm.common import documents, let, running_start, text_of, word_array, write_through
 
 BLOCK = 128
 SHARD_WORDS = 1 << 20
@@ -169,9 +169,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "__size", "__hash"))).alias("d")
     parts = parts.alias("p")
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__copy") == F.col("p._copy"))
-    joined = rows.join(parts.hint("merge"), on).withColumn("__words", word_array(text_of("d.text")))
+    joined = rows.join(parts.hint("merge"), on)
     whole = (F.col("__taken") == F.col("__size")) & (F.size(F.array_distinct(F.col("__parts.epoch"))) == 1)
-    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__words"), (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    cut = let(word_array(text_of("d.text")), lambda w: F.array_join(F.flatten(F.transform(
+        "__parts", lambda p: F.slice(w, (p["from"] + 1).cast("int"), p["words"].cast("int"))
+    )), " "))
     out = joined.withColumn("__text", F.when(whole, F.col("d.text")).otherwise(cut))
     columns = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": F.col("__text")}
     if "n_chars" in columns:
