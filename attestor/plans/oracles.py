@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from attestor.functions.risk import PRIVILEGED_KEYWORDS
 from attestor.plans.derived import NOW_MS
-from attestor.sources.mapping import HEADER_PARTS, KNOWN_HEADERS
+
+# Fixed values, written out here so that the SQL doesn't lean on the code it checks.
+PRIVILEGED = ("admin", "root", "superuser", "owner", "global_admin", "domain_admin", "system", "privileged")
+SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v", "phd", "md", "dds", "esq", "cpa")
+HEADER_WORDS = {
+    "email": "email emailaddress mail userprincipalname upn",
+    "userId": "userid username samaccountname login uid account accountname",
+    "employeeId": "employeeid personnelnumber",
+    "displayName": "displayname fullname name cn",
+    "department": "department dept division org organizationalunit ou",
+    "manager": "manager managername supervisor reportsto",
+    "accountStatus": "status accountstatus enabled active",
+    "employmentStatus": "employmentstatus empstatus",
+    "role": "role rolename group groupname memberof",
+    "entitlement": "entitlement permission access accesslevel privilege",
+    "lastLogin": "lastlogin lastlogon lastlogontimestamp lastsignin lastactivity",
+}
+PARTS = (
+    ("email mail upn", "email"), ("employeeid empid", "employeeId"), ("userid username login", "userId"),
+    ("displayname fullname name", "displayName"), ("department dept division", "department"),
+    ("manager supervisor reportsto", "manager"), ("employmentstatus empstatus", "employmentStatus"),
+    ("accountstatus status enabled", "accountStatus"), ("entitlement permission privilege accesslevel", "entitlement"),
+    ("role group memberof", "role"), ("lastlogin lastlogon lastsignin lastactivity", "lastLogin"),
+)
 
 
 def _word(prefix: str, key: str, size: int) -> str:
@@ -94,7 +116,7 @@ MATCHED = f"""{OPEN},
   from typed t left join ident i on i.sot_ord = t.sot_ord)"""
 
 
-def _any(text: str, words=PRIVILEGED_KEYWORDS) -> str:
+def _any(text: str, words=PRIVILEGED) -> str:
     return "(" + " or ".join(f"contains(lower({text}), '{w.lower()}')" for w in words) + ")"
 
 
@@ -174,10 +196,9 @@ _BLANK = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{
 
 
 def _normalize(c: str) -> str:
-    from attestor.functions.text import suffix_pattern
-
     s = f"strip_accents(lower(regexp_replace({c}, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')))"
-    s = f"regexp_replace({s}, '{suffix_pattern('$')}', '')"
+    for suffix in SUFFIXES:
+        s = f"regexp_replace(regexp_replace({s}, ' {suffix}$', ''), ',{suffix}$', '')"
     s = rf"regexp_replace({s}, '\b[a-z]\.?[\t\n\f\r ]', '', 'g')"
     s = rf"regexp_replace({s}, '[\t\n\f\r ]+', ' ', 'g')"
     s = (
@@ -237,10 +258,10 @@ HEADERS = [
     "EmpStatus", "memberOf", "lastlogon", "permissions",
 ]
 _TARGET = "case " + " ".join(
-    f"when n = '{h}' then '{t}'" for t, hs in KNOWN_HEADERS.items() for h in hs
+    f"when n = '{h}' then '{t}'" for t, hs in HEADER_WORDS.items() for h in hs.split()
 ) + " end"
 _PARTS = "list_filter([" + ", ".join(
-    f"case when contains(n, '{p}') then '{t}' end" for p, t in HEADER_PARTS
+    f"case when contains(n, '{p}') then '{t}' end" for ps, t in PARTS for p in ps.split()
 ) + "], lambda x: x is not null)"
 
 
