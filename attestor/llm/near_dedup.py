@@ -1,7 +1,7 @@
 """Near duplicates: MinHash bands, sequential Bayesian pruning, exact verification.
 
 1. Every document gets its set of distinct word shingles, a 128-bit key of that set, and BANDS *
-   ROWS MinHash values of which 8 bits each are kept. Equal sets form a class; its smallest doc_id
+   ROWS + EXTRA MinHash values of which 8 bits each are kept. Equal sets form a class; its smallest doc_id
    stands for it.
 2. A band's bytes are its bucket. Each member of a bucket is compared with the bucket's smallest
    member only, so a bucket of n members gives n - 1 pairs, however large it is.
@@ -11,8 +11,9 @@
 4. Survivors are verified on the full shingle sets of the whole texts.
 5. Verified links give components. Where a bucket still holds several components, its members are
    compared in blocks: a pair of different components goes unless its shared shingles can
-   reach the threshold given what either shares with the bucket's smallest member (a member that
-   step 3 pruned there shares less than PIVOT_BAR allows), then step 3 and 4 decide. Pairs inside one
+   reach the threshold given what either shares with its anchor, the smallest document in any of
+   its buckets, if both have the same one (a member that step 3 pruned there shares less than
+   PIVOT_BAR allows); then steps 3 and 4 decide. Pairs inside one
    component can't change the result, so no pair of the bucket that matters is left out.
 
 A pair at the threshold itself shares no band with probability (1 - 0.8^ROWS)^BANDS = 5e-7 for
@@ -35,6 +36,8 @@ from attestor.llm.textops import chunks, distinct_runs, mix, Powers, shingles, t
 ship(__name__)
 
 BANDS, ROWS = 48, 6
+#: Further MinHash values, which only sharpen the pruning.
+EXTRA = 224
 BATCH = 32
 MISS = 1e-6
 THRESHOLD = 80
@@ -91,10 +94,11 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 
     A byte matches with probability q = s + (1 - s) / 256 at similarity s; s has a uniform prior.
     """
-    s = np.linspace(0, 1, 8001)[1:-1]
+    s = np.linspace(0, 1, 4001)[1:-1]
     q = s + (1 - s) / 256
+    lq, lr = np.log(q), np.log(1 - q)
     for m in range(n + 1):
-        log = m * np.log(q) + (n - m) * np.log(1 - q)
+        log = m * lq + (n - m) * lr
         p = np.exp(log - log.max())
         if p[s >= threshold].sum() >= miss * p.sum():
             return m
@@ -150,18 +154,27 @@ def _overlaps(shingle: int):
     return run
 
 
-def _cross(pruning: Pruning, threshold: int, hashes: int):
-    """Pairs of one block of a bucket, of different components, that may reach the threshold."""
+def _cross(pruning: Pruning, threshold: int, hashes: int, band_rows: int):
+    """Pairs of one block of a bucket, of different components, that may reach the threshold.
+
+    A pair is given in the first of the buckets that it shares only. If one of the two is the
+    smallest member there, the pair has been measured.
+    """
     def pairs(t: pa.Table) -> np.ndarray:
-        c, n, share, side, pivot = (t[k].to_numpy() for k in ("c", "n", "share", "side", "pivot_row"))
-        sig = _matrix(t["sig"], hashes)
+        c, n, anchor, share, side, pivot = (t[k].to_numpy() for k in ("c", "n", "anchor", "share", "side", "pivot_row"))
+        sig, band = _matrix(t["sig"], hashes), t["band"][0].as_py()
         found = []
         for i in range(len(c)):
             j = np.arange(i + 1, len(c))
             # Of two blocks, only pairs across them: either alone is a group of its own.
             j = j[(c[j] != c[i]) & ~pivot[j] & ~pivot[i] & ((side[j] != side[i]) | (t["lo"][0].as_py() == t["hi"][0].as_py()))]
-            most = np.minimum(share[i], share[j]) + np.minimum(n[i] - share[i], n[j] - share[j])
+            most = np.where(
+                anchor[j] == anchor[i], np.minimum(share[i], share[j]) + np.minimum(n[i] - share[i], n[j] - share[j]), np.minimum(n[i], n[j])
+            )
             j = j[most * (100 + threshold) >= threshold * (n[i] + n[j])]
+            if len(j) and band:
+                before = (sig[j, :band * band_rows] == sig[i, :band * band_rows]).reshape(len(j), band, band_rows)
+                j = j[~before.all(2).any(1)]
             if len(j):
                 j = j[pruning.survivors(sig, sig, np.full(len(j), i), j)]
                 found.append(np.stack([np.full(len(j), i), j]))
@@ -209,10 +222,10 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, hashes: int = BANDS * ROWS)
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    key = F.explode(F.transform(
+    key = F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * rows + 1, F.lit(rows)))
     ))
-    return reps.select(F.col("doc_id").alias("id"), key.alias("key"))
+    return reps.select(F.col("doc_id").alias("id"), key.alias("band", "key"))
 
 
 def _measured(live: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -228,9 +241,9 @@ def _reaches(threshold: int) -> Column:
 
 
 def near_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
-                 miss: float = MISS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 miss: float = MISS, block: int = BLOCK, extra: int = EXTRA) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed documents, classes k1 k2 rep of equal sets, component of each linked class: node, component)."""
-    hashes = bands * rows
+    hashes = bands * rows + extra
     all_signed = write_through(signed(docs, shingle, hashes), "near-signed")
     classes = write_through(
         all_signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-classes"
@@ -263,28 +276,32 @@ def near_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHI
 
     # Members of one bucket but of different components.
     placed = members.join(known.withColumnRenamed("node", "id").hint("merge"), "id", "left").select(
-        "key", "pivot", "id", F.coalesce("component", "id").alias("c")
+        "key", "band", "pivot", "id", F.coalesce("component", "id").alias("c")
     )
     mixed = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h"), F.count("*").alias("_k")).where(
         "_l != _h and _k > 2"
     ).select("key", F.expr(f"cast(ceil(_k / {block}D) as int)").alias("_blocks"))
-    share = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both")
+    anchors = members.groupBy("id").agg(F.min("pivot").alias("anchor"))
+    share = measured.select(F.col("a").alias("anchor"), F.col("b").alias("id"), "both")
     size = lambda k, n: reps.select(F.col("doc_id").alias(k), F.col("n").alias(n)).hint("merge")
-    opened = placed.join(mixed.hint("merge"), "key").join(share.hint("merge"), ["pivot", "id"], "left").join(size("pivot", "np"), "pivot").join(
+    # One row per member of an open bucket, then what is known of each member.
+    opened = placed.join(mixed.hint("merge"), "key")
+    about = anchors.join(share.hint("merge"), ["anchor", "id"], "left").join(size("anchor", "np"), "anchor").join(
         reps.withColumnRenamed("doc_id", "id").hint("merge"), "id"
     )
-    # Where the pivot was pruned, what is shared with it stays below the bar.
+    opened = opened.join(about.hint("merge"), "id")
+    # Where the anchor was pruned, what is shared with it stays below the bar.
     below = F.floor((F.col("n") + F.col("np")) * bar / (100 + bar))
     rows_ = opened.select(
-        "key", "id", "c", "n", "sig", (F.col("id") == F.col("pivot")).alias("pivot_row"), "_blocks",
-        F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("both", F.least(below, "n"))).cast("long").alias("share"),
+        "key", "band", "id", "c", "n", "anchor", "sig", (F.col("id") == F.col("pivot")).alias("pivot_row"), "_blocks",
+        F.when(F.col("id") == F.col("anchor"), F.col("n")).otherwise(F.coalesce("both", F.least(below, "n"))).cast("long").alias("share"),
         F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("side"),
     ).withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)"))).select(
-        "key", F.least("side", "_other").alias("lo"), F.greatest("side", "_other").alias("hi"), "id", "c", "n", "share", "side", "pivot_row", "sig"
+        "key", F.least("side", "_other").alias("lo"), F.greatest("side", "_other").alias("hi"), "band", "id", "c", "n", "anchor", "share", "side", "pivot_row", "sig"
     )
     dealt = rows_.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "key", "lo", "hi")
     cross = write_through(
-        dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(Pruning(threshold, hashes, BATCH, miss), threshold, hashes), "a long, b long"),
+        dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(Pruning(threshold, hashes, BATCH, miss), threshold, hashes, rows), "a long, b long"),
         "near-cross",
     ).distinct()
     more = _measured(cross, texts, shingle).where(_reaches(threshold)).select("a", "b")
