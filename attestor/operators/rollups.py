@@ -94,10 +94,10 @@ def system_names(report: DataFrame) -> list[str]:
     return [r.system for r in systems(report).collect()]
 
 
-def admin_roles(report: DataFrame, keywords=None) -> DataFrame:
-    """(email, admin_roles): distinct ``system: role`` of privileged roles, in report order.
+def admin_role_entries(report: DataFrame, keywords=None) -> DataFrame:
+    """(email, entry, at): distinct ``system: role`` of privileged roles and where each comes first.
 
-    Reduced per (e-mail, text) first: the blank e-mail of all orphans is one large group.
+    One row per entry, so the blank e-mail of all orphans is no group of its own.
     """
     rows = report.where(is_privileged_row(F.col("role"), F.col("entitlement"), keywords)).select(
         F.lower("email").alias("email"),
@@ -105,8 +105,16 @@ def admin_roles(report: DataFrame, keywords=None) -> DataFrame:
         F.posexplode(privileged_tokens(F.col("role"), keywords)).alias("pos", "token"),
     )
     at = F.struct("system", "source_row", "record_id", "pos")
-    firsts = rows.groupBy("email", F.concat_ws(": ", "system", "token").alias("entry")).agg(F.min(at).alias("at"))
-    return firsts.groupBy("email").agg(
+    return rows.groupBy("email", F.concat_ws(": ", "system", "token").alias("entry")).agg(F.min(at).alias("at"))
+
+
+def admin_roles(report: DataFrame, keywords=None) -> DataFrame:
+    """(email, admin_roles): the entries of each e-mail as a list, in report order.
+
+    The list of the blank e-mail holds every distinct role of all orphans; where those may be
+    very many, use ``admin_role_entries``.
+    """
+    return admin_role_entries(report, keywords).groupBy("email").agg(
         F.array_sort(F.collect_list(F.struct("at", "entry"))).alias("l")
     ).select("email", F.col("l.entry").alias("admin_roles"))
 

@@ -339,6 +339,8 @@ def sql() -> dict[str, str]:
          generate_subscripts(string_split_regex(role, '[,;]'), 1) pos from report)) where {_any('tok')}),
       adm2 as (select email, string_agg(entry, ' | ' order by o) admin_roles from (select email, entry, min(o) o from adm group by 1, 2) group by 1)"""
     q["admin_roles"] = f"{RPT}, {admin} select * from adm2"
+    entries = admin.replace("select lower(email) email,", "select system, source_row, record_id, lower(email) email,", 1)
+    q["admin_role_entries"] = f"{RPT}, {entries} select email, entry, system, source_row, record_id from (select *, row_number() over (partition by email, entry order by o) rn from adm) where rn = 1"
     cell = "role || case when entitlement <> '' then ' (' || entitlement || ')' else '' end"
     user = "case when email <> '' then lower(email) else 'name:' || lower(display_name) end"
     q["access_matrix"] = f"{RPT} select {user} as user, " + ", ".join(

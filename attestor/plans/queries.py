@@ -344,6 +344,11 @@ def systems(spark, sf_dir):
     return A.systems(report(spark, sf_dir))
 
 
+@query
+def admin_role_entries(spark, sf_dir):
+    return A.admin_role_entries(report(spark, sf_dir)).select("email", "entry", "at.system", "at.source_row", "at.record_id")
+
+
 @query
 def admin_roles(spark, sf_dir):
     r = A.admin_roles(report(spark, sf_dir))
