@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from attestor.operators import rollups as A
 from attestor.plans import derived as D
 from attestor.plans import review_run
-from attestor.plans.queries import matches, query, report
+from attestor.plans.queries import REPORT_VIEW, matches, query, report
 from attestor.session import scratch_dir
 from attestor.sinks import sheets as S
 from attestor.sinks.store import ReportStore
@@ -184,11 +184,9 @@ def master_csv(spark, sf_dir):
     S.write_csv(S.master_sheet(report(spark, sf_dir)), f"{root}/report")
     registry = I.probe_files(spark, [f"{root}/report/*.csv"], by_folder=True)
     raw = I.read_layouts(spark, registry, I.layouts(registry))[0]
-    return raw.select(
-        F.col("Canonical ID").alias("record_id"), F.col("Role").alias("role"), F.col("Risk Level").alias("risk_level"),
-        F.col("Risk Score").cast("int").alias("risk_score"), F.col("Review Action").alias("review_action"),
-        F.col("Source Row").cast("long").alias("source_row"),
-    )
+    number = {"risk_score": "int", "source_row": "long"}
+    names = {h: c or "review_action" for h, c in S.MASTER_COLUMNS.items()}
+    return raw.select(*[F.col(h).cast(number.get(c, "string")).alias(c) for h, c in names.items()])
 
 
 def _store_with(spark, sf_dir, rows) -> ReportStore:
@@ -206,7 +204,7 @@ def incremental_add(spark, sf_dir):
     folder = scratch_dir(spark, "more")
     _write_export(D.aws(spark, sf_dir), f"{folder}/aws_export")
     review_run.add_files(store, I.register(I.probe_files(spark, [f"{folder}/aws_export/*.csv"], by_folder=True)))
-    return store.report().groupBy("system", "match_type", "risk_level").agg(F.count(F.lit(1)).alias("records"))
+    return store.report().select(*REPORT_VIEW)
 
 
 @query
@@ -219,7 +217,7 @@ def stream_ingest(spark, sf_dir):
         spark, f"{folder}/aws_export", store, scratch_dir(spark, "stream-state"), available_now=True, by_folder=True
     )
     q.awaitTermination()
-    return store.report().groupBy("system", "match_type", "risk_level").agg(F.count(F.lit(1)).alias("records"))
+    return store.report().select(*REPORT_VIEW)
 
 
 @query

@@ -275,7 +275,7 @@ def sql() -> dict[str, str]:
     q["fuzzy_broad_join"] = f"with {IDENT}, {OKTA}, {probes} select probe, name_key, round(score, 9) score from pairs"
     q["fuzzy_top2_decision"] = f"with {IDENT}, {OKTA}, {probes} select probe, name_key, round(score, 9) score, match_type from best"
     q["name_resolution"] = f"with {IDENT}, {OKTA}, {probes} select name_key, match_type, 'E' || sot_ord employee_id from res"
-    q["orphans"] = f"{M} select system source_system, user_id, display_name, role, attempted attempted_keys from matched where match_type = 'orphan'"
+    q["orphans"] = f"{M} select system source_file, system source_system, user_id, display_name, role, account_status, last_login, attempted attempted_keys from matched where match_type = 'orphan'"
     sap = f"with {IDENT}, {SAP}, acc as (select * from sap), {MATCHED}, {ENTRIES}"
     q["no_access_users"] = f"{sap} select canonical_id, employee_id, display_name, email from entries where match_type = 'no_access'"
     q["attempted_keys"] = f"{M} select system, source_row, attempted from matched"
@@ -455,8 +455,8 @@ def sql() -> dict[str, str]:
       case when s_suppkey % 3 = 0 then 'row has 2 columns, expected 3; padding with empty values'
        when s_suppkey % 5 = 0 then 'row has 5 columns, expected 3; truncating extra columns' else '' end message from supplier"""
     q["encoding_routing"] = "select doc_id, md5(text) md5, length(text)::bigint chars from documents"
-    q["master_csv"] = f"{RPT} select record_id, role, risk_level, risk_score, review_action, source_row from report"
+    q["master_csv"] = f"{RPT} select record_id, employee_id, display_name, email, department, manager, employment_status, system, role, entitlement, last_login, account_status, match_type, risk_level, risk_score, review_action, review_note, system source_file, source_row from report"
     two = f"with {IDENT}, {OKTA}, {AWS}, acc as (select * from okta union all by name select * from aws), {MATCHED}, {REPORT}"
-    q["incremental_add"] = f"{two} select system, match_type, risk_level, count(*) records from report group by 1, 2, 3"
+    q["incremental_add"] = f"{two} select {REPORT_VIEW} from report"
     q["stream_ingest"] = q["incremental_add"]
     return q

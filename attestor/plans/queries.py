@@ -129,6 +129,7 @@ def name_resolution(spark, sf_dir):
 @query
 def orphans(spark, sf_dir):
     return S.orphan_sheet(matches(spark, sf_dir)).select(
+        F.col("Source File").alias("source_file"), F.col("Account Status").alias("account_status"), F.col("Last Login").alias("last_login"),
         F.col("Source System").alias("source_system"), F.col("User ID").alias("user_id"),
         F.col("Display Name").alias("display_name"), F.col("Role").alias("role"),
         F.col("Attempted Match Keys").alias("attempted_keys"),
