@@ -48,6 +48,14 @@ class Item:
     def __init__(self, item_id: int, words: list[int], answer: list[int]):
         self.item_id, self.words, self.answer = item_id, words, answer or words
         self.masks, self.answer_masks = masks(self.words), masks(self.answer)
+        self.distinct, self.times = np.unique(np.array(words, np.uint64), return_counts=True)
+
+    def may_reach(self, words: np.ndarray) -> bool:
+        """Whether enough of the item's words occur at all; a common subsequence has no more of them."""
+        at = np.searchsorted(self.distinct, words)
+        at[at == len(self.distinct)] = 0
+        held = np.bincount(at[self.distinct[at] == words], minlength=len(self.distinct))
+        return int(np.minimum(held, self.times).sum()) * 100 >= COVERAGE * len(self.words)
 
 
 def masks(words: list[int]) -> dict[int, int]:
@@ -237,7 +245,8 @@ def _search(items: list[Item], terms: np.ndarray, space: np.ndarray, latent: np.
                     item, at = items[m], (int(k) - int(first[text])) * STEP
                     around = len(item.words)
                     lo, hi = max(at - around, 0), min(at + 2 * STEP + around, int(counts[text]))
-                    got = verified(item, [int(h) for h in hashes[begin[text] + lo:begin[text] + hi]])
+                    near = hashes[begin[text] + lo:begin[text] + hi]
+                    got = verified(item, near.tolist()) if item.may_reach(near) else None
                     if got:
                         key = (i + text, m)
                         if key not in found or got > found[key][0]:
