@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.session import write_through
 
-__all__ = ["ship", "documents", "table", "let", "text_of", "lower_ascii", "write_through", "running_start", "word_array"]
+__all__ = ["ship", "documents", "table", "let", "text_of", "lower_ascii", "write_through", "running_start", "numbered", "word_array"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,3 +81,20 @@ def running_start(df: DataFrame, order: list[str], value: str, group: str | None
         on = on & inside[group].eqNullSafe(offsets[group])
     joined = inside.join(offsets, on)
     return joined.select(*[inside[c] for c in df.columns], (F.col("_inside") + F.col("_before")).alias(out))
+
+
+def numbered(docs: DataFrame, label: str = "numbered") -> DataFrame:
+    """Adds __place, which tells rows apart and orders them: by doc_id, null ids last, then by a hash of the text.
+
+    Where every row has an id of its own, the id is the place. Otherwise rows are sorted by range and
+    written once with a number that grows with (range, row), so that later reads see the same places. Ranges
+    spread rows that share an id and a text, too.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null")
+    if shared.isEmpty():
+        return docs.withColumn("__place", F.col("doc_id"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("__hash"), F.col("__nth")]
+    rows = docs.withColumns({"__hash": F.xxhash64(text_of()), "__nth": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return write_through(rows.withColumn("__place", F.monotonically_increasing_id()).drop("__hash", "__nth"), label)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, ship, text_of, write_through
+from attestor.llm.common import documents, numbered, ship, text_of, write_through
 from attestor.llm.textops import PLACE, Powers, U, chunks, mix, rolling, text_bytes
 
 ship(__name__)
@@ -211,7 +211,7 @@ def _open_runs(length: int):
             row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
             h, at, n, hot = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("h", "at", "n", "hot"))
             at, n = at.astype(np.int64), n.astype(np.int64)
-            fits = at + n + length - 1 <= (offs[1:] - offs[:-1])[row]  # rows that repeat an id may be shorter
+            fits = at + n + length - 1 <= (offs[1:] - offs[:-1])[row]
             cool = np.flatnonzero(fits & ~hot)
             if len(cool):
                 begin = offs[row[cool]] + at[cool]
@@ -305,7 +305,7 @@ def _factors(length: int):
 
 
 def _cut(length: int, with_text: bool):
-    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,13 +348,15 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
                 hot_sample: int = HOT_SAMPLE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans ([start, end) pairs in bytes), kept (bytes).
 
-    Null texts count as empty; texts below ``length`` bytes stay whole. Order is by doc_id, null ids last. Rows that
-    repeat an id stand at one place, so neither is earlier than the other. An empty table gives no rows; other columns
-    are ignored. Strings never cross documents, and are judged on the input.
+    Null texts count as empty; texts below ``length`` bytes stay whole. Order is by doc_id, null ids last; rows that
+    share an id, or have none, are documents of their own, ordered by a hash of the text. An empty table gives no rows;
+    other columns are ignored. Strings never cross documents, and are judged on the input.
     """
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_BIG)).alias("_doc"), text_of().alias("text"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), "repeat-rows").select(
+        F.col("__place").alias("_doc"), "text", "doc_id"
+    )
     hot = hot_hashes(rows, length, gram, hot_sample, hot_least)
     runs = rows.mapInArrow(_runs(hot, length, gram), _RUNS).repartition(n, "key")
     met = runs.mapInArrow(_meet(hot), "doc long, at int, n int, h long, hot boolean")
@@ -362,22 +364,21 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
         F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "at", "n", "hot"))).alias("opened"),
         F.collect_list(F.when(F.col("h").isNull(), F.struct("at", "n"))).alias("covered"),
     )
-    touched = write_through(rows.join(marks, rows["_doc"] == marks["doc"]).select("doc", "text", "opened", "covered"), "repeat-texts")
+    touched = write_through(rows.join(marks, rows["_doc"] == marks["doc"]).select("doc", "text", "opened", "covered", "doc_id"), "repeat-texts")
     factors = touched.where(F.size("opened") > 0).select("doc", "text", "opened").mapInArrow(_open_runs(length), _OPEN).repartition(n, "key")
     more = factors.mapInArrow(_factors(length), "doc long, at int, n int").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("more"))
-    joined = touched.select("doc", "text", "covered").join(more, "doc", "left").select(
-        "doc", "text", "covered", F.coalesce("more", F.expr("cast(array() as array<struct<at: int, n: int>>)")).alias("more")
+    joined = touched.select("doc", "text", "covered", "doc_id").join(more, "doc", "left").select(
+        "doc_id", "text", "covered", F.coalesce("more", F.expr("cast(array() as array<struct<at: int, n: int>>)")).alias("more")
     )
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>" + ", kept binary" * with_text
     cut = joined.mapInArrow(_cut(length, with_text), schema)
     whole = rows.select(
-        F.col("_doc").alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"),
+        F.col("_doc").alias("doc"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"),
         *([F.col("text").cast("binary").alias("kept")] if with_text else []),
-    ).join(touched.select("doc").distinct(), "doc", "left_anti").withColumns({
+    ).join(touched.select("doc").distinct(), "doc", "left_anti").drop("doc").withColumns({
         "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<array<bigint>>)"),
     })
-    out = cut.unionByName(whole)
-    return out.withColumn("doc_id", F.nullif(F.col("doc"), F.lit(_BIG))).select("doc_id", *[c for c in out.columns if c != "doc"])
+    return cut.unionByName(whole)
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

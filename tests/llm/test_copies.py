@@ -168,3 +168,12 @@ def test_repeats_edges(edge):
     got = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
     assert got[1].n_removed == 0 and got[9].n_removed == 0 and got[10].n_removed >= len(edge_rows()[8][1])
     assert got[11].n_removed == 0 and got[13].n_removed == 499 - 0 or got[13].n_removed == 500 or got[13].n_removed > 398
+
+
+def test_repeats_tell_rows_of_one_id_apart(frame):
+    rng = random.Random(6)
+    passage, clean, other, twice = words(rng, 60), words(rng, 80), words(rng, 80), words(rng, 70)
+    rows = [(1, passage), (5, passage + "#"), (5, other), (None, passage + "+"), (None, clean), (None, twice), (None, twice)]
+    out = repeats.cut_repeats(frame(rows), hot_least=2, hot_sample=1).collect()
+    want = [(1, passage), (5, "#"), (5, other), (None, "+"), (None, clean), (None, twice), (None, "")]
+    assert plain.counted((r.doc_id, bytes(r.kept).decode()) for r in out) == plain.counted(want)
