@@ -2,7 +2,7 @@
 
 Lines are the parts of a text between line feeds, compared byte by byte. Each run of WINDOW
 consecutive lines of a document is hashed (128 bits); all windows are grouped by hash, and the
-first occurrence in (doc_id, line) order stays. A later occurrence covers its lines; the covered
+first occurrence in (document, line) order stays. A later occurrence covers its lines; the covered
 positions of a document merge, and their lines go. Overlapping windows thus remove a repeated
 passage of any length from its first to its last line, while single lines that many documents share stay.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, text_of, write_through
+from attestor.llm.common import documents, numbered, text_of, write_through
 
 WINDOW = 3
 
@@ -22,38 +22,39 @@ def lines_of(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, at (first line, from 0), h1, h2: one row per window of each document."""
-    rows = docs.select("doc_id", lines_of(text_of()).alias("_lines")).where(F.size("_lines") >= window)
-    hashed = rows.select("doc_id", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("_h"))
-    w = hashed.select("doc_id", "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - window)).alias("at"))
+    """__place (of the document), at (first line, from 0), h1, h2: one row per window of each document."""
+    rows = docs.select("__place", lines_of(text_of()).alias("_lines")).where(F.size("_lines") >= window)
+    hashed = rows.select("__place", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("_h"))
+    w = hashed.select("__place", "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - window)).alias("at"))
     cells = [F.col("_h")[F.col("at") + i] for i in range(window)]
-    return w.select("doc_id", "at", F.xxhash64(*[c["a"] for c in cells]).alias("h1"), F.xxhash64(*[c["b"] for c in cells]).alias("h2"))
+    return w.select("__place", "at", F.xxhash64(*[c["a"] for c in cells]).alias("h1"), F.xxhash64(*[c["b"] for c in cells]).alias("h2"))
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, at: windows that also occur earlier. The smallest (doc_id, line) is the first; null ids come last."""
+    """__place, at: windows that also occur earlier. The smallest (__place, line) is the first."""
     rows = write_through(windows(docs, window), "line-windows")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("at").alias("a"))
+    place = F.struct(F.col("__place").alias("d"), F.col("at").alias("a"))
     repeated = rows.groupBy("h1", "h2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    return rows.join(repeated, ["h1", "h2"]).where(place > F.col("_first")).select("doc_id", "at")
+    return rows.join(repeated, ["h1", "h2"]).where(place > F.col("_first")).select("__place", "at")
 
 
 def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """__id, __covered (sorted positions of the lines that go); only documents that lose lines."""
-    starts = later_windows(docs, window).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("_at"))
+    """__id (place of a document), __covered (sorted positions of the lines that go); only documents that lose lines."""
+    starts = later_windows(docs, window).groupBy("__place").agg(F.sort_array(F.collect_set("at")).alias("_at"))
     reach = F.flatten(F.transform("_at", lambda a: F.sequence(a, a + (window - 1))))
-    return starts.select(F.col("doc_id").alias("__id"), F.array_distinct(reach).alias("__covered"))
+    return starts.select(F.col("__place").alias("__id"), F.array_distinct(reach).alias("__covered"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` with the text cut, plus n_lines, n_removed and removed_spans.
 
     A null text counts as empty: one line, nothing removed. Texts of fewer lines than a window stay
-    whole. Rows that repeat a doc_id are one place: neither precedes the other, and both lose the
-    same lines. Columns named n_lines, n_removed or removed_spans are replaced;
+    whole. Order is by doc_id, null ids last; rows that share an id, or have none, are documents of their
+    own, ordered by a hash of the text. Columns named n_lines, n_removed or removed_spans are replaced;
     names that start with two underscores are taken.
     """
-    joined = docs.join(covered_lines(docs, window), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    rows = numbered(docs, "line-rows")
+    joined = rows.join(covered_lines(rows, window), F.col("__place") == F.col("__id"), "left")
     joined = joined.withColumn("__lines", lines_of(text_of())).withColumn("__gone", F.coalesce("__covered", F.array().cast("array<int>")))
     keep = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.size("__gone") == 0, text_of()).otherwise(

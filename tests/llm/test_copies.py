@@ -134,6 +134,13 @@ def test_lines_edges(edge):
     assert got[4].text == "" and got[4].n_removed == 0
 
 
+def test_lines_tell_rows_of_one_id_apart(frame):
+    rows = [(1, "a\nb\nc"), (5, "1\na\nb\nc"), (5, "p\nq\nr\ns"), (None, "a\nb\nc\n2"), (None, "t\nu\nv\nw"), (None, "x\ny\nz"), (None, "x\ny\nz")]
+    out = line_dedup.dedup_lines(frame(rows)).collect()
+    want = [(1, "a\nb\nc"), (5, "1"), rows[2], (None, "2"), rows[4], rows[5], (None, "")]
+    assert plain.counted((r.doc_id, r.text) for r in out) == plain.counted(want)
+
+
 # bytes -------------------------------------------------------------------------------------------
 
 
