@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, ship, table, write_through
+from attestor.llm.common import documents, numbered, ship, table, write_through
 from attestor.llm.textops import PLAIN_BREAK, Powers, chunks, text_bytes, word_hashes
 
 ship(__name__)
@@ -297,9 +297,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = CO
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay, and so do rows with a null doc_id."""
-    ids = find_contamination(docs, benchmark, **settings).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that hold a benchmark item, whether or not their id is null or repeats; all columns stay."""
+    rows = numbered(docs, "leak-rows")
+    found = find_contamination(rows.select(F.col("__place").alias("doc_id"), "text"), benchmark, **settings)
+    return rows.join(found.select(F.col("doc_id").alias("__place")).distinct(), "__place", "left_anti").select(docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

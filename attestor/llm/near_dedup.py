@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, ship, write_through
+from attestor.llm.common import documents, numbered, ship, write_through
 from attestor.llm.components import components
 from attestor.llm.textops import chunks, distinct_runs, mix, Powers, shingles, text_bytes, U, word_hashes
 
@@ -328,14 +328,21 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHING
     return some.unionByName(none).withColumn("kept", same)
 
 
-def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id, once if its row repeats.
+def drop_near_duplicates(docs: DataFrame, null_ids: bool = False, **settings) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id, null ids last.
 
-    Rows with a null doc_id can't be told apart by id and stay.
+    Rows that share an id are documents of their own; of those without shingles, one per id stays. Rows with
+    a null doc_id stay; with ``null_ids`` they are compared like all others, and only those without shingles stay anyway.
     """
-    kept = near_dedup(docs, **settings).where("kept and doc_id is not null").select("doc_id").distinct()
-    found = docs.join(kept.hint("merge"), "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where("doc_id is null"))
+    rows = numbered(docs, "near-rows")
+    some = rows if null_ids else rows.where("doc_id is not null")
+    near = near_dedup(some.select(F.col("__place").alias("doc_id"), "text"), **settings)
+    bare = near.where("n_shingles = 0").select(F.col("doc_id").alias("__place")).join(rows.select("__place", "doc_id"), "__place")
+    first = bare.where("doc_id is not null").groupBy("doc_id").agg(F.min("__place").alias("__first"))
+    again = bare.join(first, "doc_id").where("__place > __first").select("__place")
+    kept = near.where("kept").select(F.col("doc_id").alias("__place")).join(again, "__place", "left_anti")
+    found = rows.join(kept.hint("merge"), "__place").select(docs.columns)
+    return found if null_ids else found.unionByName(docs.where("doc_id is null"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

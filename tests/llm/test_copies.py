@@ -100,6 +100,16 @@ def test_near_stage_keeps_one_of_each(edge):
     assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 7, 9, 11, 12, 13, 14, 15] or len(ids) == len(set(ids)) + 1
 
 
+def test_near_stage_tells_rows_of_one_id_apart(frame):
+    import corpus_pipeline
+
+    a, b, c, d = (words(random.Random(i), 40) for i in range(4))
+    rows = [(1, a), (1, b), (2, b.upper()), (3, ""), (3, ""), (None, a), (None, c), (None, c), (None, d), (None, None)]
+    out = corpus_pipeline.drop_near_copies(None, frame(rows), "")
+    want = [(1, a), (1, b), (3, ""), (None, c), (None, d), (None, None)]
+    assert plain.counted((r.doc_id, r.text) for r in out.collect()) == plain.counted(want)
+
+
 def test_least_matches_bound():
     n = near_dedup.least_matches(288, 0.8, 1e-6)
     assert 180 < n < 230 and near_dedup.least_matches(32, 0.8, 1e-6) < 20

@@ -195,6 +195,13 @@ def test_leak_edges(edge, none, spark):
     assert kept.columns == edge.columns and {1, 2, 3, 14} & {r.doc_id for r in kept.collect()} == set()
 
 
+def test_leak_stage_tells_rows_of_one_id_apart(spark):
+    leak, clean = edge_rows()[0][1], "nothing of the benchmark stands in this text"
+    docs = spark.createDataFrame([(1, leak), (1, clean), (None, leak), (None, clean)], "doc_id long, text string")
+    kept = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == [(1, clean), (None, clean)]
+
+
 # registered --------------------------------------------------------------------------------------
 
 
