@@ -7,11 +7,11 @@ A suffix array of the whole corpus would be one task. Instead, suffixes meet onl
    windows (about one per 35 bytes), each with its hash and a hash of all bytes it covers.
 2. Runs meet by smallest hash. Hashes that occur once are done: they are most of a corpus. Of equal
    runs, all but the first in (document, offset) order are covered as a whole.
-3. Where different runs share a hash (ends of copied passages), their bytes meet: the suffixes at
-   their windows are sorted, and the longest previous factor of each is read off its neighbours in
-   suffix order. Suffixes are compared to LENGTH bytes and ties stand in text order, so the nearest
-   smaller position before a suffix holds its earlier match, and the one after it never does. A factor of
-   LENGTH bytes or more covers the window; the first occurrence has none and stays.
+3. Where different runs share a hash (ends of copied passages), their bytes meet: windows of equal
+   64-bit hash are sorted by their LENGTH bytes, and of equal strings all but the first in text order are
+   covered. A suffix has a longest previous factor of LENGTH bytes or more just when its first LENGTH bytes
+   stand earlier, so these classes decide the same; factor lengths and neighbouring positions aren't computed.
+   Equal runs (step 2) and the windows of hot hashes go by 64-bit hash alone.
 4. Covered windows merge to spans, and the spans are cut from the document.
 
 Every step keeps the first of equal keys in its own batch and passes on only that one, so a passage that a third of
