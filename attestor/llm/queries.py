@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestor.llm import decontamination, exact_dedup, license_scan, line_dedup, mixing, near_dedup, repeats, secret_scan, token_files, toxicity
+from attestor.llm import decontamination, exact_dedup, license_scan, line_dedup, merkle, mixing, near_dedup, repeats, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_suffix_repeats": repeats.op8_suffix_repeats,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op13_merkle": merkle.op13_merkle,
 }
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op13_merkle": merkle.SQL,
 }
