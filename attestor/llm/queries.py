@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestor.llm import decontamination, exact_dedup, license_scan, line_dedup, merkle, mixing, near_dedup, periodic, repeats, secret_scan, token_files, toxicity
+from attestor.llm import decontamination, exact_dedup, hidden_markov, license_scan, line_dedup, merkle, mixing, near_dedup, periodic, repeats, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_repeats": repeats.op8_suffix_repeats,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_hidden_markov": hidden_markov.op11_hidden_markov,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_merkle": merkle.op13_merkle,
 }
