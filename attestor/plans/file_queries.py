@@ -14,7 +14,7 @@ from attestor.session import scratch_dir
 from attestor.sinks import sheets as S
 from attestor.sinks.store import ReportStore
 from attestor.sources import files as I
-from attestor.sources.normalize import normalize_identity
+from attestor.sources.normalize import place_identity
 from attestor.streaming import drop_folder
 
 
@@ -52,7 +52,7 @@ def row_numbers(spark, sf_dir):
     root = scratch_dir(spark, "rows")
     _write_export(D.okta(spark, sf_dir), f"{root}/okta")
     registry = I.probe_files(spark, [f"{root}/okta/*.csv"])
-    raw = I.read_layouts(spark, registry, I.layouts(registry))[0]
+    raw = I.read_table(spark, registry)
     return raw.select(F.col("ref").cast("long").alias("ref"), (F.col("place").cast("long") == F.col("_row")).alias("in_place"))
 
 
@@ -68,14 +68,55 @@ def ragged_rows(spark, sf_dir):
     first = F.when(_in_task() == 0, F.lit("name,uid,role\n")).otherwise(F.lit(""))
     D.table(spark, sf_dir, "supplier").select(F.concat(first, line).alias("value")).write.text(f"{root}/sap")
     registry = I.probe_files(spark, [f"{root}/sap/*.txt"], by_folder=True)
-    found = I.layouts(registry)
-    raw = I.read_layouts(spark, registry, found)[0]
-    notes = I.parse_warnings(raw, found[0].headers).select((F.col("row") - 1).alias("_row"), "message")
+    raw = I.read_table(spark, registry)
+    notes = I.parse_warnings(raw).select((F.col("row") - 1).alias("_row"), "message")
     return raw.join(notes, "_row", "left").select(
         F.col("name"), F.col("uid"), F.col("role"), F.coalesce("message", F.lit("")).alias("message")
     )
 
 
+@query
+def lenient_quotes(spark, sf_dir):
+    """Bare quotes in header and rows, line breaks in quotes, quotes inside quoted fields: no row or file is lost."""
+    root = scratch_dir(spark, "quotes")
+    key = F.col("c_custkey").cast("string")
+    size = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit('5" disk '), key)).otherwise(F.concat(F.lit('"5"" disk '), key, F.lit('"')))
+    note = (
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('"first line of '), key, F.lit('\nsecond, with 6" and ""seven""\n"')))
+        .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('"a "bare" quote, '), key, F.lit('"'))).otherwise(F.lit("plain"))
+    )
+    first = F.when(_in_task() == 0, F.lit('key,Disk 5" size,"note ""n""",last\n')).otherwise(F.lit(""))
+    D.table(spark, sf_dir, "customer").select(
+        F.concat(first, F.concat_ws(",", key, size, note, F.lit("end"))).alias("value")
+    ).write.text(f"{root}/disks")
+    registry = I.probe_files(spark, [f"{root}/disks/*.txt"], by_folder=True)
+    return I.read_table(spark, registry).select(
+        F.col("key").cast("long").alias("key"), F.col('Disk 5" size').alias("size"), F.col('note "n"').alias("note"), "last")
+
+
+LAYOUTS = 300
+
+
+@query
+def many_layouts(spark, sf_dir):
+    """Hundreds of exports, each with a header of its own, by one scan and one mapping plan."""
+    root = scratch_dir(spark, "layouts")
+    c = D.table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") % LAYOUTS).cast("int").alias("unit"), F.lit(1).alias("at"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    heads = c.select("unit").distinct().select("unit", F.lit(0).alias("at"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("string").alias("name"))
+    rows = c.unionByName(heads)
+    own = F.concat(F.lit("x"), F.col("unit").cast("string"))
+    mail = F.concat(F.lit("U"), F.col("k"), F.lit("@Acme.com"))
+    cell = lambda h, v: F.coalesce(v, h if not isinstance(h, str) else F.lit(h))
+    login, email, shown, extra = cell("login", F.col("k").cast("string")), cell("E-Mail", mail), cell("Full Name", F.col("name")), cell(own, F.when(F.col("k").isNotNull(), F.lit("-")))
+    role = cell(F.concat(own, F.lit(" admin")), F.when(F.col("k") % 2 == 0, F.lit("Root")).when(F.col("k").isNotNull(), F.lit("")))
+    line = F.when(F.col("unit") % 3 == 0, F.concat_ws(",", login, email, shown, extra, role)).when(
+        F.col("unit") % 3 == 1, F.concat_ws(",", extra, role, email, shown, login)).otherwise(F.concat_ws(",", shown, extra, login, role, email))
+    rows.select("unit", "at", line.alias("line")).repartition("unit").sortWithinPartitions("unit", "at").drop("at").write.partitionBy("unit").text(root)
+    registry = I.probe_files(spark, [f"{root}/*/*.txt"], by_folder=True)
+    return I.read_accounts(spark, registry).rows.select("system", "user_id", "email", "display_name", "role")
+
+
 @query
 def encoding_routing(spark, sf_dir):
     """Whole documents (quoted line breaks included) through four encodings and back."""
@@ -88,11 +129,9 @@ def encoding_routing(spark, sf_dir):
             "ignoreLeadingWhiteSpace", False
         ).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{name}")
     registry = I.probe_files(spark, [f"{root}/*/*.csv"])
-    out = None
-    for raw in I.read_layouts(spark, registry, I.layouts(registry)):
-        part = raw.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("md5"), F.char_length("text").cast("long").alias("chars"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return I.read_table(spark, registry).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("md5"), F.char_length("text").cast("long").alias("chars")
+    )
 
 
 @query
@@ -127,8 +166,7 @@ def employee_file(spark, sf_dir):
         F.col("admin_info").alias("Admin Info"),
     ).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{root}/hr_feed")
     registry = I.probe_files(spark, [f"{root}/hr_feed/*.csv"], by_folder=True)
-    found = I.layouts(registry)
-    rows = normalize_identity(I.read_layouts(spark, registry, found)[0], found[0].headers)
+    rows = place_identity(I.read_rows(spark, registry))
     return rows.select(
         "canonical_id", "employee_id", "display_name", "email", "department", "manager", "employment_status", "admin_info", "normalized_name"
     )
@@ -183,7 +221,7 @@ def master_csv(spark, sf_dir):
     root = scratch_dir(spark, "master")
     S.write_csv(S.master_sheet(report(spark, sf_dir)), f"{root}/report")
     registry = I.probe_files(spark, [f"{root}/report/*.csv"], by_folder=True)
-    raw = I.read_layouts(spark, registry, I.layouts(registry))[0]
+    raw = I.read_table(spark, registry)
     number = {"risk_score": "int", "source_row": "long"}
     names = {h: c or "review_action" for h, c in S.MASTER_COLUMNS.items()}
     return raw.select(*[F.col(h).cast(number.get(c, "string")).alias(c) for h, c in names.items()])

@@ -454,6 +454,11 @@ def sql() -> dict[str, str]:
       case when s_suppkey % 3 = 0 then '' else 'x' end as role,
       case when s_suppkey % 3 = 0 then 'row has 2 columns, expected 3; padding with empty values'
        when s_suppkey % 5 = 0 then 'row has 5 columns, expected 3; truncating extra columns' else '' end message from supplier"""
+    q["lenient_quotes"] = """select c_custkey as key, '5" disk ' || c_custkey as size,
+      case c_custkey % 3 when 0 then 'first line of ' || c_custkey || chr(10) || 'second, with 6" and "seven"' || chr(10)
+        when 1 then 'a "bare" quote, ' || c_custkey else 'plain' end as note, 'end' as "last" from customer"""
+    q["many_layouts"] = """select 'unit=' || (c_custkey % 300) as system, c_custkey::varchar as user_id, 'u' || c_custkey || '@acme.com' as email,
+      c_name as display_name, case when c_custkey % 2 = 0 then 'Root' else '' end as role from customer"""
     q["encoding_routing"] = "select doc_id, md5(text) md5, length(text)::bigint chars from documents"
     q["master_csv"] = f"{RPT} select record_id, employee_id, display_name, email, department, manager, employment_status, system, role, entitlement, last_login, account_status, match_type, risk_level, risk_score, review_action, review_note, system source_file, source_row from report"
     two = f"with {IDENT}, {OKTA}, {AWS}, acc as (select * from okta union all by name select * from aws), {MATCHED}, {REPORT}"

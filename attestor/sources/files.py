@@ -1,29 +1,28 @@
-"""Export files: registry (hash, encoding, header, system), CSV scan, warnings.
+"""Export files: registry (hash, encoding, header, system), rows, warnings.
 
 Registry rows are one per file. Files of every size are read line by line over many tasks, so
-fingerprint, encoding and header don't depend on a file's size or on how it is split.
-"""
+fingerprint, encoding and header don't depend on a file's size or on how it is split; one pass gives them all.
+
+Rows of all files come from one scan, whatever their headers: a row is an array of fields, and a file's row of
+the registry says at which places the wanted fields are.
+""" 
 
 from __future__ import annotations
 
-import csv
 import hashlib
-import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attestor.session import write_through
-from attestor.sources.mapping import ColumnMapping, load_mapping, validate_mapping
-from attestor.sources.normalize import normalize_accounts, normalize_identity
+from attestor.sources.mapping import ColumnMapping, admin_positions, file_positions, load_mapping, validate_mapping
+from attestor.sources.normalize import place_accounts, place_identity
+from attestor.sources.records import WIDE, decoded, fields, line_text, opens, raw_lines, read_records
 
-OFFSET_BROADCAST_BLOCKS = 200_000
-MIN_SPLIT = 16 * 1024 * 1024
 # Trailing words dropped from a file name to get the system name.
 EXPORT_WORDS = ("export", "users", "roles", "accounts", "access", "report", "data", "dump", "extract")
 # Messages of unusable files.
@@ -31,10 +30,8 @@ NO_HEADER = "empty file: no header row found"
 NO_ROWS = "file contains no data rows"
 
 REGISTRY_COLUMNS = (
-    "path", "uri", "unit", "name", "size", "hash", "encoding", "header", "multi_line", "system", "is_sot", "status", "error",
+    "path", "uri", "unit", "name", "size", "hash", "encoding", "header", "headers", "system", "is_sot", "status", "error",
 )
-_READ_AS = {"utf-8": "UTF-8", "utf-8-bom": "UTF-8", "utf-16le": "UTF-16", "utf-16be": "UTF-16", "latin-1": "ISO-8859-1"}
-
 
 def system_name(file_name: Column) -> Column:
     stem = F.regexp_replace(file_name, r"\.[^.]+\z", "")
@@ -42,82 +39,69 @@ def system_name(file_name: Column) -> Column:
     return F.coalesce(F.nullif(cut, F.lit("")), stem)
 
 
-def _decoded(content: Column, encoding: Column) -> Column:
-    """Text of raw bytes; half a UTF-16 line break at the end goes."""
-    even = F.expr("substring(head, 1, length(head) - length(head) % 2)")
-    wide = F.when(encoding.isin("utf-16le", "utf-16be"), F.decode(even, "UTF-16"))
-    return wide.when(encoding == "latin-1", F.decode(content, "ISO-8859-1")).otherwise(content.cast("string"))
-
+def _header_fields(text: Column) -> Column:
+    return F.transform(fields(text), lambda h: F.regexp_replace(h, r"^[ \t\r\n]+|[ \t\r\n]+\z", ""))
 
-def _open_quote(line: Column) -> Column:
-    return F.pmod(F.length(line) - F.length(F.replace(line, F.lit(b'"').cast("string"), F.lit(""))), F.lit(2)) == 1
 
+def _facts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """uri, size, hash, encoding, head (first line that isn't empty), filled (number of these), from one pass.
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every line of every file with its number, from 0; bytes are kept as they are.
-
-    Lines of one block are consecutive in one task; the line counts of a file's earlier blocks
-    give the number, so neither the split size nor the file size matters.
+    The fingerprint digests sums of 30-bit halves of each line's hash, plain and times its number: 120 bits that depend on
+    content and order. A line's number is known within its task; both sums of a block are enough
+    to shift it by the lines of earlier blocks, so the pass needs no numbering first. A UTF-8 byte order mark is dropped
+    by the line reader, so a file with one is three bytes longer than its lines.
     """
-    raw = spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("uri"),
-        F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
+    raw = raw_lines(spark, paths).withColumn("text", line_text())
+    place = F.col("at").bitwiseAND(F.lit(2**33 - 1))
+    whole = F.xxhash64("value")
+    halves = {"a": whole.bitwiseAND(F.lit(2**30 - 1)), "b": F.shiftrightunsigned(whole, 34)}
+    wide = lambda c: F.sum(c.cast("decimal(20,0)"))
+    filled = F.col("text") != ""
+    blocks = raw.withColumns(halves).groupBy("uri", "size", "block").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
+        *[wide(F.col(h)).alias(h) for h in halves], *[wide(F.col(h) * place).alias(f"{h}_at") for h in halves],
+        F.sum(F.octet_length("value") + 1).alias("bytes"), F.every(F.is_valid_utf8(F.col("value").cast("string"))).alias("valid"),
+        F.min_by(F.hex(F.substring("value", 1, 2)), "at").alias("start"), F.count_if(filled).alias("filled"),
+        F.min_by(F.when(filled, F.col("text")), F.when(filled, F.col("at"))).alias("head"),
     )
-    blocks = raw.groupBy("uri", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("uri").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = blocks.select("uri", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
-    return raw.join(offsets, ["uri", "block"]).select("uri", "size", "value", (F.col("at") + F.col("shift")).alias("n"))
+    moved = blocks.withColumn("shift", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first"))
+    facts = moved.groupBy("uri", "size").agg(
+        F.sum("n").alias("lines"), *[F.sum(h).alias(h) for h in halves],
+        *[F.sum(F.col(f"{h}_at") + F.col(h) * F.col("shift")).cast("decimal(38,0)").alias(f"{h}_at") for h in halves],
+        F.sum("bytes").alias("bytes"), F.every("valid").alias("valid"), F.min_by("start", "block").alias("start"),
+        F.sum("filled").alias("filled"), F.min_by("head", F.when(F.col("head").isNotNull(), F.col("block"))).alias("head"),
+    )
+    encoding = (
+        F.when(F.startswith("start", F.lit("FFFE")), F.lit("utf-16le")).when(F.startswith("start", F.lit("FEFF")), F.lit("utf-16be"))
+        .when(~F.col("valid"), F.lit("latin-1")).when(F.col("bytes") < F.col("size"), F.lit("utf-8-bom")).otherwise(F.lit("utf-8"))
+    )
+    parts = [f"cast({c} as string)" for c in ("size", "lines", "a", "b", "a_at", "b_at")]
+    digest = F.sha2(F.expr(f"concat_ws(',', {', '.join(parts)})"), 256)
+    return write_through(facts.select("uri", "size", digest.alias("hash"), encoding.alias("encoding"), "head", "filled"), "file-facts")
 
 
 def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Facts of each file from mergeable aggregates of its lines.
-
-    The fingerprint is a digest of sums over (line number, line): 128 bits that depend on the
-    content and its order. A UTF-8 byte order mark is dropped by the line reader, so a file
-    with one is three bytes longer than its lines. The header is the first record: a line with an
-    open quote goes on to the next line with an odd number of quotes.
-    """
-    lines = _lines(spark, paths)
-    text = F.col("value").cast("string")
-    facts = lines.groupBy("uri", "size").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.sum(F.xxhash64("value", "n").cast("decimal(38,0)")).alias("total"),
-        F.sum(F.xxhash64("n", "value", F.lit(1)).cast("decimal(38,0)")).alias("mix"),
-        F.sum(F.octet_length("value") + 1).alias("bytes"),
-        F.every(F.is_valid_utf8(text)).alias("valid"),
-        F.max(F.when(F.col("n") == 0, F.hex(F.substring("value", 1, 2)))).alias("start"),
-        F.max(F.when(F.col("n") == 0, _open_quote(text))).alias("open"),
-        F.min(F.when((F.col("n") > 0) & _open_quote(text), F.col("n"))).alias("close"),
-        F.max(F.when(F.regexp_replace(text, r"[\x00\s]", "") != "", F.col("n"))).alias("filled"),
-        F.some(_open_quote(text)).alias("multi_line"),
-    )
-    facts = facts.withColumn(
-        "encoding",
-        F.when(F.startswith("start", F.lit("FFFE")), F.lit("utf-16le")).when(F.startswith("start", F.lit("FEFF")), F.lit("utf-16be"))
-        .when(~F.col("valid"), F.lit("latin-1")).when(F.col("bytes") < F.col("size"), F.lit("utf-8-bom")).otherwise(F.lit("utf-8")),
-    ).withColumn("last", F.when(F.col("open"), F.coalesce("close", F.col("lines") - 1)).otherwise(F.lit(0)))
-    facts = write_through(facts, "file-facts")
-    heads = lines.join(facts.select("uri", "last"), "uri").where(F.col("n") <= F.col("last")).groupBy("uri").agg(
-        F.array_sort(F.collect_list(F.struct("n", "value"))).alias("head")
-    ).select("uri", F.expr("aggregate(slice(head.value, 2, size(head)), head[0].value, (a, x) -> concat(a, X'0A', x))").alias("head"))
-    header = F.regexp_replace(F.regexp_replace(_decoded(F.col("head"), F.col("encoding")), "^\ufeff", ""), "[\r\n]+$", "")
-    return facts.join(heads, "uri").select(
-        F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B"))).alias("path"),
-        "uri",
-        "size",
-        F.sha2(F.concat_ws(",", "size", "lines", "total", "mix"), 256).alias("hash"),
-        "encoding",
-        header.alias("header"),
-        (F.coalesce("filled", F.lit(-1)) > F.col("last")).alias("has_rows"),
-        "multi_line",
+    """Facts of each file. Files in UTF-16, or with line breaks in their header, are read as records for it."""
+    facts = _facts(spark, paths).withColumn("path", F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B"))))
+    special = F.col("encoding").isin(*WIDE) | (F.coalesce(opens(F.col("head")), F.lit(0)) == 1)
+    odd = [(r.path, r.encoding) for r in facts.where(special).select("path", "encoding").collect()]
+    facts = facts.withColumns({"header": decoded(F.col("head"), F.col("encoding")), "records": F.col("filled")})
+    if odd:
+        records, counts = read_records(spark, odd)
+        heads = records.where("rec = 1").join(counts, "uri").select("uri", F.col("text").alias("first"), F.col("n").alias("found"))
+        facts = facts.join(heads, "uri", "left").withColumns({
+            "header": F.coalesce(decoded(F.col("first"), F.col("encoding")), F.when(~special, F.col("header"))),
+            "records": F.coalesce("found", F.when(~special, F.col("records")), F.lit(0)),
+        })
+    header = F.coalesce("header", F.lit(""))
+    return facts.select(
+        "path", "uri", "size", "hash", "encoding", header.alias("header"), _header_fields(header).alias("headers"),
+        (F.col("records") > 1).alias("has_rows"),
     )
 
 
-_FACTS = (
-    "path string, uri string, size long, hash string, encoding string, header string, "
-    "has_rows boolean, multi_line boolean"
-)
+_FACTS = "path string, uri string, size long, hash string, encoding string, header string, headers array<string>, has_rows boolean"
 
 
 def _short(uri: str) -> str:
@@ -138,7 +122,7 @@ def probe_files(spark: SparkSession, paths: list[str], by_folder: bool = False)
     empty = [u for u in map(_short, loaded.inputFiles()) if u not in seen]
     parts = [_probe(spark, paths)] if listing else []
     if empty:
-        facts = [(unquote(u), u, 0, hashlib.sha256(b"").hexdigest(), "utf-8", "", False, False) for u in empty]
+        facts = [(unquote(u), u, 0, hashlib.sha256(b"").hexdigest(), "utf-8", "", [], False) for u in empty]
         parts.append(spark.createDataFrame(facts, _FACTS))
     if not parts:
         raise ValueError(f"no files at {paths}")
@@ -148,8 +132,9 @@ def probe_files(spark: SparkSession, paths: list[str], by_folder: bool = False)
     error = F.when(F.col("header") == "", F.lit(NO_HEADER)).when(~F.col("has_rows"), F.lit(NO_ROWS))
     df = df.withColumn("unit", unit)
     if by_folder:
-        whole = F.array_sort(F.collect_list(F.struct("path", "hash")).over(W.partitionBy("unit")))
-        df = df.withColumn("hash", F.sha2(F.array_join(F.transform(whole, lambda p: p["hash"]), ","), 256))
+        parts = df.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("path", "hash"))).alias("parts"))
+        whole = parts.select("unit", F.sha2(F.array_join(F.transform("parts", lambda p: p["hash"]), ","), 256).alias("hash"))
+        df = df.drop("hash").join(whole, "unit")
     registry = df.withColumns({
         "name": name,
         "system": system_name(name),
@@ -185,113 +170,47 @@ def file_errors(registry: DataFrame) -> DataFrame:
     return registry.where(F.col("status") == "error").select("path", "name", "system", "error")
 
 
-@dataclass
-class Layout:
-    """Files that one CSV scan can read: same header, encoding and quoting."""
+def read_rows(spark: SparkSession, registry: DataFrame, mapping: ColumnMapping | str | None = None) -> DataFrame | None:
+    """Rows of all usable files by one scan; None without one.
 
-    headers: list[str]
-    encoding: str
-    multi_line: bool
-    paths: list[str] = field(default_factory=list)
-    bytes: int = 0
-
-
-def parse_header(header: str) -> list[str]:
-    rows = list(csv.reader([header], skipinitialspace=False, strict=False)) if "\n" not in header else list(
-        csv.reader(header.splitlines(keepends=True))
+    _file, _row (position in the unit, from 1), _fields (array), _headers, _system, _hash, and where the mapping finds
+    its fields: _pos, _admin. A registry row of each file comes to the driver: the reader takes paths.
+    """
+    usable = registry.where(F.col("status") != "error")
+    files = [(r.path, r.encoding) for r in usable.select("path", "encoding").collect()]
+    if not files:
+        return None
+    records, counts = read_records(spark, files)
+    earlier = W.partitionBy("unit").orderBy("uri").rowsBetween(W.unboundedPreceding, -1)
+    facts = usable.join(counts, "uri").select(
+        "uri", F.col("encoding").alias("_encoding"), F.col("headers").alias("_headers"), F.col("system").alias("_system"),
+        F.col("hash").alias("_hash"), F.coalesce(F.sum(F.col("n") - 1).over(earlier), F.lit(0)).alias("_shift"),
+        file_positions(F.col("headers"), mapping).alias("_pos"), admin_positions(F.col("headers")).alias("_admin"),
     )
-    return [h.strip(" \t\r\n") for h in rows[0]] if rows else []
-
-
-def layouts(registry: DataFrame) -> list[Layout]:
-    """Group usable files by layout; reads one small registry row per file."""
-    found: dict[tuple, Layout] = {}
-    for r in registry.where(F.col("status") != "error").select("path", "size", "header", "encoding", "multi_line").collect():
-        wide = r.encoding.startswith("utf-16")
-        key = (r.header, _READ_AS[r.encoding], bool(r.multi_line or wide))
-        layout = found.setdefault(key, Layout(parse_header(r.header), key[1], key[2]))
-        layout.paths.append(r.path)
-        layout.bytes += r.size
-    return list(found.values())
-
-
-def _scan(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Positional string columns, the raw text of ragged rows, and the place of each row."""
-    names = [f"c{i}" for i in range(len(layout.headers))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_ragged"]])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_ragged")
-        .option("multiLine", layout.multi_line)
-        .option("encoding", layout.encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("maxCharsPerColumn", -1)
-        .csv(layout.paths)
-        .select(
-            *[F.coalesce(n, F.lit("")).alias(n) for n in names],
-            # A scan pruned to some columns cannot tell ragged rows: tie the flag to all of them.
-            F.when(F.length(F.concat_ws("", *names)) >= 0, F.col("_ragged")).alias("_ragged"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"),
-        )
+    return records.where("rec > 1").join(facts, "uri").select(
+        F.col("uri").alias("_file"), (F.col("_shift") + F.col("rec") - 1).alias("_row"),
+        fields(decoded(F.col("text"), F.col("_encoding"))).alias("_fields"), "_headers", "_system", "_hash", "_pos", "_admin",
     )
 
 
-def block_offsets(scans: list[DataFrame], units: DataFrame) -> DataFrame:
-    """(_file, _block, _offset) turning a row's ``_at`` into its position in its unit, from 1.
+def read_table(spark: SparkSession, registry: DataFrame) -> DataFrame:
+    """Rows of files that share one header: a column per header (the last of equal ones), and the columns of ``read_rows``."""
+    found = registry.where(F.col("status") != "error").select("headers").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("the files need one header in common" if found else "no usable file")
+    last = {h: i for i, h in enumerate(found[0].headers)}
+    cells = [F.coalesce(F.get("_fields", F.lit(i)), F.lit("")).alias(h) for h, i in last.items()]
+    return read_rows(spark, registry).select(*cells, "_row", "_file", "_fields", "_headers")
 
-    Rows of one block are consecutive in one task; adding the row counts of the unit's earlier
-    blocks gives the position. Only this table of block counts is ordered, never the rows.
-    """
-    blocks = _union(
-        [s.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")) for s in scans]
-    ).join(units, "_file")
-    earlier = W.partitionBy("_unit").orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
-    prior = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    return blocks.select("_file", "_block", (prior + 1 - F.col("_first")).alias("_offset"))
-
-
-def _block_estimate(spark: SparkSession, found: list[Layout]) -> int:
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
-    split = int(size) if size.isdigit() else MIN_SPLIT
-    return sum(math.ceil(x.bytes / split) + len(x.paths) for x in found)
-
-
-def read_layouts(spark: SparkSession, registry: DataFrame, found: list[Layout]) -> list[DataFrame]:
-    """Raw rows per layout: a column per header (the last of equal headers), ``_row``, ``_file``, ``_ragged``."""
-    scans = [_scan(spark, x) for x in found]
-    units = registry.select(F.col("uri").alias("_file"), F.col("unit").alias("_unit"))
-    offsets = block_offsets(scans, units)
-    if _block_estimate(spark, found) <= OFFSET_BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
-    out = []
-    for layout, scan in zip(found, scans):
-        last = {h: i for i, h in enumerate(layout.headers)}
-        rows = scan.join(offsets, ["_file", "_block"])
-        out.append(
-            rows.select(
-                *[F.col(f"c{i}").alias(h) for h, i in last.items()],
-                (F.col("_at") + F.col("_offset")).alias("_row"), "_file", "_ragged",
-            )
-        )
-    return out
 
-
-def parse_warnings(rows: DataFrame, headers: list[str]) -> DataFrame:
-    """(file, row, message) of padded and truncated rows; file row 1 is the header."""
-    columns = len(headers)
-    unquoted = F.regexp_replace(F.col("_ragged"), r'"(?:[^"]|"")*"', "")
-    found = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+def parse_warnings(rows: DataFrame) -> DataFrame:
+    """(file, row, message) of padded and truncated rows of ``read_rows``; file row 1 is the header."""
+    found, columns = F.size("_fields"), F.size("_headers")
     what = F.when(found < columns, F.lit("padding with empty values")).otherwise(F.lit("truncating extra columns"))
-    return rows.where(F.col("_ragged").isNotNull()).select(
+    return rows.where(found != columns).select(
         F.col("_file").alias("file"),
         (F.col("_row") + 1).alias("row"),
-        F.concat(F.lit("row has "), found.cast("string"), F.lit(f" columns, expected {columns}; "), what).alias("message"),
+        F.concat(F.lit("row has "), found.cast("string"), F.lit(" columns, expected "), columns.cast("string"), F.lit("; "), what).alias("message"),
     )
 
 
@@ -324,12 +243,8 @@ def read_identity(spark: SparkSession, registry: DataFrame, mapping: ColumnMappi
     bad = one.where(F.col("status") == "error").select("name", "error").first()
     if bad:
         raise ValueError(f"{bad.name}: {bad.error}")
-    layout = layouts(one)[0]
-    raw_rows = read_layouts(spark, one, [layout])[0]
-    return Ingested(
-        normalize_identity(raw_rows, list(dict.fromkeys(layout.headers)), mapping),
-        parse_warnings(raw_rows, layout.headers),
-    )
+    rows = read_rows(spark, one, mapping)
+    return Ingested(place_identity(rows, mapping), parse_warnings(rows))
 
 
 def read_accounts(
@@ -344,16 +259,13 @@ def read_accounts(
     Returns None when no file is usable.
     """
     usable = registry.where(~F.col("is_sot") & (F.col("status") != "error"))
-    facts = usable.select(F.col("uri").alias("_file"), F.col("system").alias("_system"), F.col("hash").alias("_hash"))
     mapped, default = {s: _checked(m) for s, m in (mappings or {}).items()}, _checked(default)
     groups = [(usable.where(F.col("system") == s), m) for s, m in mapped.items()]
     groups.append((usable.where(~F.col("system").isin(*mapped)) if mapped else usable, default))
-    planned = [(x, mapping) for files, mapping in groups for x in layouts(files)]
-    if not planned:
+    found = [(rows, mapping) for files, mapping in groups if (rows := read_rows(spark, files, mapping)) is not None]
+    if not found:
         return None
-    frames, warnings = [], []
-    for (layout, mapping), rows in zip(planned, read_layouts(spark, usable, [x for x, _ in planned])):
-        tagged = rows.join(facts, "_file")
-        frames.append(normalize_accounts(tagged, list(dict.fromkeys(layout.headers)), mapping, id_fields))
-        warnings.append(parse_warnings(rows, layout.headers))
-    return Ingested(_union(frames), _union(warnings))
+    return Ingested(
+        _union([place_accounts(rows, mapping, id_fields) for rows, mapping in found]),
+        _union([parse_warnings(rows) for rows, _ in found]),
+    )

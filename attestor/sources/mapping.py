@@ -7,6 +7,7 @@ Planning works on header names only (driver metadata); the result is a list of c
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -44,6 +45,7 @@ HEADER_PARTS = (
     ("lastlogin", "lastLogin"), ("lastlogon", "lastLogin"), ("lastsignin", "lastLogin"),
     ("lastactivity", "lastLogin"),
 )
+_PLACEHOLDER = re.compile(r"\{([^{}]*)\}")
 _TARGET_OF = {h: t for t, headers in KNOWN_HEADERS.items() for h in headers}
 
 
@@ -222,5 +224,67 @@ def fill_template(template: str, headers: list[str]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def _last_place(headers: Column, name: Column) -> Column:
+    """Place of a header, from 0; of equal ones, the last. Null if there is none."""
+    back = F.array_position(F.reverse(headers), name)
+    return F.when(back > 0, (F.size(headers) - back).cast("int"))
+
+
+def _sources(mapping: ColumnMapping) -> list[str]:
+    """Every header that a mapping names."""
+    names = [*mapping.direct, *[s for t in mapping.concat for s in t.sources], *[t.source for t in mapping.split]]
+    names += [n for t in mapping.template for n in _PLACEHOLDER.findall(t.template)]
+    return sorted(set(names))
+
+
+def _planned(mapping: ColumnMapping | str | None) -> bool:
+    return isinstance(mapping, ColumnMapping) and not mapping.is_empty()
+
+
+def file_positions(headers: Column, mapping: ColumnMapping | str | None = None) -> Column:
+    """Struct of places in a file's rows: of target fields (auto, infer), or of the headers that a mapping names.
+
+    It is a column of files, so that one plan serves files of any headers.
+    """
+    if _planned(mapping):
+        return F.struct(*[_last_place(headers, F.lit(n)).alias(f"p{i}") for i, n in enumerate(_sources(mapping) or [""])])
+    names = F.array_distinct(headers)
+    if mapping == "infer":
+        targets = infer_targets(names)
+    else:
+        known = F.create_map(*[F.lit(x) for h, t in _TARGET_OF.items() for x in (h, t)])
+        targets = F.transform(names, lambda h: F.coalesce(F.try_element_at(known, normalized_header(h)), F.lit("")))
+    found = lambda t: F.get(names, (F.nullif(F.array_position(targets, F.lit(t)), F.lit(0)) - 1).cast("int"))
+    return F.struct(*[_last_place(headers, found(t)).alias(t) for t in TARGET_FIELDS])
+
+
+def admin_positions(headers: Column) -> Column:
+    """Places of the headers that speak of admins, by name."""
+    names = F.array_sort(F.filter(F.array_distinct(headers), lambda h: F.contains(F.lower(h), F.lit("admin"))))
+    return F.transform(names, lambda h: _last_place(headers, h))
+
+
+def _cell(place: Column) -> Column:
+    """The field at a place: blank if the row is short, null if the file has no such header."""
+    return F.when(place.isNotNull(), F.coalesce(F.get("_fields", place), F.lit("")))
+
+
+def placed_fields(mapping: ColumnMapping | str | None = None) -> dict[str, Column]:
+    """{field: column} over rows with ``_fields`` and ``_pos`` (see ``file_positions``)."""
+    if not _planned(mapping):
+        return {t: _cell(F.col(f"_pos.{t}")) for t in TARGET_FIELDS}
+    value = {n: _cell(F.col(f"_pos.p{i}")) for i, n in enumerate(_sources(mapping))}
+    fields: dict[str, Column] = {t: F.coalesce(value[h], F.lit("")) for h, t in reversed(mapping.direct.items())}
+    for t in mapping.concat:
+        _override(fields, t.target, F.concat_ws(t.separator, *[F.nullif(value[s], F.lit("")) for s in t.sources]))
+    for t in mapping.split:
+        _override(fields, t.target, split_part(value[t.source], t.separator, t.index))
+    for t in mapping.template:
+        pieces = _PLACEHOLDER.split(t.template)
+        filled = [F.lit(x) if i % 2 == 0 else F.coalesce(value[x], F.lit("{" + x + "}")) for i, x in enumerate(pieces)]
+        _override(fields, t.target, F.concat(*filled))
+    return fields
+
+
 def admin_headers(headers: list[str]) -> list[str]:
     return sorted(h for h in headers if "admin" in h.lower())

@@ -1,4 +1,7 @@
-"""Raw rows → identity and account rows, one projection each."""
+"""Raw rows → identity and account rows, one projection each.
+
+Rows come with a column per header (``normalize_*``) or as arrays with places per file (``place_*``).
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import joined_non_blank, normalize_name, trim_blanks
 from attestor.schema import ACCOUNT_COLUMNS, IDENTITY_COLUMNS, blank_to_null
-from attestor.sources.mapping import ColumnMapping, admin_headers, mapped_fields, raw
+from attestor.sources.mapping import ColumnMapping, admin_headers, mapped_fields, placed_fields, raw
 
 
 def _field(fields: dict[str, Column], name: str, fold: bool = False) -> Column:
@@ -28,7 +31,19 @@ def normalize_identity(
     rows: DataFrame, headers: list[str], mapping: ColumnMapping | str | None = None
 ) -> DataFrame:
     """``rows``: raw header columns plus ``_row`` (position in the file)."""
-    f = mapped_fields(headers, mapping)
+    return _identity(rows, mapped_fields(headers, mapping), _admin_values(headers))
+
+
+def place_identity(rows: DataFrame, mapping: ColumnMapping | str | None = None) -> DataFrame:
+    return _identity(rows, placed_fields(mapping), _placed_admin())
+
+
+def _placed_admin() -> Column:
+    values = F.transform("_admin", lambda i: trim_blanks(F.coalesce(F.get("_fields", i), F.lit(""))))
+    return F.array_join(F.filter(values, lambda v: v != ""), "; ")
+
+
+def _identity(rows: DataFrame, f: dict[str, Column], admin: Column) -> DataFrame:
     base = rows.select(
         _field(f, "employeeId").alias("employee_id"),
         _field(f, "displayName").alias("display_name"),
@@ -36,7 +51,7 @@ def normalize_identity(
         _field(f, "department").alias("department"),
         _field(f, "manager").alias("manager"),
         _field(f, "employmentStatus", fold=True).alias("employment_status"),
-        _admin_values(headers).alias("admin_info"),
+        admin.alias("admin_info"),
         F.col("_row").alias("sot_ord"),
     )
     return base.withColumns(
@@ -55,9 +70,16 @@ def normalize_accounts(
     ``id_fields``: fields tried for the account id, first non-blank wins; add ``employeeId`` to
     also match exports whose id column is an employee number.
     """
-    f = mapped_fields(headers, mapping)
+    return _accounts(rows, mapped_fields(headers, mapping), _admin_values(headers), id_fields)
+
+
+def place_accounts(rows: DataFrame, mapping: ColumnMapping | str | None = None, id_fields: tuple[str, ...] = ("userId",)) -> DataFrame:
+    return _accounts(rows, placed_fields(mapping), _placed_admin(), id_fields)
+
+
+def _accounts(rows: DataFrame, f: dict[str, Column], admin: Column, id_fields: tuple[str, ...]) -> DataFrame:
     ids = [blank_to_null(_field(f, name)) for name in id_fields]
-    role, admin = blank_to_null(_field(f, "role")), blank_to_null(_admin_values(headers))
+    role, admin = blank_to_null(_field(f, "role")), blank_to_null(admin)
     return rows.select(
         _field(f, "email", fold=True).alias("email"),
         F.coalesce(*ids, F.lit("")).alias("user_id"),

@@ -22,8 +22,7 @@ def put(folder, name, content):
 
 def read(spark, paths, **kw):
     registry = I.probe_files(spark, paths, **kw)
-    found = I.layouts(registry)
-    return registry, found, I.read_layouts(spark, registry, found)
+    return registry, I.read_table(spark, registry)
 
 
 def rows_of(df, *cols):
@@ -37,20 +36,19 @@ def test_encodings_and_headers(spark, tmp_path):
     put(tmp_path, "c.csv", body.encode("latin-1"))
     put(tmp_path, "d.csv", b"\xff\xfe" + body.encode("utf-16-le"))
     put(tmp_path, "e.csv", b"\xfe\xff" + body.encode("utf-16-be"))
-    registry, found, frames = read(spark, [str(tmp_path)])
+    registry, rows = read(spark, [str(tmp_path)])
     enc = {r.name: r.encoding for r in registry.collect()}
     assert enc == {"a.csv": "utf-8", "b.csv": "utf-8-bom", "c.csv": "latin-1", "d.csv": "utf-16le", "e.csv": "utf-16be"}
-    assert all(x.headers == ["Name", "Code"] and x.multi_line for x in found)
-    for x, f in zip(found, frames):
-        assert rows_of(f, "Name", "Code", "_row") == [("José", "1", 1), ('a,"b"\nc', "2", 2)] * len(x.paths)
+    assert all(r.headers == ["Name", "Code"] for r in registry.collect())
+    assert rows_of(rows, "Name", "Code", "_row") == [("José", "1", 1), ('a,"b"\nc', "2", 2)] * 5
 
 
 def test_ragged_duplicate_headers_blank_lines(spark, tmp_path):
     put(tmp_path, "x.csv", 'a,b,a\n1,2,3\n\n4,5\n6,7,8,9\n"p,q",r\n')
-    _, found, (rows,) = read(spark, [str(tmp_path)])
-    assert found[0].headers == ["a", "b", "a"] and not found[0].multi_line
+    registry, rows = read(spark, [str(tmp_path)])
+    assert registry.first().headers == ["a", "b", "a"]
     assert rows_of(rows, "a", "b", "_row") == [("3", "2", 1), ("", "5", 2), ("8", "7", 3), ("", "r", 4)]
-    notes = I.parse_warnings(rows, found[0].headers).orderBy("row").collect()
+    notes = I.parse_warnings(rows).orderBy("row").collect()
     assert [(n.row, n.message) for n in notes] == [
         (3, "row has 2 columns, expected 3; padding with empty values"),
         (4, "row has 4 columns, expected 3; truncating extra columns"),
@@ -64,7 +62,7 @@ def test_row_numbers_over_many_blocks(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")
     try:
-        _, _, (rows,) = read(spark, [str(tmp_path)])
+        _, rows = read(spark, [str(tmp_path)])
         assert rows.where(F.col("n").cast("long") != F.col("_row")).count() == 0
         assert rows.count() == 3499 and rows.select(F.spark_partition_id()).distinct().count() > 5
     finally:
@@ -76,9 +74,9 @@ def test_folder_of_parts_is_one_export(spark, tmp_path):
     put(tmp_path / "okta_export", "part-0.csv", "n\n1\n2\n")
     put(tmp_path / "okta_export", "part-1.csv", "n\né3\n".encode("latin-1"))
     put(tmp_path / "okta_export", "part-2.csv", "n\n4\n")
-    registry, _, frames = read(spark, [str(tmp_path / "*" / "*.csv")], by_folder=True)
+    registry, rows = read(spark, [str(tmp_path / "*" / "*.csv")], by_folder=True)
     assert {r.system for r in registry.collect()} == {"okta"}
-    got = sorted((r._row, r.n) for f in frames for r in f.collect())
+    got = sorted((r._row, r.n) for r in rows.collect())
     assert got == [(1, "1"), (2, "2"), (3, "é3"), (4, "4")]
 
 
@@ -138,7 +136,7 @@ def test_very_wide_and_quoted_headers(spark, tmp_path):
     names = [f"column number {i}" for i in range(6_000)]
     put(tmp_path, "wide.csv", ",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
     put(tmp_path, "quoted.csv", '"a\nb","c ""d""",e\n1,2,3\n')
-    found = {len(x.headers): x.headers for x in I.layouts(I.probe_files(spark, [str(tmp_path)]))}
+    found = {len(x.headers): x.headers for x in I.probe_files(spark, [str(tmp_path)]).collect()}
     assert found[6_000] == names and found[3] == ["a\nb", 'c "d"', "e"]
 
 
