@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.text import split_tokens
-from attestor.operators.report import identity_key
+from attestor.operators.report import identity_key, live_rows
 from attestor.operators.skew import salted_lookup
 from attestor.operators.tokens import group_token_union
 from attestor.schema import REPORT_COLUMNS, ROLE_ACTIONS_TYPE, blank_to_null
@@ -159,6 +159,39 @@ def _fold(items: Column) -> Column:
     return F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), start, step)
 
 
+def moved_ids(outdated: DataFrame) -> DataFrame:
+    """(old_id, new_id, new_row) of the accounts of grown units; ``outdated``: their earlier matches with ``by``."""
+    rows = live_rows(outdated).select("record_id", "source_row", "file_hash", "system")
+    by = outdated.select("system", "source_row", "file_hash", "by").distinct()
+    new_row = F.col("source_row") + F.col("by")
+    return rows.join(by, ["system", "source_row", "file_hash"]).select(
+        F.col("record_id").alias("old_id"),
+        F.concat(F.regexp_replace("record_id", "::[0-9]+\\z", "::"), new_row.cast("string")).alias("new_id"), new_row.alias("new_row"),
+    ).dropDuplicates(["old_id"])
+
+
+def renumber(report: DataFrame, ids: DataFrame) -> DataFrame:
+    """``report`` under the new ids and row numbers of ``moved_ids``; other rows stay."""
+    new = {"record_id": F.coalesce("new_id", "record_id"), "source_row": F.coalesce("new_row", "source_row")}
+    return report.join(ids.withColumnRenamed("old_id", "record_id"), "record_id", "left").select(
+        *[new.get(c, F.col(c)).alias(c) for c in REPORT_COLUMNS])
+
+
+def leading_ids(report: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(old_id, new_id, new_row) of users whose first row is another one now."""
+    first = incoming.select(identity_key().alias("_key"), F.col("record_id").alias("new_id"), F.col("source_row").alias("new_row"))
+    return report.select(identity_key().alias("_key"), F.col("record_id").alias("old_id")).join(
+        first.dropDuplicates(["_key"]), "_key").where(F.col("old_id") != F.col("new_id")).drop("_key")
+
+
+def renumber_log(log: DataFrame, ids: DataFrame) -> DataFrame:
+    """The review log under new ids."""
+    out = log
+    for c in ("record_id", "target_record"):
+        out = out.join(ids.select(F.col("old_id").alias(c), "new_id"), c, "left").withColumn(c, F.coalesce("new_id", c)).drop("new_id")
+    return out.select(*log.columns)
+
+
 def append_report(report: DataFrame, incoming: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Upsert, consolidate and (with a log) replay manual merges and name edits."""
     from attestor.operators.review import replay

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.risk import DORMANCY_DAYS
 from attestor.operators.fuzzy import FuzzyRules
-from attestor.operators.incremental import append_report
+from attestor.operators.incremental import append_report, leading_ids, moved_ids, renumber, renumber_log
 from attestor.operators.match import match_accounts
 from attestor.operators.report import dedupe, live_rows, policy_entries
 from attestor.session import write_through
@@ -62,12 +62,17 @@ def review_files(
     )
 
 
-def merge_version(store: ReportStore, accounts: DataFrame, version: int, systems: list[str]) -> None:
+def merge_version(
+    store: ReportStore, accounts: DataFrame, version: int, systems: list[str], moved: DataFrame | None = None
+) -> None:
     """Match new accounts of some systems and rebuild those systems' report rows.
 
     All matches of the systems are merged again (new files may repeat users of earlier ones);
     review state is kept by record, manual merges and name edits are replayed from the log.
     Only the partitions of these systems are read and written.
+
+    ``moved`` (see ``ReportStore.save_parts``): units that have grown. Their rows are numbered as if all parts had been there
+    from the start; report and review log follow, so that decisions stay with their accounts.
     """
     identity = store.load_table("identity")
     if identity is None:
@@ -76,7 +81,15 @@ def merge_version(store: ReportStore, accounts: DataFrame, version: int, systems
     incoming = dedupe(live_rows(store.matched(systems, version)))
     current = store.report(systems, before=version)
     log = store.load_table("review_log")
+    if moved is not None and current is not None:
+        incoming = write_through(incoming, "incoming")
+        for ids in (lambda: moved_ids(store.outdated(systems, moved, version)), lambda: leading_ids(current, incoming)):
+            new = write_through(ids(), "moved-ids")
+            current = write_through(renumber(current, new), "renumbered")
+            log = log and renumber_log(log, new)
     store.commit(incoming if current is None else append_report(current, incoming, log), version, systems)
+    if moved is not None and log is not None:
+        store.move_log(log, version)
 
 
 def add_files(
@@ -95,7 +108,7 @@ def add_files(
         return []
     usable = files.where(~F.col("is_sot") & (F.col("status") != "error"))
     systems = [r.system for r in usable.select("system").distinct().collect()]
-    merge_version(store, accounts.rows, version, systems)
+    merge_version(store, accounts.rows, version, systems, store.save_parts(accounts.parts, version))
     if remember:
         store.append_table("added_files", usable)
     return systems

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.schema import REPORT_COLUMNS
+from attestor.session import write_through
 
 
 def _part():
@@ -69,15 +70,47 @@ class ReportStore:
 
     def matched(self, systems: list[str], version: int) -> DataFrame:
         """All matches of the systems: committed earlier batches and batch ``version`` itself."""
-        rows = self._read("matched").where(F.col("part").isin([f"s-{s}" for s in systems]))
-        commits = self._read("commits")
+        rows = self._seen(self._read("matched").where(F.col("part").isin([f"s-{s}" for s in systems])), version)
+        gone = self._read("superseded")
+        if gone is not None:
+            gone = self._seen(gone, version).select(F.col("hash").alias("file_hash"), F.col("version").alias("until"))
+            gone = gone.groupBy("file_hash").agg(F.max("until").alias("until"))
+            rows = rows.join(gone, "file_hash", "left").where(
+                F.col("until").isNull() | (F.col("version") >= F.col("until"))).select(*rows.columns)
+        return rows.drop("part", "version")
+
+    def _seen(self, rows: DataFrame, version: int) -> DataFrame:
+        """Rows of batch ``version`` itself and of committed earlier ones."""
         own = rows.where(F.col("version") == version)
+        commits = self._read("commits")
         if commits is None:
-            return own.drop("part", "version")
-        earlier = rows.where(F.col("version") < version).join(
-            commits.select("version").distinct(), "version", "left_semi"
-        )
-        return own.unionByName(earlier).drop("part", "version")
+            return own
+        earlier = rows.where(F.col("version") < version).join(commits.select("version").distinct(), "version", "left_semi")
+        return own.unionByName(earlier)
+
+    def save_parts(self, parts: DataFrame, version: int) -> DataFrame | None:
+        """Keep where each part of a batch's units stands; rows of units that have grown since: hash, low, high, by.
+
+        A unit that is read again has another fingerprint. Matches under the old one no longer count from this version on; its
+        rows ``low`` < row <= ``high`` now stand ``by`` rows later.
+        """
+        columns = ["unit", "uri", "hash", "start", "n"]
+        parts.select(*columns).write.mode("overwrite").parquet(f"{self._path('unit_parts')}/version={version}")
+        known = self._seen(self._read("unit_parts"), version)
+        new = known.where(F.col("version") == version).select("unit", "uri", F.col("hash").alias("now"), F.col("start").alias("moved"))
+        last = known.where(F.col("version") < version).groupBy("unit").agg(F.max("version").alias("version"))
+        old = known.join(last, ["unit", "version"], "left_semi").join(new, ["unit", "uri"]).where(F.col("hash") != F.col("now"))
+        old = old.select("hash", F.col("start").alias("low"), (F.col("start") + F.col("n")).alias("high"), (F.col("moved") - F.col("start")).alias("by"))
+        if old.isEmpty():
+            return None
+        old.select("hash").distinct().write.mode("overwrite").parquet(f"{self._path('superseded')}/version={version}")
+        return old
+
+    def outdated(self, systems: list[str], moved: DataFrame, version: int) -> DataFrame:
+        """Earlier matches of units that have grown, with ``by``."""
+        rows = self._seen(self._read("matched").where(F.col("part").isin([f"s-{s}" for s in systems])), version).where(F.col("version") < version)
+        inside = (F.col("file_hash") == F.col("hash")) & (F.col("source_row") > F.col("low")) & (F.col("source_row") <= F.col("high"))
+        return rows.join(moved, inside).drop("part", "version", "hash", "low", "high")
 
     def commit(self, report: DataFrame, version: int, systems: list[str]) -> None:
         """Replace the given systems' rows as version ``version``."""
@@ -101,6 +134,13 @@ class ReportStore:
         """Whole-table outputs: identity, file registry, review log snapshots."""
         df.write.mode("overwrite").parquet(self._path(name))
 
+    def move_log(self, log: DataFrame, version: int) -> None:
+        """Replace the review log once per version, after its commit: a repeated batch must not move ids twice."""
+        if self._read(f"log_moved/version={version}") is None:
+            log = write_through(log, "review-log")
+            self.save_table("review_log", log)
+            log.limit(0).write.mode("overwrite").parquet(f"{self._path('log_moved')}/version={version}")
+
     def append_table(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self._path(name))
 

@@ -171,9 +171,17 @@ def file_errors(registry: DataFrame) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, registry: DataFrame, mapping: ColumnMapping | str | None = None) -> DataFrame | None:
-    """Rows of all usable files by one scan; None without one.
+    """Rows of all usable files by one scan; None without one (see ``read_parts``)."""
+    found = read_parts(spark, registry, mapping)
+    return found and found[0]
 
-    _file, _row (position in the unit, from 1), _fields (array), _headers, _system, _hash, and where the mapping finds
+
+def read_parts(
+    spark: SparkSession, registry: DataFrame, mapping: ColumnMapping | str | None = None
+) -> tuple[DataFrame, DataFrame] | None:
+    """(rows, parts) of all usable files by one scan; None without one.
+
+    parts: unit, uri, hash, start (rows of the unit before this file), n (rows of the file). rows: _file, _row (position in the unit, from 1), _fields (array), _headers, _system, _hash, and where the mapping finds
     its fields: _pos, _admin. A registry row of each file comes to the driver: the reader takes paths.
     """
     usable = registry.where(F.col("status") != "error")
@@ -182,15 +190,18 @@ def read_rows(spark: SparkSession, registry: DataFrame, mapping: ColumnMapping |
         return None
     records, counts = read_records(spark, files)
     earlier = W.partitionBy("unit").orderBy("uri").rowsBetween(W.unboundedPreceding, -1)
-    facts = usable.join(counts, "uri").select(
+    parts = usable.join(counts, "uri").select(
+        "unit", "uri", "hash", F.coalesce(F.sum(F.col("n") - 1).over(earlier), F.lit(0)).alias("start"), (F.col("n") - 1).alias("n"))
+    facts = usable.join(parts.select("uri", "start"), "uri").select(
         "uri", F.col("encoding").alias("_encoding"), F.col("headers").alias("_headers"), F.col("system").alias("_system"),
-        F.col("hash").alias("_hash"), F.coalesce(F.sum(F.col("n") - 1).over(earlier), F.lit(0)).alias("_shift"),
+        F.col("hash").alias("_hash"), F.col("start").alias("_shift"),
         file_positions(F.col("headers"), mapping).alias("_pos"), admin_positions(F.col("headers")).alias("_admin"),
     )
-    return records.where("rec > 1").join(facts, "uri").select(
+    rows = records.where("rec > 1").join(facts, "uri").select(
         F.col("uri").alias("_file"), (F.col("_shift") + F.col("rec") - 1).alias("_row"),
         fields(decoded(F.col("text"), F.col("_encoding"))).alias("_fields"), "_headers", "_system", "_hash", "_pos", "_admin",
     )
+    return rows, parts
 
 
 def read_table(spark: SparkSession, registry: DataFrame) -> DataFrame:
@@ -218,6 +229,7 @@ def parse_warnings(rows: DataFrame) -> DataFrame:
 class Ingested:
     rows: DataFrame
     warnings: DataFrame
+    parts: DataFrame | None = None
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -262,10 +274,11 @@ def read_accounts(
     mapped, default = {s: _checked(m) for s, m in (mappings or {}).items()}, _checked(default)
     groups = [(usable.where(F.col("system") == s), m) for s, m in mapped.items()]
     groups.append((usable.where(~F.col("system").isin(*mapped)) if mapped else usable, default))
-    found = [(rows, mapping) for files, mapping in groups if (rows := read_rows(spark, files, mapping)) is not None]
+    found = [(*read, mapping) for files, mapping in groups if (read := read_parts(spark, files, mapping)) is not None]
     if not found:
         return None
     return Ingested(
-        _union([place_accounts(rows, mapping, id_fields) for rows, mapping in found]),
-        _union([parse_warnings(rows) for rows, _ in found]),
+        _union([place_accounts(rows, mapping, id_fields) for rows, _, mapping in found]),
+        _union([parse_warnings(rows) for rows, _, _ in found]),
+        _union([parts for _, parts, _ in found]),
     )

@@ -14,7 +14,6 @@ from attestor.plans.review_run import add_files
 from attestor.sinks.store import ReportStore
 from attestor.sources.files import probe_files, register
 
-LATE_PART = "part arrived after its export was read"
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -52,9 +51,8 @@ def intake(
 ) -> list[str]:
     """One micro-batch; safe to repeat with the same ``batch_id``.
 
-    ``by_folder``: a folder is read with all parts it holds now, so an export whose parts are spread
-    over micro-batches is read once, by the first of them. A part that arrives after its export was
-    read can't be numbered any more; it is kept in the registry as an error and the stream goes on.
+    ``by_folder``: a folder is read with all parts it holds now. A part that arrives after its export was read makes the
+    export be read again as a whole: rows are numbered anew, and review state follows its account.
     """
     known = store.load_table("stream_files")
     if known is not None:
@@ -62,19 +60,11 @@ def intake(
     if by_folder:
         paths = sorted({f"{p.rsplit('/', 1)[0]}/*" for p in paths})
     found = probe_files(spark, paths, by_folder=by_folder)
-    if by_folder and known is not None:
-        unread = found.join(known.select("path"), "path", "left_anti")
-        late = unread.join(known.select("unit").distinct(), "unit", "left_semi").select(*found.columns)
-        late = late.withColumns({"status": F.lit("error"), "error": F.lit(LATE_PART)})
-        found = unread.join(known.select("unit").distinct(), "unit", "left_anti").select(*found.columns)
-    else:
-        late = found.limit(0)
     fresh = register(found, known)
     base = store.load_table("stream_base")
     offset = base.first()["version"] if base is not None else _set_base(store)
     systems = add_files(store, fresh, offset + batch_id, mappings, default, remember=False)
-    done = fresh.unionByName(late).withColumn("batch_id", F.lit(batch_id))
-    done.write.mode("overwrite").parquet(f"{store.root}/stream_files/part={batch_id}")
+    fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{store.root}/stream_files/part={batch_id}")
     return systems
 
 

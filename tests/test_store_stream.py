@@ -1,8 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from attestor.operators.report import dedupe, live_rows
 from attestor.operators.match import match_accounts
+from attestor.operators.review import log_rows
 from attestor.plans.review_run import add_files
+from attestor.session import write_through
 from attestor.sinks.store import ReportStore
 from attestor.sources.files import probe_files, register
 from attestor.streaming.drop_folder import intake, watch_folder
@@ -74,22 +77,47 @@ def test_add_files_needs_identity_and_skips_bad_files(spark, tmp_path, store):
     assert store.next_version() == 1
 
 
-def test_parts_over_several_micro_batches(spark, tmp_path, store):
+def test_parts_in_any_order_equal_one_batch(spark, tmp_path, store):
+    """Parts come late and in any order; numbers, merged rows and decisions are as if all had been there at once."""
+    people = ["ann@x.com,Ann Lee", "bo@x.com,Bo Ray", "u1@x.com,User One", "ann@x.com,Ann Lee", ",Nameless One", "u3@x.com,User Three"]
+    roles = ["Dev", "Ops", "Sales", "Boss", "Temp", "Dev"]
     folder = tmp_path / "crm_export"
-    for i in range(5):
-        drop(folder, f"part-{i}.csv", f"u{i},u{i}@x.com,User {i},active,Dev\n")
+    part = lambda i: drop(folder, f"part-{i}.csv", f"a{i},{people[i]},active,{roles[i]}\nb{i},b{i}@y.com,Extra {i},active,Dev\n")
 
     def run():
-        q = watch_folder(spark, str(folder), store, str(tmp_path / "state"), max_files=2, available_now=True, by_folder=True)
+        q = watch_folder(spark, str(folder), store, str(tmp_path / "state"), max_files=50, available_now=True, by_folder=True)
         q.awaitTermination()
         assert q.exception() is None
 
+    for i in (3, 1, 4):
+        part(i)
     run()
-    assert sorted(r.source_row for r in store.report().collect()) == [1, 2, 3, 4, 5]
-    drop(folder, "part-9.csv", "late,late@x.com,Late,active,Dev\n")
-    run()
-    assert store.report().count() == 5
-    assert [r.name for r in store.load_table("stream_files").where("status = 'error'").collect()] == ["crm_export"]
+    by_row = {r.source_row: r for r in store.report().collect()}
+    assert sorted(by_row) == [1, 2, 3, 4, 5, 6] and by_row[5].display_name == "Nameless One"
+    # A decision on a user whose first row will change, and a new name for one who has no e-mail.
+    decided = store.report().withColumn("review_action", F.when(F.col("email") == "ann@x.com", "approve").otherwise(F.col("review_action")))
+    decided = write_through(decided.withColumn("display_name", F.when(F.col("source_row") == 5, "Known Now").otherwise(F.col("display_name"))), "decided")
+    store.commit(decided, 900, ["crm"])
+    store.save_table("review_log", log_rows(spark.createDataFrame([(1, "name", by_row[5].record_id, "Known Now")], "seq long, kind string, record_id string, display_name string")))
+    store.save_table("stream_base", spark.createDataFrame([(901,)], "version long"))
+    for late in ((5, 0, 2),):
+        for i in late:
+            part(i)
+        run()
+    got = {r.source_row: r for r in store.report().collect()}
+    once = ReportStore(spark, str(tmp_path / "once"))
+    once.save_table("identity", store.load_table("identity"))
+    add_files(once, register(probe_files(spark, [f"{folder}/*.csv"], by_folder=True)))
+    want = {r.source_row: r for r in once.report().collect()}
+    assert set(got) == set(want) and len(want) == 11
+    for row, r in want.items():
+        assert (got[row].record_id, got[row].email, got[row].risk_level) == (r.record_id, r.email, r.risk_level)
+        assert sorted(got[row].role.split(", ")) == sorted(r.role.split(", "))
+    ann = next(r for r in got.values() if r.email == "ann@x.com")
+    assert (ann.source_row, ann.review_action) == (1, "approve")
+    assert got[9].display_name == "Known Now" and want[9].display_name == "Nameless One"
+    assert store.load_table("review_log").first().record_id == "orphan::crm::9"
+    assert store.load_table("stream_files").where("status = 'error'").count() == 0
 
 
 def test_a_file_added_twice_is_merged_once(spark, tmp_path, store):
