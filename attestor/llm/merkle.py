@@ -154,7 +154,9 @@ def manifest(docs: DataFrame, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
     share an id, null ids last, stand by their leaf; equal rows take neighbouring places. An empty table gives no
     rows; other columns are ignored.
     """
-    ranked = running_start(leaves(docs).withColumn("one", F.lit(1)), ["doc_id", "leaf"], "one", "lang", out="rank", label="merkle-leaves")
+    # Written first: dealing them by range looks at the rows twice, and the texts are to be hashed once.
+    found = write_through(leaves(docs).withColumn("one", F.lit(1)), "merkle-digests")
+    ranked = running_start(found, ["doc_id", "leaf"], "one", "lang", out="rank", label="merkle-leaves")
     nodes = ranked.select(F.col("lang").alias("tree"), "rank", F.col("leaf").alias("node"), F.struct("doc_id", "bad").alias("item"))
     return prove(nodes, _above_languages(fan, depth), fan, depth).select(
         "item.doc_id", F.col("tree").alias("lang"), F.col("node").alias("leaf"), "item.bad", "head.subroot", "head.root", "path"
