@@ -215,6 +215,42 @@ def snapshot_round_trip(spark, sf_dir):
     return store.load_table("snapshot").select("record_id", "system", "role", "risk_level", "risk_score", "source_row")
 
 
+@query
+def snapshot_clear(spark, sf_dir):
+    """A snapshot that is cleared is gone; what is saved after it stands alone."""
+    store = ReportStore(spark, scratch_dir(spark, "snapshot"))
+    store.save_table("snapshot", report(spark, sf_dir))
+    store.clear_table("snapshot")
+    assert store.load_table("snapshot") is None
+    store.save_table("snapshot", report(spark, sf_dir).where("risk_level = 'HIGH'"))
+    return store.load_table("snapshot").select("record_id", "system", "role", "risk_level", "risk_score", "source_row")
+
+
+@query
+def review_folders(spark, sf_dir):
+    """Folders of parts to the report: one is the employee list, designated after another one was."""
+    root = scratch_dir(spark, "review")
+    D.identity(spark, sf_dir).orderBy("sot_ord").select(
+        "employee_id", "display_name", "email", "department", "manager", F.col("employment_status").alias("Emp Status"), F.col("admin_info").alias("Admin")
+    ).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{root}/staff")
+    for name, rows in (("okta", D.okta), ("aws", D.aws), ("sap", D.sap)):
+        _write_export(rows(spark, sf_dir).orderBy("source_row"), f"{root}/{name}")
+    paths = [f"{root}/*/*.csv"]
+    folders = {r.name: r.unit for r in I.probe_files(spark, paths, by_folder=True).select("name", "unit").distinct().collect()}
+    run = review_run.review_files(spark, paths, folders["staff"], by_folder=True)
+    assert I.check_sot(I.designate_sot(I.designate_sot(run.registry, folders["sap"]), folders["staff"])).first().name == "staff"
+    return run.report.select(*[c for c in REPORT_VIEW if c not in ("record_id", "source_row")])
+
+
+@query
+def file_sheet(spark, sf_dir):
+    """The sheet of files: every page as a file, every tenth as an employee list."""
+    pages = D.table(spark, sf_dir, "pages").select(
+        F.col("url").alias("name"), (F.col("page_id") % 10 == 0).alias("is_sot"), F.sha2("html", 256).alias("hash"))
+    _, files = S.metadata_sheet(report(spark, sf_dir), matches(spark, sf_dir), D.identity(spark, sf_dir), pages, D.NOW_MS)
+    return files.select(F.col("File Name").alias("name"), F.col("Type").alias("type"), F.col("SHA-256 Hash").alias("hash"))
+
+
 @query
 def master_csv(spark, sf_dir):
     """The master report written as CSV and read back."""

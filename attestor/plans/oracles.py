@@ -278,6 +278,19 @@ def sql() -> dict[str, str]:
     q["orphans"] = f"{M} select system source_file, system source_system, user_id, display_name, role, account_status, last_login, attempted attempted_keys from matched where match_type = 'orphan'"
     sap = f"with {IDENT}, {SAP}, acc as (select * from sap), {MATCHED}, {ENTRIES}"
     q["no_access_users"] = f"{sap} select canonical_id, employee_id, display_name, email from entries where match_type = 'no_access'"
+    hired = IDENT.replace("ident as (", "everyone as (", 1) + ", ident as (select * from everyone where sot_ord % 41 <> 5)"
+    assert IDENT in M and hired != IDENT
+    q["identity_update"] = f"{M.replace(IDENT, hired)} select system, source_row, match_type, coalesce(s_canonical, '') canonical_id, attempted, n_conflicts::bigint n_conflicts from matched"
+    q["match_all_systems"] = f"{M} select system, source_row, match_type, coalesce(s_canonical, '') canonical_id, n_conflicts::bigint n_conflicts from matched"
+    q["user_entry_rows"] = f"{ENT} select * from entries where match_type <> 'orphan'"
+    fields = "['email', 'userId', 'employeeId', 'displayName', 'department', 'manager', 'employmentStatus', 'accountStatus', 'role', 'entitlement', 'lastLogin', 'salary']"
+    q["rejected_mappings"] = f"""with e as (select l_orderkey unit, l_linenumber::bigint pos, 'h' || l_linenumber as source, {fields}[l_suppkey % 12 + 1] target from lineitem),
+      o as (select *, first_value(source) over w owner, row_number() over w n from e window w as (partition by unit, target order by pos))
+      select unit, pos, source, target, case when target = 'salary' then 'unknown field salary' else target || ' already mapped to ' || owner end problem
+      from o where target = 'salary' or n > 1"""
+    q["snapshot_clear"] = f"{RPT} select record_id, system, role, risk_level, risk_score, source_row from report where risk_level = 'HIGH'"
+    q["review_folders"] = f"{RPT} select {REPORT_VIEW.replace('record_id, ', '').replace(', source_row', '')} from report"
+    q["file_sheet"] = "select url as name, case when page_id % 10 = 0 then 'Source of Truth' else 'Satellite' end as type, sha256(html) as hash from pages"
     q["attempted_keys"] = f"{M} select system, source_row, attempted from matched"
     q["field_conflicts"] = f"{M} select s_canonical canonical_id, 'displayName' field, s_name sot_value, display_name satellite_value, 'sot_wins' resolution from matched where n_conflicts = 1"
     q["similarity"] = f"{M} select system, source_row, round({SIM.format(a='lower(display_name)', b='lower(s_name)')}, 9) score from matched where match_type <> 'orphan'"
@@ -374,6 +387,7 @@ def sql() -> dict[str, str]:
         "select 1 seq, '' review_id, 'record' kind, 'r' || c_custkey record_id, null::varchar as role, 'approve' action, '' note, null::varchar display_name, 'bulk-1' batch_id from customer where c_mktsegment = 'MACHINERY'"
     )
     q["undo_batch"] = _folded("select * from log0 where batch_id is null or batch_n % 3 <> 0 or batch_n % 9 = 0".replace("batch_n", "substr(batch_id, 2)::bigint"))
+    q["undo_redo_last"] = _folded("select * from log0 where coalesce(batch_id, '#' || seq) <> (select arg_max(coalesce(batch_id, '#' || seq), seq) from log0)")
     q["toggle_role"] = _folded(
         "select * from log0",
         select="select b.record_id, case when (select v from vals where vals.record_id = b.record_id and vals.role = 'click') = 'approve' then '' else 'approve' end action",

@@ -16,6 +16,7 @@ from attestor.operators import report as P
 from attestor.operators import review as V
 from attestor.operators import rollups as A
 from attestor.operators import views as Q
+from attestor.operators.delta import rematch
 from attestor.operators.fuzzy import candidate_pairs, decide, resolve_names
 from attestor.operators.identity import build_index, distinct_people, index_stats
 from attestor.operators.tokens import group_token_union
@@ -136,6 +137,26 @@ def orphans(spark, sf_dir):
     )
 
 
+@query
+def match_all_systems(spark, sf_dir):
+    """The cascade's outcome for the accounts of all systems."""
+    return matches(spark, sf_dir).select(
+        "system", "source_row", "match_type", F.coalesce("sot.canonical_id", F.lit("")).alias("canonical_id"),
+        F.size("conflicts").cast("long").alias("n_conflicts"))
+
+
+@query
+def identity_update(spark, sf_dir):
+    """Matches after employees left and others came: only accounts with a touched key or a similar name are matched again."""
+    people = D.identity(spark, sf_dir)
+    before, after = people.where("sot_ord % 37 != 3"), people.where("sot_ord % 41 != 5")
+    old = stored(spark, sf_dir, "matches-before", lambda: M.match_accounts(D.accounts(spark, sf_dir), before))
+    now, _ = rematch(old, before, after)
+    return now.select(
+        "system", "source_row", "match_type", F.coalesce("sot.canonical_id", F.lit("")).alias("canonical_id"),
+        F.array_join("attempted", "; ").alias("attempted"), F.size("conflicts").cast("long").alias("n_conflicts"))
+
+
 @query
 def no_access_users(spark, sf_dir):
     """Employees without an account in the one system that few have."""
@@ -329,6 +350,13 @@ def user_entries(spark, sf_dir):
     return e.select("canonical_id", F.size("entries").alias("n")).groupBy("canonical_id").agg(F.sum("n").alias("entries"))
 
 
+@query
+def user_entry_rows(spark, sf_dir):
+    """Every entry of every user, taken out of the chunks again."""
+    e = A.user_entries(_entries(spark, sf_dir), chunk_rows=50).where("chunk < chunks").select("canonical_id", F.inline("entries"))
+    return e.select(*[c for c in P.POLICY_COLUMNS if c != "conflicts"], F.size("conflicts").cast("long").alias("n_conflicts"))
+
+
 @query
 def report_totals(spark, sf_dir):
     return A.report_totals(_entries(spark, sf_dir))
@@ -531,6 +559,15 @@ def undo_batch(spark, sf_dir):
     return _folded(spark, sf_dir, log.unionByName(V.log_rows(switch)))
 
 
+@query
+def undo_redo_last(spark, sf_dir):
+    """Two steps back and one forward again: the newest batch is undone, the one before it is back."""
+    log = review_log(spark, sf_dir)
+    for n, step in enumerate((V.undo_last, V.undo_last, V.redo_last)):
+        log = log.unionByName(step(log, 30_000_000 + n))
+    return _folded(spark, sf_dir, log)
+
+
 @query
 def toggle_role(spark, sf_dir):
     reviewed = V.apply_reviews(_review_base(spark, sf_dir), review_log(spark, sf_dir))
@@ -654,6 +691,16 @@ def header_inference(spark, sf_dir):
     )
 
 
+@query
+def rejected_mappings(spark, sf_dir):
+    """One mapping per order with an entry per line item: fields named twice, and unknown ones."""
+    fields = [*C.TARGET_FIELDS, "salary"]
+    entries = D.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("h"), "l_linenumber").alias("source"),
+        F.element_at(F.array(*[F.lit(f) for f in fields]), (F.col("l_suppkey") % len(fields) + 1).cast("int")).alias("target"))
+    return C.mapping_problems(entries).select("unit", F.col("pos").cast("long").alias("pos"), "source", "target", "problem")
+
+
 @query
 def concat_mapping(spark, sf_dir):
     mapping = C.ColumnMapping(

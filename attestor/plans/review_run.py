@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions.risk import DORMANCY_DAYS
+from attestor.operators.delta import rematch
 from attestor.operators.fuzzy import FuzzyRules
 from attestor.operators.incremental import append_report, leading_ids, moved_ids, renumber, renumber_log
 from attestor.operators.match import match_accounts
@@ -44,10 +45,13 @@ def policy_report(
 
 
 def review_files(
-    spark: SparkSession, paths: list[str], sot_path: str, sot_mapping=None, mappings=None, default=None
+    spark: SparkSession, paths: list[str], sot_path: str, sot_mapping=None, mappings=None, default=None, by_folder: bool = False
 ) -> Review:
-    """Register, map, match and merge; a bad satellite file is listed in ``errors`` and skipped."""
-    registry = designate_sot(register(probe_files(spark, paths)), sot_path)
+    """Register, map, match and merge; a bad satellite file is listed in ``errors`` and skipped.
+
+    Exactly one unit must be the employee list: the file at ``sot_path``, or with ``by_folder`` the folder of that URI.
+    """
+    registry = designate_sot(register(probe_files(spark, paths, by_folder)), sot_path)
     people = read_identity(spark, registry, sot_mapping)
     # The identity feeds six lookups and the matches feed every output: parse and match once.
     identity = write_through(people.rows, "identity")
@@ -92,6 +96,28 @@ def merge_version(
         store.move_log(log, version)
 
 
+def change_identity(store: ReportStore, identity: DataFrame, rules: FuzzyRules = FuzzyRules()) -> list[str]:
+    """Replace the employee list; returns the systems whose report changed.
+
+    Only accounts that share a key or a similar name with an added, removed or changed employee are matched again. Systems
+    without such an account are not touched. Decisions stay with records that keep their owner; an account that
+    changes hands starts without. The list is replaced last, so that an interrupted change can be repeated.
+    """
+    version, systems = store.next_version(), store.systems()
+    identity = write_through(identity, "identity")
+    if systems:
+        matched, again = rematch(store.matched(systems, version), store.load_table("identity"), identity, rules)
+        systems = sorted(r.system for r in again.select("system").distinct().collect())
+    if systems:
+        store.save_rematched(matched.where(F.col("system").isin(systems)), version)
+        incoming = write_through(dedupe(live_rows(store.matched(systems, version))), "incoming")
+        current = store.report(systems, before=version)
+        current = renumber(current, leading_ids(current, incoming)).join(incoming.select("record_id"), "record_id", "left_semi")
+        store.commit(append_report(current.select(*incoming.columns), incoming, store.load_table("review_log")), version, systems)
+    store.save_table("identity", identity)
+    return systems
+
+
 def add_files(
     store: ReportStore, files: DataFrame, version: int | None = None, mappings=None, default=None, remember: bool = True
 ) -> list[str]:

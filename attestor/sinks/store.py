@@ -77,7 +77,21 @@ class ReportStore:
             gone = gone.groupBy("file_hash").agg(F.max("until").alias("until"))
             rows = rows.join(gone, "file_hash", "left").where(
                 F.col("until").isNull() | (F.col("version") >= F.col("until"))).select(*rows.columns)
-        return rows.drop("part", "version")
+        again = self._read("rematched")
+        if again is not None:
+            again = self._seen(again, version).groupBy("part").agg(F.max("version").alias("since"))
+            rows = rows.join(again, "part", "left").where(F.col("version") >= F.coalesce("since", F.lit(0)))
+        return rows.drop("part", "version", "since")
+
+    def save_rematched(self, matched: DataFrame, version: int) -> None:
+        """All matches of some systems anew: earlier batches of these systems no longer count from this version on."""
+        self.save_matched(matched, version)
+        matched.select(_part().alias("part")).distinct().write.mode("overwrite").parquet(f"{self._path('rematched')}/version={version}")
+
+    def systems(self) -> list[str]:
+        """Systems with a committed report."""
+        commits = self._read("commits")
+        return [] if commits is None else sorted(r.part[2:] for r in commits.select("part").distinct().collect())
 
     def _seen(self, rows: DataFrame, version: int) -> DataFrame:
         """Rows of batch ``version`` itself and of committed earlier ones."""
@@ -144,5 +158,10 @@ class ReportStore:
     def append_table(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self._path(name))
 
+    def clear_table(self, name: str) -> None:
+        """Remove a table's rows; it loads as absent until it is saved again."""
+        self.spark.createDataFrame([], "cleared boolean").write.mode("overwrite").parquet(self._path(name))
+
     def load_table(self, name: str) -> DataFrame | None:
-        return self._read(name)
+        df = self._read(name)
+        return None if df is None or df.columns == ["cleared"] else df

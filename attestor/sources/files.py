@@ -154,13 +154,13 @@ def register(files: DataFrame, registry: DataFrame | None = None) -> DataFrame:
 
 
 def designate_sot(registry: DataFrame, path: str) -> DataFrame:
-    """Mark one file as the employee list, unmarking any other."""
-    return registry.withColumn("is_sot", F.col("path") == path)
+    """Mark one file, or one folder of parts, as the employee list, unmarking any other."""
+    return registry.withColumn("is_sot", (F.col("path") == path) | (F.col("unit") == path))
 
 
 def check_sot(registry: DataFrame) -> DataFrame:
-    """The single employee file; satellites are optional."""
-    n = registry.agg(F.count_if("is_sot")).first()[0]
+    """The single employee file, or its parts; satellites are optional."""
+    n = registry.where("is_sot").agg(F.count_distinct("unit")).first()[0]
     if n != 1:
         raise ValueError(f"exactly one file must be the source of truth, found {n}")
     return registry.where("is_sot")

@@ -10,7 +10,8 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestor.schema import TARGET_FIELDS
@@ -117,6 +118,18 @@ def validate_mapping(mapping: ColumnMapping) -> None:
         raise ValueError("; ".join(problems))
 
 
+def mapping_problems(entries: DataFrame) -> DataFrame:
+    """The entries of many mappings that ``validate_mapping`` rejects; ``entries``: unit, pos, source, target.
+
+    Adds ``problem``. A field belongs to the first entry that names it.
+    """
+    first = F.first("source").over(W.partitionBy("unit", "target").orderBy("pos"))
+    owned = entries.withColumn("_owner", first).withColumn("_at", F.row_number().over(W.partitionBy("unit", "target").orderBy("pos")))
+    problem = F.when(~F.col("target").isin(*TARGET_FIELDS), F.concat(F.lit("unknown field "), "target")).when(
+        F.col("_at") > 1, F.concat("target", F.lit(" already mapped to "), "_owner"))
+    return owned.withColumn("problem", problem).where(F.col("problem").isNotNull()).drop("_owner", "_at")
+
+
 def normalize_header(header: str) -> str:
     return header.strip().lower().translate({ord(c): None for c in " _-"})
 
