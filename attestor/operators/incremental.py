@@ -23,11 +23,11 @@ def unprocessed(files: DataFrame, registry: DataFrame, key: str = "hash") -> Dat
 def upsert(report: DataFrame, incoming: DataFrame) -> DataFrame:
     """New data wins by record id; the review state of a known record stays, even if empty.
 
-    Adds ``batch_ord``: 0 for known records, 1 for new ones (the order of the report).
+    Of rows that share an id in ``incoming``, that of the file read last wins: by ``ingest_ord`` where there is
+    such a column, then by fingerprint. Adds ``batch_ord``: 0 for known records, 1 for new ones (the order of the report).
     """
-    new = incoming.groupBy("record_id").agg(
-        F.max_by(F.struct(*REPORT_COLUMNS), F.struct("file_hash", "source_row")).alias("new")
-    )
+    order = [c for c in ("ingest_ord", "file_hash", "source_row") if c in incoming.columns]
+    new = incoming.groupBy("record_id").agg(F.max_by(F.struct(*REPORT_COLUMNS), F.struct(*order)).alias("new"))
     old = report.select("record_id", F.struct(*REPORT_COLUMNS).alias("old"))
     both = old.join(new, "record_id", "full_outer")
 

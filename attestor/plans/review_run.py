@@ -91,7 +91,9 @@ def merge_version(
             new = write_through(ids(), "moved-ids")
             current = write_through(renumber(current, new), "renumbered")
             log = log and renumber_log(log, new)
-    store.commit(incoming if current is None else append_report(current, incoming, log), version, systems)
+    if current is not None:
+        incoming = append_report(current, store.with_ingest_order(incoming, version), log)
+    store.commit(incoming, version, systems)
     if moved is not None and log is not None:
         store.move_log(log, version)
 

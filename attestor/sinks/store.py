@@ -120,6 +120,14 @@ class ReportStore:
         old.select("hash").distinct().write.mode("overwrite").parquet(f"{self._path('superseded')}/version={version}")
         return old
 
+    def with_ingest_order(self, rows: DataFrame, version: int) -> DataFrame:
+        """Adds ``ingest_ord``: the batch and the place that each row's file was read at (null for files of no batch)."""
+        parts = self._read("unit_parts")
+        if parts is None:
+            return rows
+        order = self._seen(parts, version).groupBy(F.col("hash").alias("file_hash")).agg(F.max(F.struct("version", "unit")).alias("ingest_ord"))
+        return rows.join(order, "file_hash", "left")
+
     def outdated(self, systems: list[str], moved: DataFrame, version: int) -> DataFrame:
         """Earlier matches of units that have grown, with ``by``."""
         rows = self._seen(self._read("matched").where(F.col("part").isin([f"s-{s}" for s in systems])), version).where(F.col("version") < version)

@@ -125,3 +125,15 @@ def test_a_file_added_twice_is_merged_once(spark, tmp_path, store):
     assert add_files(store, probe_files(spark, [path])) == ["crm"]
     assert add_files(store, probe_files(spark, [path])) == []
     assert store.report().count() == 1 and store.next_version() == 1
+
+
+def test_of_rows_that_share_an_id_the_later_file_wins(spark, tmp_path, store):
+    """Two accounts without an owner at the same row of two files of one system: the file read later stands."""
+    for run, names in enumerate((["zoe", "abe"], ["kim"])):
+        for k, name in enumerate(names):
+            drop(tmp_path / f"f{run}{k}", "crm.csv", f"{name},{name}@y.com,{name.title()},active,Dev\n")
+    first = [str(tmp_path / f / "crm.csv") for f in ("f00", "f01")]
+    add_files(store, probe_files(spark, [drop(tmp_path / "f", "crm.csv", "a,ann@x.com,Ann Lee,active,Dev\n")]))
+    for paths, last in ((first, "abe@y.com"), ([str(tmp_path / "f10" / "crm.csv")], "kim@y.com")):
+        add_files(store, probe_files(spark, paths))
+        assert {r.record_id: r.email for r in store.report().collect()} == {"ann@x.com::crm::1": "ann@x.com", "orphan::crm::1": last}
