@@ -142,10 +142,10 @@ def read_records(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[Dat
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.some(text == "").alias("gaps"),
         F.some(quote & (opens(text) == 1)).alias("opening"), F.some(quote & (opens(text) == 0) & (stays(text) == 0)).alias("closing"),
     ), "blocks")
-    count = blocks.count()
+    count, mixed = blocks.agg(F.count(F.lit(1)), F.some(F.expr("opening or gaps"))).first()
     earlier = W.partitionBy("uri").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     numbered = lambda b: b.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    if blocks.where("opening or gaps").isEmpty():
+    if not mixed:
         whole = _near(numbered(blocks).select("uri", "block", (F.col("before") + 1 - F.col("first")).alias("shift")), count)
         rows = lines.join(whole, ["uri", "block"]).select("uri", (F.col("at") + F.col("shift")).alias("rec"), "text")
         return rows, blocks.groupBy("uri").agg(F.sum("n").alias("n"))
