@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from attestor.operators.report import dedupe, live_rows
 from attestor.operators.match import match_accounts
 from attestor.operators.review import log_rows
-from attestor.plans.review_run import add_files
+from attestor.plans.review_run import add_files, change_identity
 from attestor.session import write_through
 from attestor.sinks.store import ReportStore
 from attestor.sources.files import probe_files, register
@@ -137,3 +137,19 @@ def test_of_rows_that_share_an_id_the_later_file_wins(spark, tmp_path, store):
     for paths, last in ((first, "abe@y.com"), ([str(tmp_path / "f10" / "crm.csv")], "kim@y.com")):
         add_files(store, probe_files(spark, paths))
         assert {r.record_id: r.email for r in store.report().collect()} == {"ann@x.com::crm::1": "ann@x.com", "orphan::crm::1": last}
+
+
+def test_a_changed_employee_list_rebuilds_touched_systems(spark, tmp_path, store):
+    """One leaves, one comes: the report equals that of a new store, and a system without touched accounts stays as it is."""
+    files = [drop(tmp_path / "f", n, b) for n, b in (
+        ("crm.csv", "a,ann@x.com,Ann Lee,active,Dev\nz,zed@x.com,Zed,active,Ops\n"), ("erp.csv", "b,bo@x.com,Bo Ray,active,Ops\n"))]
+    add_files(store, probe_files(spark, files))
+    approved = write_through(store.report().withColumn("review_action", F.when(F.col("email") == "ann@x.com", "approve").otherwise(F.col("review_action"))), "approved")
+    store.commit(approved.where("system = 'crm'"), store.next_version(), ["crm"])
+    new = identity(spark, [STAFF[0], ("", "", "", ""), ("P3", "Zed", "zed@x.com", "active")]).where("sot_ord <> 1")
+    new = write_through(new.unionByName(identity(spark, STAFF).where("sot_ord = 1")), "staff")
+    assert change_identity(store, new) == ["crm"] and store.load_table("identity").count() == 3
+    got = {r.record_id: (r.email, r.match_type, r.review_action) for r in store.report().collect()}
+    assert got == {"ann@x.com::crm::1": ("ann@x.com", "exact_email", "approve"), "zed@x.com::crm::2": ("zed@x.com", "exact_email", None),
+                   "bo@x.com::erp::1": ("bo@x.com", "exact_email", None)}
+    assert change_identity(store, new) == []
