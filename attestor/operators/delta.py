@@ -20,6 +20,7 @@ from attestor.functions.text import normalize_name
 from attestor.operators.fuzzy import FuzzyRules, candidate_pairs
 from attestor.operators.identity import IdentityIndex, build_index, first_by
 from attestor.operators.match import ROW_ID, match_accounts
+from attestor.operators.name_index import NameIndex
 from attestor.operators.skew import BROADCAST_LIMIT, ROWS_PER_SPLIT, salted_lookup
 from attestor.schema import ACCOUNT_COLUMNS, IDENTITY_COLUMNS
 from attestor.session import write_through
@@ -68,25 +69,26 @@ def mark_touched(
     return rows.select(*matched.columns, touched.alias("touched"))
 
 
-def narrow_index(identity: DataFrame, accounts: DataFrame) -> IdentityIndex:
-    """The index of an employee list as far as ``accounts`` look it up by e-mail and id; names are whole."""
-    whole = build_index(identity)
+def narrow_index(identity: DataFrame, accounts: DataFrame, names: NameIndex | None = None) -> IdentityIndex:
+    """The index of an employee list as far as ``accounts`` look it up by e-mail and id; names are whole, or those stored in ``names``."""
     rows = identity.select(*IDENTITY_COLUMNS)
     sought = lambda c, alias: accounts.select(F.col(c).alias(alias)).where(F.col(alias) != "").distinct()
     mail = rows.withColumn("email", F.lower("email")).join(sought("email", "email"), "email", "left_semi")
     uid = rows.join(sought("user_id", "employee_id"), "employee_id", "left_semi")
-    return IdentityIndex(rows, first_by(mail, "email", "email"), first_by(uid, "employee_id", "user_id"), whole.by_name)
+    return IdentityIndex(rows, first_by(mail, "email", "email"), first_by(uid, "employee_id", "user_id"), (names.names() if names else build_index(identity).by_name), names)
 
 
-def rematch(matched: DataFrame, old: DataFrame, new: DataFrame, rules: FuzzyRules = FuzzyRules(), **opts) -> tuple[DataFrame, DataFrame]:
+def rematch(
+    matched: DataFrame, old: DataFrame, new: DataFrame, rules: FuzzyRules = FuzzyRules(), names: NameIndex | None = None, **opts,
+) -> tuple[DataFrame, DataFrame]:
     """(matches under the new employee list, the touched accounts): equal to a full run, row by row.
 
-    ``matched``: stored matches under ``old``. Without changes nothing is matched again.
+    ``matched``: stored matches under ``old``. Without changes nothing is matched again. ``names``: a stored index that follows ``new``.
     """
     changes = write_through(identity_changes(old, new), "identity-changes")
     if changes.isEmpty():
         return matched, matched.limit(0).select(*ACCOUNT_COLUMNS)
     marked = mark_touched(matched, changes, rules, **opts)
     again = write_through(marked.where("touched").select(*ACCOUNT_COLUMNS), "touched-accounts")
-    redone = match_accounts(again, narrow_index(new, again), rules, **opts)
+    redone = match_accounts(again, narrow_index(new, again, names), rules, **opts)
     return marked.where("not touched").select(*matched.columns).unionByName(redone.select(*matched.columns)), again

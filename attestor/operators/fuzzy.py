@@ -190,13 +190,18 @@ def candidate_pairs(probes: DataFrame, names: DataFrame, rules: FuzzyRules = Fuz
     triple = _indexed_triples(names.join(crowded, "name_key", "left_semi"), rules)
     join = lambda sought, index: sought.join(index, "block").select("probe", *NAME_COLUMNS)
     pairs = join(_probe_blocks(probes, rules), single).unionByName(join(_probe_triples(probes, rules), triple))
+    return verified(pairs, NAME_COLUMNS, rules)
+
+
+def verified(pairs: DataFrame, columns: tuple[str, ...], rules: FuzzyRules) -> DataFrame:
+    """Distinct (probe, columns, score) of the pairs at or above the threshold, equal names left out."""
     a, b = F.col("probe"), F.col("name_key")
     k = max_edits(F.greatest(F.char_length(a), F.char_length(b)), rules)
     # levenshtein(a, b, k) stops early and returns -1 beyond k; the score test repeats the
     # rule's own double arithmetic.
     near = pairs.where((a != b) & (F.call_function("levenshtein", a, b, k) >= 0))
     return (
-        near.groupBy("probe", *NAME_COLUMNS)
+        near.groupBy("probe", *columns)
         .agg(F.first(similarity(a, b)).alias("score"))
         .where(F.col("score") >= rules.threshold)
     )
@@ -242,7 +247,8 @@ def resolve_names(probes: DataFrame, index: IdentityIndex, rules: FuzzyRules = F
         F.when(F.col("holders") == 1, F.lit("fuzzy_name")).otherwise(F.lit("fuzzy_ambiguous")).alias("match_type"),
     )
     rest = looked_up.where(F.col("holders").isNull()).select(F.col("name_key").alias("probe"))
-    broad = decide(candidate_pairs(rest, names, rules), rules).select(
+    pairs = index.pieces.candidates(rest) if index.pieces else candidate_pairs(rest, names, rules)
+    broad = decide(pairs, rules).select(
         F.col("probe").alias("name_key"), F.col("name_key").alias("best"), "match_type"
     )
     records = index.by_name.select(F.col("name_key").alias("best"), "sot")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,15 @@ class IdentityIndex:
     """Lazy lookup tables over one identity DataFrame.
 
     ``by_email`` (email, sot), ``by_id`` (user_id, sot), ``by_name`` (name_key, holders, sot):
-    one row per key; the lowest ``sot_ord`` wins.
+    one row per key; the lowest ``sot_ord`` wins. ``pieces``: a stored piece index of the names
+    (``name_index.NameIndex``); the tables are then stored ones, too.
     """
 
     identity: DataFrame
     by_email: DataFrame
     by_id: DataFrame
     by_name: DataFrame
+    pieces: Any = None
 
 
 def first_by(identity: DataFrame, key: str, alias: str) -> DataFrame:

@@ -131,7 +131,10 @@ def match_accounts(
     joins everything is lazy.
     """
     index = identity if isinstance(identity, IdentityIndex) else build_index(identity)
-    index = replace(index, by_name=write_through(index.by_name, "names"))
+    if index.pieces is not None and index.pieces.rules.threshold != rules.threshold:
+        raise ValueError("the stored index was cut for another threshold")
+    if index.pieces is None:
+        index = replace(index, by_name=write_through(index.by_name, "names"))
     rows = accounts.select(*ACCOUNT_COLUMNS).withColumn("email", F.lower("email"))
     small = fits_broadcast(index.by_email, broadcast_limit) and fits_broadcast(index.by_id, broadcast_limit)
     run = _single_pass if small else _staged

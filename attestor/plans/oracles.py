@@ -273,6 +273,7 @@ def sql() -> dict[str, str]:
     probes = _resolve("select distinct lower(display_name) name_key from okta where display_name <> ''")
     q["exact_name_lookup"] = f"with {IDENT}, {OKTA}, {NAMES} select n.name_key, n.holders, 'E' || n.sot_ord first_holder from names n where n.name_key in (select lower(display_name) from okta)"
     q["fuzzy_broad_join"] = f"with {IDENT}, {OKTA}, {probes} select probe, name_key, round(score, 9) score from pairs"
+    q["name_index_update"] = f"with {IDENT}, {OKTA}, {probes} select p.probe, p.name_key, n.holders::bigint holders, round(p.score, 9) score from pairs p join names n using (name_key)"
     q["fuzzy_top2_decision"] = f"with {IDENT}, {OKTA}, {probes} select probe, name_key, round(score, 9) score, match_type from best"
     q["name_resolution"] = f"with {IDENT}, {OKTA}, {probes} select name_key, match_type, 'E' || sot_ord employee_id from res"
     q["orphans"] = f"{M} select system source_file, system source_system, user_id, display_name, role, account_status, last_login, attempted attempted_keys from matched where match_type = 'orphan'"

@@ -19,8 +19,10 @@ from attestor.operators import views as Q
 from attestor.operators.delta import rematch
 from attestor.operators.fuzzy import candidate_pairs, decide, resolve_names
 from attestor.operators.identity import build_index, distinct_people, index_stats
+from attestor.operators.name_index import NameIndex
 from attestor.operators.tokens import group_token_union
 from attestor.plans import derived as D
+from attestor.schema import IDENTITY_COLUMNS
 from attestor.session import scratch_dir
 from attestor.sinks import sheets as S
 from attestor.sources import mapping as C
@@ -116,6 +118,21 @@ def fuzzy_broad_join(spark, sf_dir):
     return _pairs(spark, sf_dir).select("probe", "name_key", F.round("score", 9).alias("score"))
 
 
+@query
+def name_index_update(spark, sf_dir):
+    """The similar names out of a stored index that followed three employee lists: hires and leavers, then the present one."""
+    people = D.identity(spark, sf_dir)
+    index = NameIndex(spark, scratch_dir(spark, "name-index"))
+    staff = D.table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"{D.person_name('s_suppkey + 7')} as person")
+    former = staff.select(*[
+        F.col("s_suppkey").alias(c) if c == "sot_ord" else F.col("person").alias(c) if c == "display_name"
+        else X.normalize_name(F.col("person")).alias(c) if c == "normalized_name" else F.lit("").alias(c) for c in IDENTITY_COLUMNS])
+    for staff in (former.unionByName(people.where("sot_ord % 3 = 0")), people.where("sot_ord % 3 <> 1"), people):
+        index.update(staff)
+    pairs = index.candidates(_names(spark, sf_dir).withColumnRenamed("name_key", "probe"))
+    return pairs.select("probe", "name_key", "holders", F.round("score", 9).alias("score"))
+
+
 @query
 def fuzzy_top2_decision(spark, sf_dir):
     return decide(_pairs(spark, sf_dir)).select("probe", "name_key", F.round("score", 9).alias("score"), "match_type")

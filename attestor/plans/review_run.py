@@ -12,6 +12,7 @@ from attestor.operators.delta import rematch
 from attestor.operators.fuzzy import FuzzyRules
 from attestor.operators.incremental import append_report, leading_ids, moved_ids, renumber, renumber_log
 from attestor.operators.match import match_accounts
+from attestor.operators.name_index import NameIndex, source_of
 from attestor.operators.report import dedupe, live_rows, policy_entries
 from attestor.session import write_through
 from attestor.sinks.store import ReportStore
@@ -66,6 +67,18 @@ def review_files(
     )
 
 
+def _index_of(store: ReportStore, rules: FuzzyRules) -> NameIndex:
+    return NameIndex(store.spark, f"{store.root}/index-{rules.threshold}-{rules.hot_block}", rules)
+
+
+def name_index(store: ReportStore, identity: DataFrame, rules: FuzzyRules = FuzzyRules()) -> NameIndex:
+    """The stored index of the stored employee list; if the list was replaced, the index follows its changes first."""
+    index, source = _index_of(store, rules), source_of(identity)
+    if index.source() != source:
+        index.update(identity, source)
+    return index
+
+
 def merge_version(
     store: ReportStore, accounts: DataFrame, version: int, systems: list[str], moved: DataFrame | None = None
 ) -> None:
@@ -81,7 +94,7 @@ def merge_version(
     identity = store.load_table("identity")
     if identity is None:
         raise ValueError("no stored identity; store one before adding accounts")
-    store.save_matched(match_accounts(accounts, identity), version)
+    store.save_matched(match_accounts(accounts, name_index(store, identity).identity_index(identity)), version)
     incoming = dedupe(live_rows(store.matched(systems, version)))
     current = store.report(systems, before=version)
     log = store.load_table("review_log")
@@ -107,8 +120,10 @@ def change_identity(store: ReportStore, identity: DataFrame, rules: FuzzyRules =
     """
     version, systems = store.next_version(), store.systems()
     identity = write_through(identity, "identity")
-    if systems:
-        matched, again = rematch(store.matched(systems, version), store.load_table("identity"), identity, rules)
+    index, followed = _index_of(store, rules), bool(systems)
+    if followed:
+        index.update(identity)
+        matched, again = rematch(store.matched(systems, version), store.load_table("identity"), identity, rules, index)
         systems = sorted(r.system for r in again.select("system").distinct().collect())
     if systems:
         store.save_rematched(matched.where(F.col("system").isin(systems)), version)
@@ -117,6 +132,8 @@ def change_identity(store: ReportStore, identity: DataFrame, rules: FuzzyRules =
         current = renumber(current, leading_ids(current, incoming)).join(incoming.select("record_id"), "record_id", "left_semi")
         store.commit(append_report(current.select(*incoming.columns), incoming, store.load_table("review_log")), version, systems)
     store.save_table("identity", identity)
+    if followed:
+        index.adopt(source_of(store.load_table("identity")))
     return systems
 
 
