@@ -7,11 +7,10 @@ A suffix array of the whole corpus would be one task. Instead, suffixes meet onl
    windows (about one per 35 bytes), each with its hash and a hash of all bytes it covers.
 2. Runs meet by smallest hash. Hashes that occur once are done: they are most of a corpus. Of equal
    runs, all but the first in (document, offset) order are covered as a whole.
-3. Where different runs share a hash (ends of copied passages), their bytes meet: windows of equal
-   64-bit hash are sorted by their LENGTH bytes, and of equal strings all but the first in text order are
-   covered. A suffix has a longest previous factor of LENGTH bytes or more just when its first LENGTH bytes
-   stand earlier, so these classes decide the same; factor lengths and neighbouring positions aren't computed.
-   Equal runs (step 2) and the windows of hot hashes go by 64-bit hash alone.
+3. Where different runs share a hash (ends of copied passages), their bytes meet. The suffixes that start there are put
+   in suffix order; common prefixes of neighbours and the previous and next smaller text positions in that order give the longest
+   previous factor of each, up to LENGTH bytes. Suffixes whose factor reaches LENGTH are covered: the first copy stays.
+   Equal runs (step 2) and the windows of hot hashes go by 64-bit hash alone, without factors.
 4. Covered windows merge to spans, and the spans are cut from the document.
 
 Every step keeps the first of equal keys in its own batch and passes on only that one, so a passage that a third of
@@ -241,16 +240,52 @@ def _open_runs(length: int):
     return run
 
 
+def common_prefixes(suffixes: np.ndarray) -> np.ndarray:
+    """How many bytes each row (of one width) has in common with the row before it; 0 for the first."""
+    lcp = np.zeros(len(suffixes), np.int64)
+    if len(suffixes) > 1:
+        other = suffixes[1:] != suffixes[:-1]
+        lcp[1:] = np.where(other.any(1), other.argmax(1), suffixes.shape[1])
+    return lcp
+
+
+def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix, all in suffix order (Crochemore and Ilie, IPL 2008).
+
+    ``lcp``: common prefix with the suffix before; ``place``: where each stands in the text, all different. Of all suffixes that stand
+    earlier in the text, the nearest before and after it in suffix order (previous and next smaller places) share most with it.
+    """
+    factor = np.zeros(len(place), np.int64)
+    # Suffixes whose next smaller place is still to come, their places rising; each with the prefix it shares with the one below.
+    stack: list[tuple[int, int, int]] = []
+    for i, (at, shared) in enumerate(zip([*place.tolist(), -1], [*lcp.tolist(), 0])):
+        while stack and stack[-1][0] > at:
+            _, j, below = stack.pop()
+            factor[j] = max(below, shared)
+            shared = min(below, shared)
+        stack.append((at, i, shared))
+    return factor
+
+
 def factor_reaches(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int, powers: Powers) -> np.ndarray:
-    """Which suffixes (bytes from ``starts``, standing at (doc, at)) have a longest previous factor of ``length`` or more."""
+    """Which suffixes (bytes from ``starts``, standing at (doc, at)) have a longest previous factor of ``length`` or more.
+
+    Suffixes are told apart by their first ``length`` bytes, so longer factors count as ``length``. Those whose first ``length`` bytes
+    hash like no other's are left out of the order: none of them reaches it, nor gives another one such a factor.
+    """
     reaches = np.zeros(len(starts), bool)
     sums, down = rolling(data, powers)
     rows = shared_rows(mix((sums[starts + length] - sums[starts]) * down[starts]))
     if len(rows):
         rows = rows[np.lexsort((at[rows], doc[rows]))]
-        suffix = np.ascontiguousarray(data[starts[rows][:, None] + np.arange(length)]).view(f"S{length}")[:, 0]
-        order = np.argsort(suffix, kind="stable")
-        reaches[rows[order]] = later(order, starts_of(suffix[order]), doc[rows], at[rows])
+        # A place that is given twice is one suffix.
+        new = starts_of(doc[rows], at[rows])
+        once, place = rows[new], np.cumsum(new) - 1
+        suffix = np.ascontiguousarray(data[starts[once][:, None] + np.arange(length)])
+        order = np.argsort(suffix.view(f"S{length}")[:, 0], kind="stable")
+        factor = np.empty(len(once), np.int64)
+        factor[order] = previous_factors(common_prefixes(suffix[order]), order)
+        reaches[rows] = (factor >= length)[place]
     return reaches
 
 

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from attestor.llm import exact_dedup, line_dedup, near_dedup, repeats
 from attestor.llm.components import components
+from attestor.llm.textops import Powers
 from tests.llm import plain
 from tests.llm.conftest import edge_rows, words
 
@@ -194,3 +196,44 @@ def test_repeats_tell_rows_of_one_id_apart(frame):
     out = repeats.cut_repeats(frame(rows), hot_least=2, hot_sample=1).collect()
     want = [(1, passage), (5, "#"), (5, other), (None, "+"), (None, clean), (None, twice), (None, "")]
     assert plain.counted((r.doc_id, bytes(r.kept).decode()) for r in out) == plain.counted(want)
+
+
+@pytest.mark.parametrize("letters, n", [(b"ab", 60), (b"a", 30), (b"abc\x00\xff", 90), (b"", 0)])
+def test_longest_previous_factors_equal_plain(letters, n):
+    """Factors of every suffix of one text, by comparing each with all earlier ones."""
+    rng = random.Random(n)
+    text = bytes(rng.choice(letters) for _ in range(n))
+
+    def shared(i, j):
+        k = 0
+        while j + k < n and text[i + k] == text[j + k]:
+            k += 1
+        return k
+
+    order = sorted(range(n), key=lambda i: text[i:])
+    lcp = [0] + [shared(min(a, b), max(a, b)) for a, b in zip(order, order[1:])]
+    factor = repeats.previous_factors(np.array(lcp[:n], np.int64), np.array(order, np.int64))
+    want = {j: max((shared(i, j) for i in range(j)), default=0) for j in range(n)}
+    assert dict(zip(order, factor.tolist())) == want
+
+
+def test_suffixes_reach_where_their_bytes_stand_earlier():
+    rng = random.Random(4)
+    length, docs = 8, [bytes(rng.choice(b"ab\x00") for _ in range(40)) for _ in range(12)]
+    docs[7] = docs[2][5:] + docs[3][:5]
+    data = np.frombuffer(b"".join(docs), np.uint8)
+    places = [(d, a) for d in range(12) for a in range(40 - length + 1)]
+    # Out of order, some places twice.
+    places += rng.sample(places, 30)
+    rng.shuffle(places)
+    doc, at = (np.array(x, np.int64) for x in zip(*places))
+    got = repeats.factor_reaches(data, doc * 40 + at, doc, at, length, Powers())
+    first = {}
+    for d, a in sorted(places):
+        first.setdefault(docs[d][a:a + length], (d, a))
+    assert got.tolist() == [first[docs[d][a:a + length]] != (d, a) for d, a in places] and 10 < got.sum() < len(places)
+
+
+def test_common_prefixes():
+    rows = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 0], [0, 2, 0]], np.uint8)
+    assert repeats.common_prefixes(rows).tolist() == [0, 3, 2, 0] and repeats.common_prefixes(rows[:1]).tolist() == [0]
