@@ -102,8 +102,13 @@ def _switches(log: DataFrame) -> DataFrame:
 
 def effective_log(log: DataFrame) -> DataFrame:
     """Events that still count: batches whose latest switch is an undo are left out."""
+    return effective_events(log, _switches(log))
+
+
+def effective_events(log: DataFrame, switches: DataFrame) -> DataFrame:
+    """The log's events without those of batches that ``switches`` (batch, state, at) has as undone."""
     events = log.where(~F.col("kind").isin("undo", "redo")).withColumn("batch", _batch())
-    undone = _switches(log).where(F.col("state") == "undo").select("batch")
+    undone = switches.where(F.col("state") == "undo").select("batch")
     return salted_lookup(events, undone, "batch", ["seq", "record_id"], "left_anti").drop("batch")
 
 
@@ -138,7 +143,11 @@ def fold_state(log: DataFrame) -> DataFrame:
     First per (record, role) the latest event, then per record; only the distinct roles of a
     record are ever put together.
     """
-    events = effective_log(log)
+    return fold_events(effective_log(log))
+
+
+def fold_events(events: DataFrame) -> DataFrame:
+    """``fold_state`` of events that all count."""
     is_record = F.col("kind").isin("record", "note")
     is_role = F.col("kind") == "role"
     latest = events.where(is_record | is_role | (F.col("kind") == "name")).groupBy(
@@ -168,7 +177,12 @@ def fold_state(log: DataFrame) -> DataFrame:
 
 def apply_reviews(report: DataFrame, log: DataFrame) -> DataFrame:
     """The report after all effective events, in log order."""
-    st = report.join(fold_state(log), "record_id", "left")
+    return apply_state(report, fold_state(log))
+
+
+def apply_state(report: DataFrame, state: DataFrame) -> DataFrame:
+    """The report after the events that ``state`` was folded from."""
+    st = report.join(state, "record_id", "left")
     rec_seq = F.coalesce("rec.seq", F.lit(-1))
     has_rec = F.col("rec").isNotNull()
     pair = "array<struct<role:string,action:string>>"

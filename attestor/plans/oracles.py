@@ -388,6 +388,7 @@ def sql() -> dict[str, str]:
         "select 1 seq, '' review_id, 'record' kind, 'r' || c_custkey record_id, null::varchar as role, 'approve' action, '' note, null::varchar display_name, 'bulk-1' batch_id from customer where c_mktsegment = 'MACHINERY'"
     )
     q["undo_batch"] = _folded("select * from log0 where batch_id is null or batch_n % 3 <> 0 or batch_n % 9 = 0".replace("batch_n", "substr(batch_id, 2)::bigint"))
+    q["folded_log"] = q["undo_batch"]
     q["undo_redo_last"] = _folded("select * from log0 where coalesce(batch_id, '#' || seq) <> (select arg_max(coalesce(batch_id, '#' || seq), seq) from log0)")
     q["toggle_role"] = _folded(
         "select * from log0",

@@ -17,6 +17,7 @@ from attestor.operators import review as V
 from attestor.operators import rollups as A
 from attestor.operators import views as Q
 from attestor.operators.delta import rematch
+from attestor.operators.folded_log import FoldedLog
 from attestor.operators.fuzzy import candidate_pairs, decide, resolve_names
 from attestor.operators.identity import build_index, distinct_people, index_stats
 from attestor.operators.name_index import NameIndex
@@ -531,7 +532,10 @@ def _map_text():
 
 
 def _folded(spark, sf_dir, log):
-    r = V.apply_reviews(_review_base(spark, sf_dir), log)
+    return _review_state(V.apply_reviews(_review_base(spark, sf_dir), log))
+
+
+def _review_state(r):
     return r.select(
         "record_id", "display_name", F.coalesce("review_action", F.lit("")).alias("review_action"),
         "review_note", _map_text().alias("role_actions"),
@@ -561,9 +565,7 @@ def bulk_action(spark, sf_dir):
     return _folded(spark, sf_dir, V.bulk_action(chosen, "approve", "bulk-1", 1))
 
 
-@query
-def undo_batch(spark, sf_dir):
-    """Every third batch is undone, every ninth redone."""
+def _switched_log(spark, sf_dir):
     log = review_log(spark, sf_dir)
     batches = log.where("batch_id is not null").select("batch_id", F.substring("batch_id", 2, 20).cast("long").alias("n")).distinct()
     switch = batches.where("n % 3 = 0").select(
@@ -573,7 +575,24 @@ def undo_batch(spark, sf_dir):
             (F.col("n") + 20_000_000).alias("seq"), F.lit("redo").alias("kind"), F.col("batch_id").alias("target_batch")
         )
     )
-    return _folded(spark, sf_dir, log.unionByName(V.log_rows(switch)))
+    return log.unionByName(V.log_rows(switch))
+
+
+@query
+def undo_batch(spark, sf_dir):
+    """Every third batch is undone, every ninth redone."""
+    return _folded(spark, sf_dir, _switched_log(spark, sf_dir))
+
+
+@query
+def folded_log(spark, sf_dir):
+    """The same out of a stored fold that followed the log in four steps: half of the events, all, undos, redos."""
+    log = _switched_log(spark, sf_dir)
+    folded = FoldedLog(spark, scratch_dir(spark, "folded-log"))
+    half = review_log(spark, sf_dir).agg(F.max("seq")).first()[0] // 2
+    for upto in (half, 10_000_000 - 1, 20_000_000 - 1, None):
+        folded.advance(log if upto is None else log.where(F.col("seq") <= upto))
+    return _review_state(V.apply_state(_review_base(spark, sf_dir), folded.state()))
 
 
 @query
