@@ -341,6 +341,9 @@ def sql() -> dict[str, str]:
     q["report_totals"] = f"""{ENT} select count(distinct case when match_type <> 'orphan' then canonical_id end) users,
       count(*) filter (match_type not in ('orphan', 'no_access')) matched, count(*) filter (match_type = 'orphan') orphans,
       count(*) filter (match_type = 'no_access') no_access from entries"""
+    q["kept_totals"], q["kept_join_stats"] = q["report_totals"], q["join_stats"]
+    q["kept_risk_summary"] = f"{ENT} select v.risk_level, count(e.risk_level) records from {levels} left join (select * from entries where match_type <> 'no_access') e using (risk_level) group by 1"
+    q["kept_user_summary"] = q["user_summary"].replace("match_type <> 'orphan'", "match_type not in ('orphan', 'no_access')")
     totals = """(select count(*) filter (match_type <> 'orphan') from report) total_matched,
       (select count(*) filter (match_type = 'orphan') from report) total_orphans,
       (select count(*) filter (risk_level = 'CRITICAL') from report) critical_findings,

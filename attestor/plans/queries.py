@@ -21,6 +21,7 @@ from attestor.operators.folded_log import FoldedLog
 from attestor.operators.fuzzy import candidate_pairs, decide, resolve_names
 from attestor.operators.identity import build_index, distinct_people, index_stats
 from attestor.operators.name_index import NameIndex
+from attestor.operators.partials import Rollups
 from attestor.operators.tokens import group_token_union
 from attestor.plans import derived as D
 from attestor.schema import IDENTITY_COLUMNS
@@ -380,6 +381,41 @@ def report_totals(spark, sf_dir):
     return A.report_totals(_entries(spark, sf_dir))
 
 
+def _rollups(spark, sf_dir):
+    """Kept rollups after five steps: half of okta, the employee list, aws, sap, and okta anew as a whole."""
+    key = (spark.sparkContext.applicationId, sf_dir, "rollups")
+    if key not in _STORED:
+        kept = Rollups(spark, scratch_dir(spark, "rollups"))
+        accounts = _entries(spark, sf_dir).where("match_type <> 'no_access'")
+        kept.add(accounts.where("system = 'okta' and source_row % 2 = 0"))
+        kept.set_people(D.identity(spark, sf_dir))
+        kept.add(accounts.where("system = 'aws'"))
+        kept.add(accounts.where("system = 'sap'"))
+        kept.add(accounts.where("system = 'okta'"), replace=["okta"])
+        _STORED[key] = kept.root
+    return Rollups(spark, _STORED[key])
+
+
+@query
+def kept_totals(spark, sf_dir):
+    return _rollups(spark, sf_dir).totals()
+
+
+@query
+def kept_join_stats(spark, sf_dir):
+    return _rollups(spark, sf_dir).join_stats()
+
+
+@query
+def kept_risk_summary(spark, sf_dir):
+    return _rollups(spark, sf_dir).risk_summary()
+
+
+@query
+def kept_user_summary(spark, sf_dir):
+    return _rollups(spark, sf_dir).user_summary()
+
+
 @query
 def export_totals(spark, sf_dir):
     t = A.export_totals(report(spark, sf_dir), matches(spark, sf_dir))
