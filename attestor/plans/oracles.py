@@ -373,6 +373,8 @@ def sql() -> dict[str, str]:
     q["search"] = f"{RPT} select record_id, display_name, email from report where " + " or ".join(
         f"contains(lower({c}), 'u12')" for c in ("display_name", "email", "system", "role", "entitlement")
     )
+    q["indexed_search"] = q["search"]
+    q["indexed_search_words"] = q["search"].replace("'u12'", "'billing own'")
     q["filter_combined"] = f"""{RPT} select record_id, risk_level, system from report where system = 'okta' and risk_level = 'HIGH' and (
       contains(lower(display_name), 'reader') or contains(lower(email), 'reader') or contains(lower(role), 'reader') or contains(lower(entitlement), 'reader'))"""
     q["sort_topk"] = f"{RPT} select record_id, risk_score, row_number() over (order by risk_score desc, record_id) as position from report"
