@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, ship, text_of
+from attestor.llm.common import documents, ship, text_of, write_through
 from attestor.session import scratch_dir
 
 ship(__name__)
@@ -118,11 +118,14 @@ class Ledger:
 
 
 def report(docs: DataFrame, ledger: Ledger, version: int = VERSION) -> DataFrame:
-    """Per row of ``docs``: doc_id, blob, found (array of kind_no, kind, span_start, span_end by start, kind)."""
+    """Per row of ``docs``: doc_id, blob, found (array of kind_no, kind, span_start, span_end by start, kind).
+
+    Findings by blob are written before the join: beside an aggregate a hot blob's partition wouldn't be split.
+    """
     found = ledger.findings().where(F.col("version") == version).groupBy("blob").agg(
         F.sort_array(F.collect_set(F.struct("span_start", "kind_no", "kind", "span_end"))).alias("found")
     )
-    return blobs(docs).join(found, "blob", "left")
+    return blobs(docs).join(write_through(found, "blob-findings"), "blob", "left")
 
 
 def scan_secrets(docs: DataFrame, path: str, version: int = VERSION) -> DataFrame:

@@ -49,3 +49,24 @@ def frame(spark):
         return spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).repartition(partitions)
 
     return make
+
+
+@pytest.fixture
+def skew_splits(spark):
+    """How many joins of a query split a skewed partition, where broadcasts are off and few rows make one."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+    def count(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("skew=true")
+
+    yield count
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -163,3 +163,12 @@ def test_ledger_scans_only_what_is_new(frame, tmp_path):
 def test_secrets_edges(edge, none, tmp_path):
     assert secret_scan.scan_secrets(edge, str(tmp_path / "a")).count() == len(edge_rows())
     assert secret_scan.scan_secrets(none, str(tmp_path / "b")).count() == 0
+
+
+def test_a_hot_blob_is_split(frame, tmp_path, skew_splits):
+    hot = "password = abcdefghijkl1234"
+    docs = frame([(i, hot if i % 10 else f"token: {i:020d}") for i in range(4000)], 8)
+    ledger = secret_scan.Ledger(docs.sparkSession, str(tmp_path / "ledger"))
+    ledger.scan(docs)
+    found = secret_scan.report(docs, ledger)
+    assert skew_splits(found) > 0 and found.where("size(found) > 0").count() == 4000
