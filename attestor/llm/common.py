@@ -95,6 +95,6 @@ def numbered(docs: DataFrame, label: str = "numbered") -> DataFrame:
         return docs.withColumn("__place", F.col("doc_id"))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = [F.col("doc_id").asc_nulls_last(), F.col("__hash"), F.col("__nth")]
-    rows = docs.withColumns({"__hash": F.xxhash64(text_of()), "__nth": F.monotonically_increasing_id()})
+    rows = docs.withColumns({"__hash": F.md5(text_of()), "__nth": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return write_through(rows.withColumn("__place", F.monotonically_increasing_id()).drop("__hash", "__nth"), label)

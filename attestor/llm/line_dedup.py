@@ -31,10 +31,14 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """__place, at: windows that also occur earlier. The smallest (__place, line) is the first."""
+    """__place, at: windows that also occur earlier. The smallest (__place, line) is the first.
+
+    The repeated hashes are written before the join: beside an aggregate a hot window's partition wouldn't be split.
+    """
     rows = write_through(windows(docs, window), "line-windows")
     place = F.struct(F.col("__place").alias("d"), F.col("at").alias("a"))
     repeated = rows.groupBy("h1", "h2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    repeated = write_through(repeated.drop("_n"), "repeated-windows")
     return rows.join(repeated, ["h1", "h2"]).where(place > F.col("_first")).select("__place", "at")
 
 
@@ -79,15 +83,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with l as (
-  select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents
+  select row_number() over (order by doc_id nulls last, md5(coalesce(text, ''))) as place, doc_id,
+    string_split(coalesce(text, ''), chr(10)) as x from documents
 ), w as (
-  select doc_id, a, list_slice(x, a + 1, a + 3) as w from (select doc_id, x, unnest(range(0, len(x) - 2)) as a from l)
+  select place, a, list_slice(x, a + 1, a + 3) as w from (select place, x, unnest(range(0, len(x) - 2)) as a from l)
 ), r as (
-  select doc_id, a, row_number() over (partition by w order by doc_id, a) as rn from w
+  select place, a, row_number() over (partition by w order by place, a) as rn from w
 ), c as (
-  select doc_id, list_sort(list_distinct(flatten(list(range(a, a + 3))))) as gone from r where rn > 1 group by doc_id
+  select place, list_sort(list_distinct(flatten(list(range(a, a + 3))))) as gone from r where rn > 1 group by place
 ), k as (
-  select l.doc_id, x, coalesce(gone, []) as gone from l left join c on l.doc_id = c.doc_id
+  select l.doc_id, x, coalesce(gone, []) as gone from l left join c on l.place = c.place
 )
 select doc_id, len(x) as n_lines, len(gone) as n_removed,
   len(list_filter(gone, lambda i: not list_contains(gone, i - 1))) as removed_spans,

@@ -153,6 +153,25 @@ def test_lines_tell_rows_of_one_id_apart(frame):
     assert plain.counted((r.doc_id, r.text) for r in out) == plain.counted(want)
 
 
+def test_line_sql_tells_rows_of_one_id_apart(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), "\n".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for _ in range(40)] + [(3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(line_dedup.SQL)
+    got = rows_of(line_dedup.op6_line_dedup(spark, str(tmp_path)), *[c[0] for c in cur.description])
+    assert got == sorted(cur.fetchall(), key=repr)
+
+
+def test_a_hot_window_is_split(spark, frame, skew_splits):
+    docs = frame([(i, "a\nb\nc" if i % 10 else f"x{i}\ny\nz") for i in range(4000)], 8).withColumn("__place", F.col("doc_id"))
+    later = line_dedup.later_windows(docs)
+    assert skew_splits(later) > 0 and later.count() == 3599
+
+
 # bytes -------------------------------------------------------------------------------------------
 
 
