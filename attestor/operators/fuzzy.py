@@ -10,7 +10,11 @@ Pieces many names share would make a block quadratic. Names holding such a piece
 K+3 pieces instead, of which at least three stay unchanged, and every three pieces of a name make a
 key. Three pieces together are far rarer than one (a first name that many share fills two at most
 of them), so the hot block splits without losing a pair.
-The counts that decide this stay in a joined table; nothing is collected or capped.
+The counts that decide this stay in a joined table; nothing is collected or capped. Only probes that hold a
+piece of such a name are cut in threes: a name similar to it must hold one.
+
+Pieces are joined by sort-merge: their number is many times what the size of the names says, so that a planner which
+goes by sizes would send them to every task.
 
 Only distinct names enter; candidate pairs are reduced per (probe, score) before the top two
 scores of a probe are looked at, so no list of candidates is ever collected.
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from attestor.functions.text import similarity
 from attestor.operators.identity import IdentityIndex
 from attestor.operators.skew import fits_broadcast
+from attestor.session import write_through
 
 _EPS = 1e-9
 NAME_COLUMNS = ("name_key", "holders", "sot_ord")
@@ -183,16 +188,28 @@ def candidate_pairs(probes: DataFrame, names: DataFrame, rules: FuzzyRules = Fuz
     its holders and the first holder's ``sot_ord``.
     """
     probes = _full_width(probes.select("probe"), "probe")
-    single = _indexed_blocks(names, rules)
+    single, sought = _indexed_blocks(names, rules), _probe_blocks(probes, rules)
     hot = single.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.hot_block).select("block")
-    crowded = single.join(hot, "block", "left_semi").select("name_key").distinct()
-    single = single.join(crowded, "name_key", "left_anti")
+    crowded = write_through(single.join(hot, "block", "left_semi").select("name_key").distinct(), "crowded-names")
+    if crowded.isEmpty():
+        return verified(meet(sought, single).select("probe", *NAME_COLUMNS), NAME_COLUMNS, rules)
+    pairs = meet(sought, single.join(crowded, "name_key", "left_anti"))
+    near = near_crowded(sought, single.join(crowded, "name_key", "left_semi"))
     triple = _indexed_triples(names.join(crowded, "name_key", "left_semi"), rules)
-    join = lambda sought, index: sought.join(index, "block").select("probe", *NAME_COLUMNS)
-    pairs = join(_probe_blocks(probes, rules), single).unionByName(join(_probe_triples(probes, rules), triple))
+    pairs = pairs.select("probe", *NAME_COLUMNS).unionByName(meet(_probe_triples(near, rules), triple).select("probe", *NAME_COLUMNS))
     return verified(pairs, NAME_COLUMNS, rules)
 
 
+def meet(sought: DataFrame, index: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on block keys, never by broadcast: see the head of this module."""
+    return sought.join(index.hint("merge"), "block", how)
+
+
+def near_crowded(sought: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Distinct probes of ``sought`` (probe, block) that hold a piece of a crowded name, whose pieces are ``blocks``."""
+    return meet(sought, blocks.select("block").distinct(), "left_semi").select("probe").distinct()
+
+
 def verified(pairs: DataFrame, columns: tuple[str, ...], rules: FuzzyRules) -> DataFrame:
     """Distinct (probe, columns, score) of the pairs at or above the threshold, equal names left out."""
     a, b = F.col("probe"), F.col("name_key")
@@ -240,7 +257,7 @@ def resolve_names(probes: DataFrame, index: IdentityIndex, rules: FuzzyRules = F
     holds go to the similarity search.
     """
     names = index.by_name.select("name_key", "holders", F.col("sot.sot_ord").alias("sot_ord"))
-    looked_up = probes.select("name_key").join(names, "name_key", "left")
+    looked_up = probes.select("name_key").join(names.hint("merge"), "name_key", "left")
     exact = looked_up.where(F.col("holders").isNotNull()).select(
         "name_key",
         F.col("name_key").alias("best"),
@@ -252,4 +269,4 @@ def resolve_names(probes: DataFrame, index: IdentityIndex, rules: FuzzyRules = F
         F.col("probe").alias("name_key"), F.col("name_key").alias("best"), "match_type"
     )
     records = index.by_name.select(F.col("name_key").alias("best"), "sot")
-    return exact.unionByName(broad).join(records, "best").select("name_key", "match_type", "sot")
+    return exact.unionByName(broad).join(records.hint("merge"), "best").select("name_key", "match_type", "sot")

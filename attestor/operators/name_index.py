@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.operators.fuzzy import (
-    FuzzyRules, _full_width, _indexed_blocks, _indexed_triples, _probe_blocks, _probe_triples, verified,
+    FuzzyRules, _full_width, _indexed_blocks, _indexed_triples, _probe_blocks, _probe_triples, meet, near_crowded, verified,
 )
 from attestor.operators.identity import IdentityIndex, build_index
 
@@ -135,9 +135,14 @@ class NameIndex:
         versions, rules = self._versions(), self.rules
         probes = _full_width(probes.select("probe"), "probe")
         read = lambda name: self._read(name, versions).drop("version")
-        single = _probe_blocks(probes, rules).join(read("hot"), "block", "left_anti").join(read("pieces"), "block")
-        triple = _probe_triples(probes, rules).join(read("triples"), "block")
-        pairs = single.select("probe", "name_key").unionByName(triple.select("probe", "name_key"))
+        sought, crowded = _probe_blocks(probes, rules), read("crowded")
+        if crowded.isEmpty():
+            pairs = meet(sought, read("pieces")).select("probe", "name_key")
+        else:
+            near = near_crowded(sought, read("pieces").join(crowded, "name_key", "left_semi"))
+            single = meet(sought.join(read("hot"), "block", "left_anti"), read("pieces"))
+            triple = meet(_probe_triples(near, rules), read("triples"))
+            pairs = single.select("probe", "name_key").unionByName(triple.select("probe", "name_key"))
         live = self.names().select("name_key", "holders", F.col("sot.sot_ord").alias("sot_ord"))
         return verified(pairs, ("name_key",), rules).join(live, "name_key").select("probe", "name_key", "holders", "sot_ord", "score")
 

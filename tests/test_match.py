@@ -123,6 +123,26 @@ def test_crowded_blocks_are_cut_finer_without_losing_pairs(spark):
     assert got == brute(probes, names) and len(got) > 80
 
 
+def test_pieces_are_joined_without_a_broadcast(spark, tmp_path):
+    """A name has tens of pieces, so a small file of names is no small table of pieces."""
+    spark.range(3000).selectExpr("'name ' || md5(cast(id as string)) as probe").write.parquet(str(tmp_path / "probes"))
+    probes = spark.read.parquet(str(tmp_path / "probes"))
+    names = probes.selectExpr("probe || 'q' as name_key", "1L as holders", "1L as sot_ord")
+    for hot_block in (5, 10**6):
+        plan = candidate_pairs(probes, names, FuzzyRules(hot_block=hot_block))._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin [block" in x]
+
+
+def test_only_probes_that_hold_a_piece_of_a_crowded_name_are_cut_in_threes(spark):
+    from attestor.operators import fuzzy
+
+    names = name_table(spark, [f"user account {i:06d}" for i in range(20)] + ["someone else entirely"])
+    probes = spark.createDataFrame([("user account 00000x",), ("someone else entirelx",)], "probe string")
+    blocks = fuzzy._indexed_blocks(names, FuzzyRules()).where("name_key like 'user%'")
+    near = fuzzy.near_crowded(fuzzy._probe_blocks(probes, FuzzyRules()), blocks)
+    assert [r.probe for r in near.collect()] == ["user account 00000x"]
+
+
 def test_top_two_decision(spark):
     rows = [
         ("one", "n1", 1, 5, 0.9), ("clear", "n1", 1, 5, 0.97), ("clear", "n2", 1, 1, 0.86),
