@@ -15,7 +15,7 @@ from attestor.functions.text import normalize_name
 from attestor.operators.fuzzy import FuzzyRules, resolve_names
 from attestor.operators.identity import IdentityIndex, build_index, distinct_people
 from attestor.operators.skew import (
-    BROADCAST_LIMIT, ROWS_PER_SPLIT, fits_broadcast, hot_counts, hot_keys, salted_lookup,
+    BROADCAST_LIMIT, ROWS_PER_SPLIT, fits_counted, hot_counts, hot_keys, salted_lookup,
 )
 from attestor.schema import ACCOUNT_COLUMNS, CONFLICT_TYPE
 from attestor.session import write_through
@@ -72,8 +72,8 @@ def _resolved(rows: DataFrame, index: IdentityIndex, rules: FuzzyRules) -> tuple
 def _single_pass(accounts, index: IdentityIndex, rules, rows_per_split, limit) -> DataFrame:
     """All accounts flow through broadcast lookups: no shuffle of the accounts at all."""
     opts = dict(rows_per_split=rows_per_split, broadcast_limit=limit)
-    j = salted_lookup(accounts, index.by_email.withColumnRenamed("sot", "by_mail"), "email", ROW_ID, **opts)
-    j = salted_lookup(j, index.by_id.withColumnRenamed("sot", "by_uid"), "user_id", ROW_ID, **opts)
+    j = salted_lookup(accounts, index.by_email.withColumnRenamed("sot", "by_mail"), "email", ROW_ID, small=True, **opts)
+    j = salted_lookup(j, index.by_id.withColumnRenamed("sot", "by_uid"), "user_id", ROW_ID, small=True, **opts)
     open_row = F.col("by_mail").isNull() & F.col("by_uid").isNull()
     j = j.withColumn(
         "name_key", F.when(open_row, normalize_name(F.col("display_name"))).otherwise(F.lit(""))
@@ -102,11 +102,12 @@ def _staged(accounts, index: IdentityIndex, rules, rows_per_split, limit) -> Dat
     hot = hot_keys(accounts, "email", "user_id", rows_per_split=rows_per_split)
     done, rest = [], accounts
     for table, key, label in ((index.by_email, "email", "exact_email"), (index.by_id, "user_id", "exact_id")):
-        hit = salted_lookup(rest, table, key, ROW_ID, "inner", hot=hot[key], **opts)
+        hit = salted_lookup(rest, table, key, ROW_ID, "inner", hot=hot[key], small=False, **opts)
         done.append(hit.select(*ACCOUNT_COLUMNS, F.lit(label).alias("match_type"), "sot", F.lit("").alias("name_key")))
-        rest = salted_lookup(rest, table.select(key), key, ROW_ID, "left_anti", hot=hot[key], **opts)
+        rest = salted_lookup(rest, table.select(key), key, ROW_ID, "left_anti", hot=hot[key], small=False, **opts)
         rest = rest.select(*ACCOUNT_COLUMNS)
-    rest = rest.withColumn("name_key", normalize_name(F.col("display_name")))
+    # Counted and looked up: written, so that the stages before are not run again for either.
+    rest = write_through(rest.withColumn("name_key", normalize_name(F.col("display_name"))), "open-accounts")
     counts, names = _resolved(rest, index, rules)
     last = salted_lookup(
         rest, names, "name_key", ROW_ID, hot=hot_counts(counts, "name_key", rows_per_split), **opts
@@ -136,7 +137,8 @@ def match_accounts(
     if index.pieces is None:
         index = replace(index, by_name=write_through(index.by_name, "names"))
     rows = accounts.select(*ACCOUNT_COLUMNS).withColumn("email", F.lower("email"))
-    small = fits_broadcast(index.by_email, broadcast_limit) and fits_broadcast(index.by_id, broadcast_limit)
+    # No key table has more rows than there are employees.
+    small = fits_counted(index.identity, broadcast_limit)
     run = _single_pass if small else _staged
     matched = run(rows, index, rules, rows_per_split, broadcast_limit)
     return matched.select(

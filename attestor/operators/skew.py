@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
+#: Of the rows in memory, which are sent through the driver and kept by every task.
+BROADCAST_LIMIT = 16 * 1024 * 1024
 ROWS_PER_SPLIT = 2_000_000
 SKETCH_ITEMS = 8192
 SKETCH_KEYS = 1024
@@ -27,6 +28,19 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
     return estimated_bytes(df) <= limit
 
 
+def counted_bytes(df: DataFrame) -> int:
+    """The size in memory from a row count (one job, of footers only for a stored table).
+
+    The optimizer goes by file sizes, which say little: repeated values take next to no room in a file. Twice the
+    schema's default size is what a row takes in a broadcast table.
+    """
+    return df.count() * 2 * int(df._jdf.schema().defaultSize())
+
+
+def fits_counted(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
+    return fits_broadcast(df, limit) and counted_bytes(df) <= limit
+
+
 def hot_keys(df: DataFrame, *keys: str, rows_per_split: int = ROWS_PER_SPLIT) -> dict[str, DataFrame]:
     """Per key column: (key, _splits) of values above ``rows_per_split`` rows.
 
@@ -77,15 +91,19 @@ def salted_lookup(
     rows_per_split: int = ROWS_PER_SPLIT,
     broadcast_limit: int = BROADCAST_LIMIT,
     hot: DataFrame | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join ``left`` to the key-unique ``right``. ``how``: left, inner, left_semi or left_anti.
 
     A blank key matches nothing, however the join is run: a left row with one stays unmatched, and a
     right row with one is left out. Callers to whom blank is a key like others prefix it.
-    ``hot`` is a result of ``hot_keys`` or ``hot_counts`` found earlier.
+    ``hot`` is a result of ``hot_keys`` or ``hot_counts`` found earlier. ``right`` is counted first if
+    its estimated size is small, so pass a stored table when it is costly to compute; ``small`` tells what the caller knows.
     """
+    if small is None:
+        small = fits_counted(right, broadcast_limit)
     right = right.where(F.col(key) != "")
-    if fits_broadcast(right, broadcast_limit):
+    if small:
         return left.join(F.broadcast(right), key, how)
     if hot is None:
         hot = hot_keys(left, key, rows_per_split=rows_per_split)[key]
@@ -104,4 +122,5 @@ def salted_lookup(
         .withColumn("_salt", F.col("_salt").cast("long"))
         .drop("_splits")
     )
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    # Counted as large, whatever the optimizer thinks.
+    return salted_left.join(salted_right.hint("merge"), [key, "_salt"], how).drop("_salt")

@@ -180,3 +180,16 @@ def test_crowded_candidates_grow_slowly(spark):
         found = fuzzy._probe_triples(probes, rules).join(fuzzy._indexed_triples(names, rules), "block").count()
         seen.append(found / 100)
     assert seen[1] < 10 and seen[1] < 2 * seen[0] + 2
+
+
+def test_broadcasts_go_by_counted_rows(spark, tmp_path):
+    """Repeated values take next to no room in a file, but do in a broadcast table."""
+    from attestor.operators.skew import counted_bytes, fits_broadcast, fits_counted
+
+    spark.range(200_000).selectExpr("concat('k', id) as k", "repeat('x', 200) as v").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert fits_broadcast(table) and counted_bytes(table) > 10_000_000 and not fits_counted(table, 10_000_000)
+    left = spark.range(10).selectExpr("id", "concat('k', id) as k")
+    out = salted_lookup(left, table, "k", ["id"], broadcast_limit=10_000_000)
+    assert "SortMergeJoin" in out._jdf.queryExecution().sparkPlan().toString()
+    assert out.where("v is not null").count() == 10
