@@ -10,6 +10,7 @@ from attestor.operators.report import identity_key, live_rows
 from attestor.operators.skew import salted_lookup
 from attestor.operators.tokens import group_token_union
 from attestor.schema import REPORT_COLUMNS, ROLE_ACTIONS_TYPE, blank_to_null
+from attestor.session import write_through
 
 REVIEW_STATE = ("review_action", "review_note", "role_actions")
 DUPLICATE_NOTE = "Duplicate entries found with different roles"
@@ -64,6 +65,7 @@ def consolidate(rows: DataFrame) -> DataFrame:
         F.min_by(packed, "_ord").alias("row"),
         F.max(blank_to_null("last_login")).alias("login"),
     )
+    groups = write_through(groups, "groups")
     single = groups.where("n = 1").select("row.*")
     several = groups.where("n > 1").select("_key")
     members = salted_lookup(rows, several, "_key", ["record_id"], "left_semi").withColumn(
@@ -88,16 +90,18 @@ def consolidate(rows: DataFrame) -> DataFrame:
         ),
         F.transform("_roles", lambda r: tag("role", r)),
     )
-    item = F.struct(F.col("_ord").alias("ord"), F.col("_roles").alias("roles"), packed.alias("row"))
-    ends = members.select("_key", item.alias("item"), F.explode(tags).alias("tag")).groupBy("_key", "tag").agg(
-        F.min_by("item", "item.ord").alias("first"), F.max_by("item", "item.ord").alias("last")
+    # Places of the rows first: whole rows are not copied per tag, only those picked are fetched.
+    ends = members.select("_key", "_ord", F.explode(tags).alias("tag")).groupBy("_key", "tag").agg(
+        F.min("_ord").alias("first"), F.max("_ord").alias("last")
     )
-    picked = ends.select(
+    places = ends.select(
         "_key",
         F.explode(
             F.when(F.col("tag.kind") == "count", F.array("first", "last")).otherwise(F.array("first"))
-        ).alias("item"),
-    )
+        ).alias("_ord"),
+    ).distinct()
+    item = F.struct(F.col("_ord").alias("ord"), F.col("_roles").alias("roles"), packed.alias("row"))
+    picked = members.join(places.hint("merge"), ["_key", "_ord"], "left_semi").select("_key", item.alias("item"))
     folded = picked.groupBy("_key").agg(F.array_sort(F.collect_set("item")).alias("items")).select(
         "_key", _fold(F.col("items")).alias("s")
     )
