@@ -10,6 +10,7 @@ from attestor.functions.text import token_set, trim_blanks, union_tokens
 from attestor.operators.match import no_access
 from attestor.operators.skew import salted_lookup
 from attestor.operators.tokens import group_token_union
+from attestor.session import write_through
 from attestor.schema import (
     CONFLICT_TYPE, REPORT_COLUMNS, ROLE_ACTIONS_TYPE, blank_to_null, row_order,
 )
@@ -71,7 +72,8 @@ def dedupe(report: DataFrame) -> DataFrame:
     The lowest source row is kept; roles and entitlements are united, the highest risk and the
     latest login win, differing role sets flag the row. All per-group values are mergeable
     aggregates. Value lists are only taken apart for groups whose texts differ. ``report`` is
-    read up to three times: pass a stored table when it is costly to compute.
+    read twice: pass a stored table when it is costly to compute. The groups are written at once, so that
+    they are put together once and counted before they are looked up.
     """
     rows = report.select(*REPORT_COLUMNS, identity_key().alias("_key"))
     access = F.struct("role", "entitlement")
@@ -85,9 +87,10 @@ def dedupe(report: DataFrame) -> DataFrame:
         (F.min(access) != F.max(access)).alias("mixed"),
         (F.min(token_set(F.col("role"))) != F.max(token_set(F.col("role")))).alias("roles_differ"),
     )
+    groups = write_through(groups, "groups")
     # Rows without e-mail and name share one key per system: that group may be huge.
     mixed_rows = salted_lookup(
-        rows, groups.where("mixed").select("_key"), "_key", ["source_row", "file_hash"], "left_semi"
+        rows.select("_key", "role", "entitlement", "source_row", "file_hash"), groups.where("mixed").select("_key"), "_key", ["source_row", "file_hash"], "left_semi"
     )
     united = group_token_union(mixed_rows, "_key", row_order(), ["role", "entitlement"])
 
