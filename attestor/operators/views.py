@@ -109,7 +109,8 @@ def project(
             wanted += systems if c == "*systems" else [c]
     out = report
     if with_admin_roles:
-        lookup = admin_roles(report, keywords).withColumnRenamed("email", "_mail")
+        # Read three times: counted, looked up, and the blank e-mail's row.
+        lookup = write_through(admin_roles(report, keywords).withColumnRenamed("email", "_mail"), "admin-roles")
         out = salted_lookup(out.withColumn("_mail", F.lower("email")), lookup, "_mail", ["record_id"])
         # The blank e-mail is spread as "no key" by the lookup; its one row is read apart.
         nobody = lookup.where(F.col("_mail") == "").select("admin_roles").scalar()
