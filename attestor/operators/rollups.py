@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions.risk import is_privileged_row, privileged_tokens
 from attestor.operators.skew import salted_lookup
 from attestor.schema import RISK_LEVELS, blank_to_null
+from attestor.session import write_through
 
 
 def risk_summary(report: DataFrame) -> DataFrame:
@@ -49,6 +50,7 @@ def user_entries(entries: DataFrame, chunk_rows: int = 1000) -> DataFrame:
         .where(F.col("n") > chunk_rows)
         .select("_user", F.ceil(F.col("n") / chunk_rows).cast("int").alias("_chunks"))
     )
+    large = write_through(large, "large-users")
     chunks = F.coalesce("_chunks", F.lit(1))
     return (
         salted_lookup(mine, large, "_user", ["system", "source_row"])
