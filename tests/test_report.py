@@ -131,3 +131,17 @@ def test_positions_follow_the_order(spark):
     rows = spark.range(500).selectExpr("id % 7 as k", "concat('r', id) as record_id").repartition(9)
     out = views.positions(rows.orderBy("k", "record_id")).orderBy("position").collect()
     assert [r.position for r in out] == list(range(1, 501)) and [(r.k, r.record_id) for r in out] == sorted((r.k, r.record_id) for r in out)
+
+
+def test_groups_and_lookups_are_put_together_once(spark):
+    """What is counted and then looked up is written, so the plan that follows holds no aggregation of whole rows."""
+    from attestor.operators import incremental, rollups, views
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = report(spark, [{"record_id": f"r{i}", "email": f"u{i % 3}@x.com", "role": f"Admin {i}", "source_row": i} for i in range(6)])
+    assert "min_by" not in plan(P.dedupe(rows))
+    merged = plan(incremental.consolidate(rows.withColumn("batch_ord", F.lit(0))))
+    assert "min_by" not in merged and "max_by" not in merged
+    assert "collect_list" not in plan(views.project(rows, ["sys"], with_admin_roles=True))
+    entries = rows.selectExpr("email as canonical_id", "system", "source_row", "match_type", "role")
+    assert "count(1)" not in plan(rollups.user_entries(entries, 1))
