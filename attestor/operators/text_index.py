@@ -1,7 +1,8 @@
 """Substring search of report text by a stored trigram index.
 
-Rows are kept in blocks (a hash of the record id, one folder each), with postings (trigram, field, block, record) sorted by
-trigram. A search takes the rarest trigrams of its text by stored counts, intersects their postings within a field, reads the
+Rows are kept in blocks (a hash of the record id, one folder each), with postings (trigram, field, record) in a folder per block,
+sorted by trigram. Rows are dealt by block before postings are made of them, so postings, tens per row, are never
+shuffled. A record stands there as a 32-bit hash: two records of a block that share one are a candidate too many. A search takes the rarest trigrams of its text by stored counts, intersects their postings within a field, reads the
 blocks that are left and verifies each candidate by ``contains``. Texts shorter than a trigram are looked for in all rows.
 
 A batch adds the postings of new and changed rows only. Postings of older texts stay; they can only name a
@@ -54,15 +55,16 @@ class TextIndex:
         kept = rows.select("record_id", *SEARCH_FIELDS)
         if gone is not None:
             kept = kept.unionByName(gone.select("record_id", *[F.lit(None).cast("string").alias(f) for f in SEARCH_FIELDS]))
-        kept.withColumn("block", self._block()).repartition("block").write.mode("overwrite").option(
+        deal = lambda df: df.withColumn("block", self._block()).repartition(self.blocks, "block")
+        deal(kept).write.mode("overwrite").option(
             "partitionOverwriteMode", "static").partitionBy("block").parquet(f"{self.root}/rows/{at}")
         fields = F.array(*[F.struct(F.lit(n).alias("field"), _grams(f).alias("grams")) for n, f in enumerate(SEARCH_FIELDS)])
-        postings = rows.select(self._block().alias("block"), F.xxhash64("record_id").alias("key"), F.inline(fields)).select(
-            F.explode("grams").alias("gram"), "field", "block", "key")
-        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        # The record is part of the range, so that a gram of very many rows spreads over tasks.
-        postings.repartitionByRange(n, "gram", "key").sortWithinPartitions("gram", "key").write.mode("overwrite").parquet(f"{self.root}/postings/{at}")
+        postings = deal(rows.select("record_id", *SEARCH_FIELDS)).select("block", F.hash("record_id").alias("key"), F.inline(fields)).select(
+            F.explode("grams").alias("gram"), "field", "key", "block")
+        postings.sortWithinPartitions("block", "gram", "key").write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").partitionBy("block").parquet(f"{self.root}/postings/{at}")
         stored = self.spark.read.schema(postings.schema).parquet(f"{self.root}/postings/{at}")
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         stored.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(n, "gram").sortWithinPartitions("gram").write.mode(
             "overwrite").parquet(f"{self.root}/counts/{at}")
         done = self.spark.createDataFrame([(self.blocks,)], "blocks int").coalesce(1)
@@ -101,7 +103,7 @@ class TextIndex:
             return self._latest(rows.limit(0))
         found = self.candidates([g for g, _ in grams])
         blocks = [r.block for r in found.select("block").distinct().collect()]  # at most BLOCKS
-        near = rows.where(F.col("block").isin(blocks)).withColumn("key", F.xxhash64("record_id"))
+        near = rows.where(F.col("block").isin(blocks)).withColumn("key", F.hash("record_id"))
         return self._latest(near.join(found, ["block", "key"], "left_semi"))
 
     def search(self, text: str) -> DataFrame:

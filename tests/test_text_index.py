@@ -62,3 +62,14 @@ def test_uncommitted_updates_do_not_count(spark, tmp_path):
     assert found(index.search("name")) == before
     index.update(rows(spark, rng, range(5, 7)))
     assert len(found(index.search("name"))) == 7
+
+
+def test_postings_stay_with_their_block(spark, tmp_path):
+    """Postings are made where the rows of a block lie: one folder a block, each sorted by gram, nothing shuffled."""
+    index = TextIndex(spark, str(tmp_path / "index"), blocks=4)
+    index.update(rows(spark, random.Random(3), range(60)))
+    folders = sorted(p.name for p in (tmp_path / "index" / "postings" / "version=0").iterdir() if p.is_dir())
+    assert folders == [f"block={n}" for n in range(4)]
+    for name in folders:
+        grams = [r.gram for r in spark.read.parquet(str(tmp_path / "index" / "postings" / "version=0" / name)).collect()]
+        assert grams == sorted(grams) and grams
