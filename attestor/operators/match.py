@@ -95,18 +95,20 @@ def _single_pass(accounts, index: IdentityIndex, rules, rows_per_split, limit) -
 def _staged(accounts, index: IdentityIndex, rules, rows_per_split, limit) -> DataFrame:
     """Shuffled lookups: each stage passes on only the rows it could not match.
 
-    The inner and the anti join of a stage read the same exchange of the accounts, so a row
-    is shuffled once per stage it really takes part in.
+    A stage's rows are written with what they found, so an account is shuffled once per stage it takes part in: hits and
+    misses are read from there. Rows with a blank key have no part in a stage and are not moved.
     """
     opts = dict(rows_per_split=rows_per_split, broadcast_limit=limit)
     hot = hot_keys(accounts, "email", "user_id", rows_per_split=rows_per_split)
     done, rest = [], accounts
     for table, key, label in ((index.by_email, "email", "exact_email"), (index.by_id, "user_id", "exact_id")):
-        hit = salted_lookup(rest, table, key, ROW_ID, "inner", hot=hot[key], small=False, **opts)
+        keyed = F.coalesce(F.col(key) != "", F.lit(False))
+        found = salted_lookup(rest.where(keyed), table, key, ROW_ID, "left", hot=hot[key], small=False, **opts)
+        found = write_through(found.select(*ACCOUNT_COLUMNS, "sot"), f"{label}-stage")
+        hit = found.where(F.col("sot").isNotNull())
         done.append(hit.select(*ACCOUNT_COLUMNS, F.lit(label).alias("match_type"), "sot", F.lit("").alias("name_key")))
-        rest = salted_lookup(rest, table.select(key), key, ROW_ID, "left_anti", hot=hot[key], small=False, **opts)
-        rest = rest.select(*ACCOUNT_COLUMNS)
-    # Counted and looked up: written, so that the stages before are not run again for either.
+        rest = rest.where(~keyed).unionByName(found.where(F.col("sot").isNull()).select(*ACCOUNT_COLUMNS))
+    # Counted and looked up: written, so that names are not normalised again for either.
     rest = write_through(rest.withColumn("name_key", normalize_name(F.col("display_name"))), "open-accounts")
     counts, names = _resolved(rest, index, rules)
     last = salted_lookup(

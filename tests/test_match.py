@@ -57,6 +57,15 @@ def test_cascade_in_both_plans_and_with_hot_keys_salted(spark):
     assert "E5" in idle and "E1" not in idle and len(idle) == 12
 
 
+def test_stages_move_accounts_once_and_leave_blank_and_null_keys_open(spark):
+    """What a stage finds is written, so hits and misses are read instead of joined again."""
+    people, sats = identity(spark, STAFF), accounts(spark, [*ROWS, {"email": None, "user_id": None}, {"email": None, "user_id": "E3"}])
+    staged = match_accounts(sats, people, broadcast_limit=-1)
+    plan = staged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "Join LeftAnti" not in plan
+    assert outcome(staged) == outcome(match_accounts(sats, people)) == [*WANT, ("orphan", None), ("exact_id", 2)]
+
+
 def test_index_stats_and_reachable_people(spark):
     people = identity(spark, STAFF + [("", "", "", "active"), ("E1", "", "alice@x.com", "")])
     s = index_stats(people).first()
