@@ -114,7 +114,8 @@ def dedupe(report: DataFrame) -> DataFrame:
         "review_action": F.when(F.col("roles_differ"), F.lit("flag")).otherwise(F.col("first.review_action")),
         "review_note": F.when(F.col("roles_differ"), note).otherwise(F.col("first.review_note")),
     }
-    return groups.join(united, "_key", "left").select(
+    # As many rows as there are mixed groups, whatever the planner makes of file sizes: never sent through the driver.
+    return groups.join(united.hint("merge"), "_key", "left").select(
         *[new.get(c, F.col(f"first.{c}")).alias(c) for c in REPORT_COLUMNS]
     )
 

@@ -145,3 +145,10 @@ def test_groups_and_lookups_are_put_together_once(spark):
     assert "collect_list" not in plan(views.project(rows, ["sys"], with_admin_roles=True))
     entries = rows.selectExpr("email as canonical_id", "system", "source_row", "match_type", "role")
     assert "count(1)" not in plan(rollups.user_entries(entries, 1))
+
+
+def test_united_roles_are_not_broadcast(spark):
+    """There are as many as groups whose rows differ, so they must not pass through the driver."""
+    rows = report(spark, [{"email": "a@x.com", "role": r, "source_row": i} for i, r in enumerate(("A", "B"))])
+    plan = P.dedupe(rows)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftOuter, BuildRight" not in plan
