@@ -64,8 +64,8 @@ def policy_risk(
         F.when(match_type == "orphan", _verdict("HIGH", 80))
         .when(match_type == "no_access", _verdict("INFO", 0))
         .when((F.lower(employment_status) == "terminated") & open_account, _verdict("CRITICAL", 100))
-        .when(privileged & dormant, _verdict("HIGH", 80))
-        .when(privileged | dormant, _verdict("MEDIUM", 50))
+        .when(privileged, F.when(dormant, _verdict("HIGH", 80)).otherwise(_verdict("MEDIUM", 50)))
+        .when(dormant, _verdict("MEDIUM", 50))
         .when(match_type == "fuzzy_ambiguous", _verdict("LOW", 20))
         .otherwise(_verdict("INFO", 0))
     )

@@ -133,7 +133,8 @@ def policy_entries(
         F.col("last_login"), F.col("match_type"), now_ms, dormancy_days, keywords,
     )
     orphan = F.col("match_type") == "orphan"
-    accounts = matched.select(
+    # A column of its own: written out under both fields, the login would be parsed for each of them.
+    accounts = matched.withColumn("_risk", risk).select(
         _of_sot("canonical_id").alias("canonical_id"),
         _of_sot("employee_id").alias("employee_id"),
         F.when(orphan, F.col("display_name")).otherwise(_of_sot("display_name")).alias("display_name"),
@@ -142,8 +143,8 @@ def policy_entries(
         _of_sot("manager").alias("manager"),
         _of_sot("employment_status").alias("employment_status"),
         "system", "role", "entitlement", "last_login", "account_status", "match_type",
-        risk["risk_level"].alias("risk_level"),
-        risk["risk_score"].alias("risk_score"),
+        F.col("_risk.risk_level"),
+        F.col("_risk.risk_score"),
         "conflicts",
         F.col("system").alias("source_file"),
         "source_row",

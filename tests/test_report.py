@@ -152,3 +152,14 @@ def test_united_roles_are_not_broadcast(spark):
     rows = report(spark, [{"email": "a@x.com", "role": r, "source_row": i} for i, r in enumerate(("A", "B"))])
     plan = P.dedupe(rows)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "LeftOuter, BuildRight" not in plan
+
+
+def test_a_login_is_parsed_once_per_entry(spark, tmp_path):
+    people = identity(spark, [("E1", "Ann Lee", "a@x.com", "active")])
+    rows = [{"email": "a@x.com", "role": r, "last_login": at, "account_status": "active"} for r in ("root", "user", None) for at in ("1990-01-01", "")]
+    match_accounts(accounts(spark, rows), people).write.parquet(str(tmp_path / "m"))
+    entries = P.policy_entries(spark.read.parquet(str(tmp_path / "m")), people, 883_612_800_000)
+    got = [(r.risk_level, r.risk_score) for r in entries.orderBy("source_row").collect()]
+    assert got == [("HIGH", 80), ("MEDIUM", 50), ("MEDIUM", 50), ("INFO", 0), ("MEDIUM", 50), ("INFO", 0)]
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("= terminated") == 1
