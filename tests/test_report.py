@@ -147,10 +147,11 @@ def test_groups_and_lookups_are_put_together_once(spark):
     assert "count(1)" not in plan(rollups.user_entries(entries, 1))
 
 
-def test_united_roles_are_not_broadcast(spark):
+def test_united_roles_are_not_broadcast(spark, tmp_path):
     """There are as many as groups whose rows differ, so they must not pass through the driver."""
     rows = report(spark, [{"email": "a@x.com", "role": r, "source_row": i} for i, r in enumerate(("A", "B"))])
-    plan = P.dedupe(rows)._jdf.queryExecution().sparkPlan().toString()
+    rows.write.parquet(str(tmp_path / "rows"))
+    plan = P.dedupe(spark.read.parquet(str(tmp_path / "rows")))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "LeftOuter, BuildRight" not in plan
 
 
