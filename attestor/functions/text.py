@@ -123,6 +123,20 @@ def similarity(a: Column, b: Column) -> Column:
     )
 
 
+def _has_delimiter(c: Column) -> Column:
+    return F.contains(c, F.lit(",")) | F.contains(c, F.lit(";"))
+
+
+def when_single(c: Column, item, several: Column) -> Column:
+    """``several``, or for a text without a delimiter the array of ``item`` of its trimmed value (empty if that is blank).
+
+    Most texts are one value; those go without a pattern and lambdas, which Spark interprets row by row.
+    """
+    one = trim_blanks(c)
+    single = F.slice(F.array(item(one)), F.lit(1), F.when(one == "", F.lit(0)).otherwise(F.lit(1)))
+    return F.when(~_has_delimiter(c), single).otherwise(several)
+
+
 def split_tokens(c: Column) -> Column:
     """Values of a list delimited by comma or semicolon: trimmed, blanks dropped, order kept."""
     return F.filter(F.transform(F.split(c, "[,;]"), trim_blanks), lambda v: v != "")
@@ -131,7 +145,7 @@ def split_tokens(c: Column) -> Column:
 def token_set(c: Column) -> Column:
     """Canonical text of the case-folded value set; equal text ⇔ equal set."""
     folded = F.transform(split_tokens(c), F.lower)
-    return F.array_join(F.array_sort(F.array_distinct(folded)), ",")
+    return F.when(~_has_delimiter(c), F.lower(trim_blanks(c))).otherwise(F.array_join(F.array_sort(F.array_distinct(folded)), ","))
 
 
 def union_tokens(*columns: Column) -> Column:

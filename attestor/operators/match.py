@@ -46,15 +46,14 @@ def attempted_keys(match_type: Column) -> Column:
     """
     past_email = match_type != "exact_email"
     past_id = past_email & (match_type != "exact_id")
-    return F.array_compact(
-        F.array(
-            F.when(F.col("email") != "", F.concat(F.lit("email:"), F.lower("email"))),
-            F.when(past_email & (F.col("user_id") != ""), F.concat(F.lit("employeeId:"), F.col("user_id"))),
-            F.when(
-                past_id & (F.col("display_name") != ""),
-                F.concat(F.lit("name:"), F.col("name_key")),
-            ),
-        )
+
+    def tried(cond: Column, kind: str, value: Column) -> Column:
+        return F.when(cond, F.array(F.concat(F.lit(kind), value))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(
+        tried(F.col("email") != "", "email:", F.lower("email")),
+        tried(past_email & (F.col("user_id") != ""), "employeeId:", F.col("user_id")),
+        tried(past_id & (F.col("display_name") != "") & F.col("name_key").isNotNull(), "name:", F.col("name_key")),
     )
 
 
@@ -104,10 +103,11 @@ def _staged(accounts, index: IdentityIndex, rules, rows_per_split, limit) -> Dat
     for table, key, label in ((index.by_email, "email", "exact_email"), (index.by_id, "user_id", "exact_id")):
         keyed = F.coalesce(F.col(key) != "", F.lit(False))
         found = salted_lookup(rest.where(keyed), table, key, ROW_ID, "left", hot=hot[key], small=False, **opts)
-        found = write_through(found.select(*ACCOUNT_COLUMNS, "sot"), f"{label}-stage")
-        hit = found.where(F.col("sot").isNotNull())
+        # Misses are told by a flag: their records, all null, are not read.
+        found = write_through(found.select(*ACCOUNT_COLUMNS, "sot", F.col("sot").isNotNull().alias("hit")), f"{label}-stage")
+        hit = found.where("hit")
         done.append(hit.select(*ACCOUNT_COLUMNS, F.lit(label).alias("match_type"), "sot", F.lit("").alias("name_key")))
-        rest = rest.where(~keyed).unionByName(found.where(F.col("sot").isNull()).select(*ACCOUNT_COLUMNS))
+        rest = rest.where(~keyed).unionByName(found.where("not hit").select(*ACCOUNT_COLUMNS))
     # Counted and looked up: written, so that names are not normalised again for either.
     rest = write_through(rest.withColumn("name_key", normalize_name(F.col("display_name"))), "open-accounts")
     counts, names = _resolved(rest, index, rules)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions.risk import DORMANCY_DAYS, live_risk, policy_risk, risk_rank
 from attestor.functions.text import token_set, trim_blanks, union_tokens
 from attestor.operators.match import no_access
-from attestor.operators.skew import salted_lookup
+from attestor.operators.skew import hot_counts, salted_lookup
 from attestor.operators.tokens import group_token_union
 from attestor.session import write_through
 from attestor.schema import (
@@ -90,7 +90,8 @@ def dedupe(report: DataFrame) -> DataFrame:
     groups = write_through(groups, "groups")
     # Rows without e-mail and name share one key per system: that group may be huge.
     mixed_rows = salted_lookup(
-        rows.select("_key", "role", "entitlement", "source_row", "file_hash"), groups.where("mixed").select("_key"), "_key", ["source_row", "file_hash"], "left_semi"
+        rows.select("_key", "role", "entitlement", "source_row", "file_hash"), groups.where("mixed").select("_key"), "_key", ["source_row", "file_hash"], "left_semi",
+        hot=hot_counts(groups.select("_key", F.col("n").alias("rows")), "_key"),
     )
     united = group_token_union(mixed_rows, "_key", row_order(), ["role", "entitlement"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.functions.text import split_tokens
+from attestor.functions.text import split_tokens, when_single
 
 
 def group_token_union(rows: DataFrame, key: str, order: Column, fields: list[str]) -> DataFrame:
@@ -17,7 +17,10 @@ def group_token_union(rows: DataFrame, key: str, order: Column, fields: list[str
     def tag(n: int):
         return lambda v, i: F.struct(F.lit(n).alias("field"), i.alias("pos"), v.alias("value"))
 
-    tagged = [F.transform(split_tokens(F.col(f)), tag(n)) for n, f in enumerate(fields)]
+    tagged = [
+        when_single(F.col(f), lambda v: tag(n)(v, F.lit(0)), F.transform(split_tokens(F.col(f)), tag(n)))  # noqa: B023
+        for n, f in enumerate(fields)
+    ]
     values = rows.select(key, order.alias("ord"), F.explode(F.concat(*tagged)).alias("t"))
     at = F.struct("ord", F.col("t.pos"))
     first = values.groupBy(key, F.col("t.field").alias("field"), F.lower("t.value").alias("folded")).agg(
@@ -25,7 +28,8 @@ def group_token_union(rows: DataFrame, key: str, order: Column, fields: list[str
     )
     lists = first.groupBy(key).agg(
         *[
-            F.array_sort(F.collect_list(F.when(F.col("field") == n, F.col("first")))).alias(f"_{f}")
+            # sort_array compares structs natively, array_sort by a lambda; there are no nulls in the list.
+            F.sort_array(F.collect_list(F.when(F.col("field") == n, F.col("first")))).alias(f"_{f}")
             for n, f in enumerate(fields)
         ]
     )

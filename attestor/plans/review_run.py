@@ -94,7 +94,7 @@ def merge_version(
     identity = store.load_table("identity")
     if identity is None:
         raise ValueError("no stored identity; store one before adding accounts")
-    store.save_matched(match_accounts(accounts, name_index(store, identity).identity_index(identity)), version)
+    store.save_matched(match_accounts(accounts, name_index(store, identity).identity_index(identity)), version, systems)
     incoming = dedupe(live_rows(store.matched(systems, version)))
     current = store.report(systems, before=version)
     log = store.load_table("review_log")
@@ -153,7 +153,9 @@ def add_files(
         return []
     usable = files.where(~F.col("is_sot") & (F.col("status") != "error"))
     systems = [r.system for r in usable.select("system").distinct().collect()]
-    merge_version(store, accounts.rows, version, systems, store.save_parts(accounts.parts, version))
+    # Matching reads the accounts once per stage: lines are parsed for the first time only.
+    rows = write_through(accounts.rows, "accounts")
+    merge_version(store, rows, version, systems, store.save_parts(accounts.parts, version))
     if remember:
         store.append_table("added_files", usable)
     return systems

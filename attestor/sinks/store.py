@@ -8,6 +8,8 @@ repeated: it reads the state before V and overwrites V.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,14 +61,28 @@ class ReportStore:
             rows, latest = rows.where(wanted), latest.where(wanted)
         return rows.join(latest, ["part", "version"], "left_semi").select(*REPORT_COLUMNS)
 
-    def save_matched(self, matched: DataFrame, version: int) -> None:
-        """The matches of one batch; repeating the batch replaces them."""
-        (
-            matched.withColumn("part", _part())
-            .write.mode("overwrite").partitionBy("part")
-            .option("partitionOverwriteMode", "static")
-            .parquet(f"{self._path('matched')}/version={version}")
-        )
+    def _exists(self, path: str) -> bool:
+        try:
+            self.spark.read.format("binaryFile").load(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
+    def _write_parts(self, rows: DataFrame, path: str, systems: list[str] | None) -> None:
+        """A folder per system; what an interrupted batch left is replaced.
+
+        Spark sorts whole rows by system for that. The rows of a single one are written into its folder as they come.
+        """
+        if systems is not None and len(systems) == 1 and re.fullmatch(r"[\w.-]+", systems[0], re.ASCII) and not self._exists(path):
+            rows.write.parquet(f"{path}/part=s-{systems[0]}")
+            return
+        rows.withColumn("part", _part()).write.mode("overwrite").partitionBy("part").option("partitionOverwriteMode", "static").parquet(path)
+
+    def save_matched(self, matched: DataFrame, version: int, systems: list[str] | None = None) -> None:
+        """The matches of one batch; repeating the batch replaces them. ``systems``: all that the rows are of, if known."""
+        self._write_parts(matched, f"{self._path('matched')}/version={version}", systems)
 
     def matched(self, systems: list[str], version: int) -> DataFrame:
         """All matches of the systems: committed earlier batches and batch ``version`` itself."""
@@ -136,12 +152,7 @@ class ReportStore:
 
     def commit(self, report: DataFrame, version: int, systems: list[str]) -> None:
         """Replace the given systems' rows as version ``version``."""
-        (
-            report.select(*REPORT_COLUMNS, _part().alias("part"))
-            .write.mode("overwrite").partitionBy("part")
-            .option("partitionOverwriteMode", "static")
-            .parquet(f"{self._path('report')}/version={version}")
-        )
+        self._write_parts(report.select(*REPORT_COLUMNS), f"{self._path('report')}/version={version}", systems)
         done = self.spark.createDataFrame([(s,) for s in systems], "system string")
         done.select(_part().alias("part")).coalesce(1).write.mode("overwrite").parquet(
             f"{self._path('commits')}/version={version}"

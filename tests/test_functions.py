@@ -106,3 +106,13 @@ def test_risk_models(spark):
     words = df.select(R.is_privileged(F.col("r"), F.col("t"), ["OOT"]).alias("x")).collect()
     assert [w.x for w in words] == [False] * 4 + [True] + [False] * 4
     assert not any(w.x for w in df.select(R.is_privileged(F.col("r"), F.col("t"), []).alias("x")).collect())
+
+
+def test_single_values_equal_lists_of_one(spark):
+    """Values without a delimiter take a path of their own."""
+    texts = [None, "", "  ", " a ", "A", "a;b", "b, A ;a;;", "\u00a0x\u2003", ";", "x,", "\u0130"]
+    split = column(spark, texts, X.split_tokens)
+    tagged = lambda c: X.when_single(c, lambda v: v, X.split_tokens(c))
+    assert column(spark, texts, tagged) == split
+    assert column(spark, texts, X.token_set)[1:] == [",".join(sorted({v.lower() for v in s})) if t != "\u0130" else "i\u0307" for t, s in zip(texts[1:], split[1:])]
+    assert column(spark, texts[:1], X.token_set) == [None]

@@ -1,9 +1,12 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from attestor.operators.report import dedupe, live_rows
 from attestor.operators.match import match_accounts
 from attestor.operators.review import log_rows
+from attestor.plans import review_run
 from attestor.plans.review_run import add_files, change_identity
 from attestor.session import write_through
 from attestor.sinks.store import ReportStore
@@ -153,3 +156,25 @@ def test_a_changed_employee_list_rebuilds_touched_systems(spark, tmp_path, store
     assert got == {"ann@x.com::crm::1": ("ann@x.com", "exact_email", "approve"), "zed@x.com::crm::2": ("zed@x.com", "exact_email", None),
                    "bo@x.com::erp::1": ("bo@x.com", "exact_email", None)}
     assert change_identity(store, new) == []
+
+
+def test_lines_are_parsed_once_before_the_stages_read_them(spark, tmp_path, store, monkeypatch):
+    """The cascade reads the accounts of new files once per stage: from a written table, not from the files."""
+    read = []
+    monkeypatch.setattr(review_run, "match_accounts", lambda accounts, *a: read.extend(accounts.inputFiles()) or match_accounts(accounts, *a))
+    add_files(store, probe_files(spark, [drop(tmp_path / "f", "crm.csv", "a,ann@x.com,Ann Lee,active,Dev\n")]))
+    assert read and not [f for f in read if f.endswith(".csv")]
+    assert rows(store.report()) == [("ann@x.com::crm::1", "Dev", "INFO", None)]
+
+
+def test_one_system_is_written_into_its_folder(spark, store):
+    """Without a sort by system; a repeated batch leaves nothing of the systems of its first run."""
+    path = f"{store.root}/matched/version=7"
+    table = spark.createDataFrame([("crm", 1), ("erp", 2)], "system string, n int")
+    store.save_matched(table.where("system = 'crm'"), 7, ["crm"])
+    assert os.listdir(path) == ["part=s-crm"]
+    store.save_matched(table.where("system = 'erp'"), 7, ["erp"])
+    assert [(r.system, r.n, r.part) for r in spark.read.parquet(path).collect()] == [("erp", 2, "s-erp")]
+    for version, name in ((8, "a b=c/d%"), (9, "007"), (10, "")):
+        store.save_matched(spark.createDataFrame([(name, version)], "system string, n int"), version, [name])
+        assert [r.n for r in store._read("matched").where((F.col("part") == f"s-{name}") & (F.col("version") == version)).collect()] == [version]
