@@ -104,7 +104,7 @@ def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
 _FACTS = "path string, uri string, size long, hash string, encoding string, header string, headers array<string>, has_rows boolean"
 
 
-def _short(uri: str) -> str:
+def short_uri(uri: str) -> str:
     """``file:///x`` and ``file:/x`` name the same file."""
     return re.sub("^file:/+", "file:/", uri)
 
@@ -118,8 +118,8 @@ def probe_files(spark: SparkSession, paths: list[str], by_folder: bool = False)
     loaded = spark.read.format("binaryFile").load(paths)
     listing = loaded.select(F.col("_metadata.file_path").alias("uri")).collect()
     # Spark's scans skip files without a byte; they are registered from the listing.
-    seen = {_short(r.uri) for r in listing}
-    empty = [u for u in map(_short, loaded.inputFiles()) if u not in seen]
+    seen = {short_uri(r.uri) for r in listing}
+    empty = [u for u in map(short_uri, loaded.inputFiles()) if u not in seen]
     parts = [_probe(spark, paths)] if listing else []
     if empty:
         facts = [(unquote(u), u, 0, hashlib.sha256(b"").hexdigest(), "utf-8", "", [], False) for u in empty]

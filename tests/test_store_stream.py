@@ -11,6 +11,7 @@ from attestor.plans.review_run import add_files, change_identity
 from attestor.session import write_through
 from attestor.sinks.store import ReportStore
 from attestor.sources.files import probe_files, register
+from attestor.streaming import drop_folder
 from attestor.streaming.drop_folder import intake, watch_folder
 
 from helpers import identity
@@ -178,3 +179,22 @@ def test_one_system_is_written_into_its_folder(spark, store):
     for version, name in ((8, "a b=c/d%"), (9, "007"), (10, "")):
         store.save_matched(spark.createDataFrame([(name, version)], "system string, n int"), version, [name])
         assert [r.n for r in store._read("matched").where((F.col("part") == f"s-{name}") & (F.col("version") == version)).collect()] == [version]
+
+
+def test_parts_that_fill_several_batches_are_read_once(spark, tmp_path, store, monkeypatch):
+    """Three batches name the five parts of a folder; before, each of them read the whole folder."""
+    probed, probe = [], drop_folder.probe_files
+    monkeypatch.setattr(drop_folder, "probe_files", lambda s, paths, **o: probed.append(list(paths)) or probe(s, paths, **o))
+    monkeypatch.setattr(drop_folder, "add_files", lambda store, fresh, *a, **o: sorted({r.system for r in fresh.collect()}))
+    folder = tmp_path / "crm"
+    for i in range(5):
+        drop(folder, f"part-{i}.csv", f"u{i},zed{i}@x.com,Zed,active,Ops\n")
+    path = lambda i: f"file:{folder}/part-{i}.csv"
+    assert intake(spark, store, [path(0), path(1)], 0, by_folder=True) == ["crm"]
+    assert [intake(spark, store, [path(2 * n), path(2 * n + 1)], n, by_folder=True) for n in (1, 2)] == [[], []]
+    assert probed == [[f"file:{folder}/*"]]
+    # A repeated batch reads its folder again, and so does one that finds a part changed, even to the same size.
+    assert intake(spark, store, [path(0), path(1)], 0, by_folder=True) == ["crm"] and len(probed) == 2
+    drop(folder, "part-4.csv", "u4,zed4@x.com,Zed,active,Dev\n")
+    os.utime(folder / "part-4.csv", (1, 1))
+    assert intake(spark, store, [path(4)], 3, by_folder=True) == ["crm"] and len(probed) == 3
